@@ -78,3 +78,9 @@ def half_up(c: Column, digits: int) -> Column:
     """Round half up by plain double arithmetic, the same in every engine."""
     scale = float(10**digits)
     return F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+
+
+def regular_grid(first: int, last: int, per_unit: int) -> Column:
+    """Array of the points first, first + 1/per_unit, .., last."""
+    steps = F.sequence(F.lit(first * per_unit), F.lit(last * per_unit))
+    return F.transform(steps, lambda k: k.cast("double") / F.lit(float(per_unit)))

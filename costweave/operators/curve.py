@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costweave.functions.scalars import regular_grid
 from costweave.operators.resolve import null_safe_join
 
 COARSE_STEPS_PER_UNIT = 10
@@ -94,11 +95,10 @@ def asymptotic_fit(
     divisor = COARSE_STEPS_PER_UNIT
     for _ in range(rounds - 1):
         divisor *= REFINEMENT
-        offsets = F.sequence(F.lit(-REFINEMENT), F.lit(REFINEMENT))
         near = best.select(*by, F.col("lrc").alias("__near"))
         placed = _attach(series, near, by)
-        fine = F.transform(offsets, lambda k, d=divisor: F.col("__near") + k.cast("double") / F.lit(float(d)))
-        best = _fit_at(placed.withColumn("__lrc", F.explode(fine)), by)
+        steps = f"transform(sequence(-{REFINEMENT}, {REFINEMENT}), k -> __near + k / {float(divisor)}D)"
+        best = _fit_at(placed.withColumn("__lrc", F.explode(F.expr(steps))), by)
     return best.select(
         *by,
         "lrc",
@@ -123,7 +123,6 @@ def curve_value(x: Column) -> Column:
 
 def asymptotic_predict(fit: DataFrame, by: Sequence[str], first: int, last: int, per_unit: int) -> DataFrame:
     """Fitted values on the grid first, first + 1/per_unit, .., last."""
-    steps = F.sequence(F.lit(first * per_unit), F.lit(last * per_unit))
-    return fit.withColumn("x", F.explode(steps).cast("double") / F.lit(float(per_unit))).select(
+    return fit.withColumn("x", F.explode(regular_grid(first, last, per_unit))).select(
         *by, "x", curve_value(F.col("x")).alias("predicted")
     )

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costweave.functions.scalars import regular_grid
 from costweave.operators.quantiles import exact_quantiles
 from costweave.operators.resolve import null_safe_join
 
@@ -47,11 +48,10 @@ def kernel_density(
         counts = null_safe_join(counts, rule_bandwidth(df, value, by).withColumnRenamed("bandwidth", "__h"), by)
     else:
         counts = counts.withColumn("__h", rule_bandwidth(df, value).scalar())
-    steps = F.sequence(F.lit(first * per_unit), F.lit(last * per_unit))
     z = (F.col("x") - F.col("__v")) / F.col("__h")
     height = F.col("__n") * F.exp(-z * z / F.lit(2.0)) / F.col("__h")
     return (
-        counts.withColumn("x", F.explode(steps).cast("double") / F.lit(float(per_unit)))
+        counts.withColumn("x", F.explode(regular_grid(first, last, per_unit)))
         .groupBy(*by, "x")
         .agg(F.sum(height).alias("__s"), F.sum("__n").alias("__total"))
         .select(*by, "x", (F.col("__s") / (F.col("__total") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))

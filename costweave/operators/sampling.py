@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,14 +19,27 @@ TRIES = 32
 def truncated_normal(mean: Column, draw: Column, seed: int, low: float, high: float, sd: float = 1.0) -> Column:
     """A normal draw around ``mean`` kept inside [low, high].
 
-    Tries follow one another until one is inside; later ones are evaluated only when needed. With the mean inside the
-    bounds a try fails at most half the time. Should all fail, the last one is folded back at the bound it crossed.
+    Tries follow one another until one is inside. With the mean inside the bounds a try fails at most half the time.
+    Should all fail, the last one is folded back at the bound it crossed.
     """
-    tries = [mean + F.lit(sd) * standard_normal(F.lit(str(seed)), draw, F.lit(str(t))) for t in range(TRIES)]
-    inside = [F.when((x >= F.lit(low)) & (x <= F.lit(high)), x) for x in tries]
-    last = tries[-1]
+
+    def attempt(t: Column) -> Column:
+        return mean + F.lit(sd) * standard_normal(F.lit(str(seed)), draw, t)
+
+    def inside(x: Column) -> Column:
+        return F.when((x >= F.lit(low)) & (x <= F.lit(high)), x)
+
+    # the first try stays in generated code; the others are a short loop that is entered only when it missed
+    later = F.aggregate(
+        F.sequence(F.lit(1), F.lit(TRIES - 1)),
+        F.lit(None).cast("double"),
+        lambda found, t: F.coalesce(found, inside(attempt(t.cast("string")))),
+    )
+    last = attempt(F.lit(str(TRIES - 1)))
     folded = F.when(last < F.lit(low), F.lit(2 * low) - last).otherwise(F.lit(2 * high) - last)
-    return F.coalesce(*inside, F.greatest(F.lit(low), F.least(F.lit(high), folded)))
+    return F.coalesce(
+        inside(attempt(F.lit("0"))), later, F.greatest(F.lit(low), F.least(F.lit(high), folded))
+    )
 
 
 def resample_truncated(
@@ -57,18 +71,20 @@ def bootstrap_sums(sample: DataFrame, key: str, value: str, replicates: int, see
     )
 
 
+def poisson_weight_bounds(most: int = 12) -> list[tuple[float, int]]:
+    """(upper bound of the uniform, count) for a Poisson(1) count below ``most``."""
+    bounds, cumulative, term = [], 0.0, math.exp(-1.0)
+    for k in range(most):
+        cumulative += term
+        bounds.append((cumulative, k))
+        term /= k + 1
+    return bounds
+
+
 def poisson_weight(address: Sequence[Column]) -> Column:
     """Poisson(1) count by inversion of one uniform."""
     u = uniform(*address)
-    cumulative, term, weight = 0.0, 2.718281828459045**-1, F.lit(12)
-    steps = []
-    for k in range(12):
-        cumulative += term
-        steps.append((cumulative, k))
-        term /= k + 1
-    for bound, k in reversed(steps):
-        weight = F.when(u < F.lit(bound), F.lit(k)).otherwise(weight)
-    return weight
+    return F.coalesce(*[F.when(u < F.lit(bound), F.lit(k)) for bound, k in poisson_weight_bounds()], F.lit(12))
 
 
 def bootstrap_sums_poisson(sample: DataFrame, key: str, value: str, replicates: int, seed: int) -> DataFrame:
