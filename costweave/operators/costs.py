@@ -6,6 +6,8 @@ import math
 import string
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,11 @@ def ascii_upper(text: Column) -> Column:
     return F.translate(text, string.ascii_lowercase, string.ascii_uppercase)
 
 
+def ascii_upper(text: Column) -> Column:
+    """Capital letters for a-z alone; other letters stay, so none of them turns into a priced one."""
+    return F.translate(text, string.ascii_lowercase, string.ascii_uppercase)
+
+
 def sequence_cost(text: str, kind: str) -> Column:
     """Letters of the whole text column, each at its price; letters without a price are free.
 
@@ -79,9 +86,57 @@ def sequence_cost(text: str, kind: str) -> Column:
 
 
 def price_sequences(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``seq_opportunity`` and ``seq_direct`` for a text column."""
-    counted = df.withColumn("__upper", ascii_upper(F.col(text)))
-    return counted.withColumns({f"seq_{kind}": sequence_cost("__upper", kind) for kind in KINDS}).drop("__upper")
+    """Adds ``seq_opportunity`` and ``seq_direct`` for a column of short texts such as names.
+
+    The letters of the whole text are counted in the row that holds it, each once, and both prices read the counts:
+    no explode, no join, no shuffle. Letters without a price are free.
+    """
+    counts = ", ".join(
+        f"octet_length(__upper) - octet_length(replace(__upper, '{row[0]}', ''))" for row in RESIDUE_PRICES
+    )
+
+    def priced(place: int) -> Column:
+        terms = [f"__letters[{i}] * {row[place]}" for i, row in enumerate(RESIDUE_PRICES)]
+        return F.expr(f"cast({' + '.join(terms)} as double)")
+
+    counted = df.withColumn("__upper", ascii_upper(F.col(text))).withColumn("__letters", F.expr(f"array({counts})"))
+    kept = [c for c in df.columns if c not in ("seq_opportunity", "seq_direct")]
+    return counted.select(*kept, priced(1).alias("seq_opportunity"), priced(2).alias("seq_direct"))
+
+
+def price_texts(df: DataFrame, text: str) -> DataFrame:
+    """The same for long texts: one look at every byte instead of one pass per letter.
+
+    Arrow hands over whole columns of text; a table of 256 prices is applied to their bytes and summed per text. Bytes
+    of letters beyond ASCII have no price.
+    """
+    priced = df.withColumn("__p", _byte_prices()(F.col(text)))
+    return priced.withColumns({f"seq_{kind}": F.col(f"__p.{kind}") for kind in KINDS}).drop("__p")
+
+
+def _byte_prices():
+    prices = np.zeros((2, 256), dtype=np.uint8)
+    for symbol, opportunity, direct in RESIDUE_PRICES:
+        for byte in (ord(symbol), ord(symbol.lower())):
+            prices[:, byte] = (opportunity, direct)
+    kinds = list(KINDS)
+
+    @F.arrow_udf("opportunity double, direct double")
+    def byte_prices(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        filled = offsets[:-1] < offsets[1:]
+        missing = np.asarray(texts.is_null())
+        out = []
+        for table in prices:
+            sums = np.zeros(len(texts), dtype=np.int64)
+            if filled.any():
+                data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[: offsets[-1]]
+                sums[filled] = np.add.reduceat(table[data], offsets[:-1][filled], dtype=np.int64)
+            out.append(pa.array(sums.astype(np.float64), mask=missing))
+        return pa.StructArray.from_arrays(out, kinds)
+
+    return byte_prices
 
 
 def cost_columns(
@@ -128,15 +183,22 @@ def sum_costs(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in COST_COLUMNS])
 
 
-def cost_long(wide: DataFrame, keys: Sequence[str], value: str = "cost") -> DataFrame:
-    """(keys, process, kind, cost) rows; labels come from the measure's own name."""
-    long = wide.unpivot(list(keys), list(COST_COLUMNS), "__measure", value)
-    return long.select(
-        *keys,
-        F.substring_index("__measure", "_", 1).alias("process"),
-        F.substring_index("__measure", "_", -1).alias("kind"),
-        value,
-    )
+def cost_long(
+    wide: DataFrame, keys: Sequence[str], by: Sequence[str] = ("process", "kind"), value: str = "cost"
+) -> DataFrame:
+    """Cost rows (keys, process, kind, cost) of rows that hold the six costs; ``by`` picks the labels to keep.
+
+    Labels come from the measure's own name. Measures that share the kept labels are added within the row, so nothing
+    is regrouped.
+    """
+    rows: dict[tuple, list[str]] = {}
+    for process in PROCESSES:
+        for kind in KINDS:
+            label = tuple(x for x, name in ((process, "process"), (kind, "kind")) if name in by)
+            rows.setdefault(label, []).append(f"{process}_{kind}")
+    cells = ", ".join(", ".join([*(f"'{x}'" for x in label), " + ".join(names)]) for label, names in rows.items())
+    names = ", ".join([*(n for n in ("process", "kind") if n in by), value])
+    return wide.select(*keys, F.expr(f"stack({len(rows)}, {cells}) AS ({names})"))
 
 
 def total_cost() -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from costweave.functions.scalars import regular_grid
 from costweave.operators.quantiles import exact_quantiles
 from costweave.operators.resolve import null_safe_join
+from costweave.session import spread
 
 
 def rule_bandwidth(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -51,7 +52,7 @@ def kernel_density(
     z = (F.col("x") - F.col("__v")) / F.col("__h")
     height = F.col("__n") * F.exp(-z * z / F.lit(2.0)) / F.col("__h")
     return (
-        counts.withColumn("x", F.explode(regular_grid(first, last, per_unit)))
+        spread(counts).withColumn("x", F.explode(regular_grid(first, last, per_unit)))
         .groupBy(*by, "x")
         .agg(F.sum(height).alias("__s"), F.sum("__n").alias("__total"))
         .select(*by, "x", (F.col("__s") / (F.col("__total") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costweave.functions.scalars import fill
-from costweave.operators.quantiles import exact_median
+from costweave.operators.quantiles import exact_medians
 from costweave.operators.resolve import null_safe_join
 from costweave.params import CostParams
 
@@ -42,15 +42,16 @@ def fill_median(
     """
     if mode not in ("fill", "replace"):
         raise ValueError(mode)
-    for c in columns:
-        medians = exact_median(df, c, by)
-        if by:
-            df = null_safe_join(df, medians.select(*by, F.col("median").alias("__m")), by, "left")
-            middle = F.col("__m")
-        else:
-            middle = medians.select("median").scalar()
-        df = df.withColumn(c + suffix, F.coalesce(F.col(c), middle) if mode == "fill" else middle).drop("__m")
-    return df
+    medians = exact_medians(df, columns, by)
+    if by:
+        known = medians.select(*by, F.struct(*columns).alias("__m"))
+        df = null_safe_join(df, known, by, "left")
+    else:
+        df = df.withColumn("__m", medians.select(F.struct(*columns)).scalar())
+    middles = {c: F.col(f"__m.{c}") for c in columns}
+    return df.withColumns(
+        {c + suffix: F.coalesce(F.col(c), m) if mode == "fill" else m for c, m in middles.items()}
+    ).drop("__m")
 
 
 def attach_group_size(df: DataFrame, by: Sequence[str], out: str = "group_size") -> DataFrame:

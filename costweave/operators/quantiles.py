@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from costweave.operators.reshape import to_long
 from costweave.operators.resolve import null_safe_join
 
 ACCURACY = 100000
@@ -82,6 +83,14 @@ def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return exact_quantiles(df, value, [0.5], by).withColumnRenamed("q0", "median")
 
 
+def exact_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Medians of several columns at once, one row per group."""
+    by = list(by)
+    doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    middles = exact_median(to_long(doubles, by, columns, "__c", "__value"), "__value", [*by, "__c"])
+    return middles.groupBy(*by).agg(*[F.max(F.when(F.col("__c") == c, F.col("median"))).alias(c) for c in columns])
+
+
 def approximate_median(df: DataFrame, value: str, by: Sequence[str] = (), accuracy: int = 10000) -> DataFrame:
     """Median to a rank error of 1/accuracy, in one pass."""
     return df.groupBy(*by).agg(F.percentile_approx(value, 0.5, accuracy).alias("median"))

@@ -34,9 +34,32 @@ def widen(
     )
 
 
-def to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "time", value: str = "value"):
-    """Columns to rows. No shuffle."""
-    return df.unpivot(list(ids), list(columns), name, value)
+def to_long(
+    df: DataFrame,
+    ids: Sequence[str],
+    columns: Sequence[str],
+    name: str = "time",
+    value: str = "value",
+    labels: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """Columns to rows, labelled with their name or with ``labels``.
+
+    Done with a generator rather than ``unpivot``, because a generator keeps the partitioning of its input: a window
+    or join on the entity that follows needs no further shuffle.
+    """
+    pairs = ", ".join(f"{_literal(labels[c] if labels else c)}, `{c}`" for c in columns)
+    return df.select(*ids, F.expr(f"stack({len(columns)}, {pairs}) AS (`{name}`, `{value}`)"))
+
+
+def _literal(label) -> str:
+    if isinstance(label, str):
+        return "'" + label.replace("'", "\\'") + "'"
+    return f"{label}L" if isinstance(label, int) else repr(label)
+
+
+def first_positive(columns: Sequence[str], labels: Mapping[str, object]) -> Column:
+    """Label of the first column, in the order given, whose value is above zero: first appearance in a wide row."""
+    return F.coalesce(*[F.when(F.col(c) > 0, F.lit(labels[c])) for c in columns])
 
 
 def tagged_union(frames: Mapping[str, DataFrame], tag: str = "source") -> DataFrame:

@@ -47,11 +47,7 @@ def rollup_costs(costed: DataFrame, keys: Sequence[str], by: Sequence[str] = ("p
 
     Six partial sums per key cross the shuffle; the measures become rows only after the reduction.
     """
-    long = cost_long(sum_costs(costed, keys), keys)
-    labels = [c for c in ("process", "kind") if c in by]
-    if len(labels) == 2:
-        return long
-    return long.groupBy(*keys, *labels).agg(F.sum("cost").alias("cost"))
+    return cost_long(sum_costs(costed, keys), keys, by)
 
 
 def process_breakdown(

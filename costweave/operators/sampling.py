@@ -12,6 +12,7 @@ from costweave.functions.draws import pick, standard_normal, uniform
 from costweave.operators.ordered import dense_index, prefix, shuffled_order
 from costweave.operators.quantiles import exact_median
 from costweave.operators.resolve import null_safe_join
+from costweave.session import spread
 
 TRIES = 32
 
@@ -61,7 +62,7 @@ def bootstrap_sums(sample: DataFrame, key: str, value: str, replicates: int, see
     """
     n = sample.agg(F.count(F.lit(1))).scalar()
     indexed = dense_index(sample.select(key, value), key, seed)
-    draws = indexed.select(
+    draws = spread(indexed.select("index"), "index").select(
         F.col("index").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
     ).select("replicate", pick(n, seed, F.col("replicate"), F.col("i")).alias("index"))
     return (
@@ -89,9 +90,10 @@ def poisson_weight(address: Sequence[Column]) -> Column:
 
 def bootstrap_sums_poisson(sample: DataFrame, key: str, value: str, replicates: int, seed: int) -> DataFrame:
     """Bootstrap sums by Poisson(1) weights: one pass, no index and no join. The number of draws varies around n."""
-    spread = sample.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    copies = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
+    repeated = spread(sample.select(key, value), key).select(key, value, copies)
     weight = poisson_weight([F.lit(str(seed)), F.col("replicate"), F.col(key)])
-    return spread.groupBy("replicate").agg(
+    return repeated.groupBy("replicate").agg(
         F.coalesce(F.sum(F.col(value) * weight), F.lit(0.0)).alias("total"), F.sum(weight).alias("draws")
     )
 

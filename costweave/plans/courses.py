@@ -8,7 +8,7 @@ from costweave.functions.scalars import lookup
 from costweave.operators.costs import KINDS, PROCESSES, sum_costs, total_cost, with_costs
 from costweave.operators.fill import fill_attributes
 from costweave.operators.ordered import mean_spacing, trapezoid
-from costweave.operators.quantiles import exact_median
+from costweave.operators.quantiles import exact_medians
 from costweave.operators.reshape import (
     column_steps,
     columns_between,
@@ -165,9 +165,7 @@ def cost_union_rollup(spark, sf_dir):
     """Per-hour frames of each process, tagged, stacked and summed again."""
     by_time = sum_costs(costed_course(spark, sf_dir), ["time"])
     frames = {
-        p: by_time.select("time", *[F.col(f"{p}_{k}").alias(k) for k in KINDS]).unpivot(
-            ["time"], list(KINDS), "kind", "cost"
-        )
+        p: to_long(by_time.select("time", *[F.col(f"{p}_{k}").alias(k) for k in KINDS]), ["time"], KINDS, "kind", "cost")
         for p in PROCESSES
     }
     stacked = tagged_union(frames, "process")
@@ -215,12 +213,13 @@ def alternative_course_cost(spark, sf_dir):
     """The binned course costed, gaps in sequence cost filled with the median over first appearances."""
     joined = left_attach(mark_first(binned_course(spark, sf_dir), ["entity"], ["bin"]), attributes(spark, sf_dir), ["entity"])
     once = joined.where("is_first")
-    medians = {c: exact_median(once, c).select("median").scalar() for c in ("seq_opportunity", "seq_direct")}
+    sequence = ["seq_opportunity", "seq_direct"]
+    medians = exact_medians(once, sequence).select(F.struct(*sequence)).scalar()
     filled = joined.withColumns(
         {
             "abundance_filled": F.coalesce("abundance", F.lit(DEFAULT.fill_abundance)),
             "gene_length_filled": F.coalesce("gene_length", F.lit(DEFAULT.fill_gene_length)),
-            **{c + "_filled": F.coalesce(F.col(c), m) for c, m in medians.items()},
+            **{c + "_filled": F.coalesce(F.col(c), medians[c]) for c in sequence},
         }
     )
     rolled = rollup_costs(with_costs(filled, once="is_first"), ["bin"], ("kind",))

@@ -9,7 +9,7 @@ from costweave.operators.costs import (
     genome_costs,
     lipid_cost,
     lipid_molecules,
-    price_sequences,
+    price_texts,
     septum_constants,
     septum_lipids,
     sphere_lipids,
@@ -20,6 +20,7 @@ from costweave.operators.costs import (
     with_costs,
 )
 from costweave.operators.fill import attach_group_size, fill_attributes, fill_median
+from costweave.operators.reshape import to_long
 from costweave.operators.resolve import (
     left_attach,
     lowest_per_text,
@@ -251,7 +252,7 @@ def conserved_presence(spark, sf_dir):
     Cells of one part and state carry the same cost, so they are counted before the join that multiplies rows.
     """
     wide = presence_matrix(spark, sf_dir)
-    cells = wide.unpivot(["entity"], [f"n{n}" for n in NATIONS], "nation", "presence")
+    cells = to_long(wide, ["entity"], [f"n{n}" for n in NATIONS], "nation", "presence")
     counted = cells.groupBy("entity", "presence").agg(F.count(F.lit(1)).alias("cells"))
     costs = selection_long(
         costed_parts(spark, sf_dir), ["entity", "p_type"], DEFAULT.cell_budget, DEFAULT.selection_factor
@@ -586,7 +587,7 @@ def dormant_cost(spark, sf_dir):
 )
 def document_letters(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return price_sequences(texts, "text").select("doc_id", "seq_opportunity", "seq_direct")
+    return price_texts(texts, "text").select("doc_id", "seq_opportunity", "seq_direct")
 
 
 @query(

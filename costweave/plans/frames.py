@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from costweave.operators.costs import COST_COLUMNS, price_sequences, with_costs
 from costweave.operators.fill import fill_attributes
-from costweave.operators.reshape import columns_with_prefix, to_long, widen
-from costweave.operators.resolve import left_attach, mark_first
+from costweave.operators.reshape import columns_with_prefix, first_positive, to_long, widen
+from costweave.operators.resolve import left_attach
 from costweave.params import DEFAULT, RESIDUE_PRICES, CostParams
 
 YEARS = {f"t{i}": 1994 + i for i in range(1, 8)}
@@ -42,11 +42,16 @@ def quantity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantity_course(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long form, positive values only, with the hour as a number and the first appearance flagged."""
+    """Long form, positive values only, with the hour as a number and the first appearance flagged.
+
+    The first hour of a part is read off its wide row, so the course needs no sort and no second shuffle.
+    """
     wide = quantity_matrix(spark, sf_dir)
-    long = to_long(wide, ["entity"], columns_with_prefix(wide, "t")).where("value > 0")
-    hours = long.withColumn("time", F.regexp_replace("time", "t", "").cast("long"))
-    return mark_first(hours, ["entity"], ["time"])
+    columns = columns_with_prefix(wide, "t")
+    hours = {c: int(c.removeprefix("t")) for c in columns}
+    marked = wide.withColumn("first", first_positive(columns, hours).cast("long"))
+    long = to_long(marked, ["entity", "first"], columns, labels=hours).where("value > 0")
+    return long.select("entity", "time", "value", (F.col("time") == F.col("first")).alias("is_first"))
 
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,3 +38,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="costweave-checkpoint-")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt out over all shuffle partitions, for a step that multiplies every row.
+
+    Adaptive execution sizes partitions by their bytes and would run a small table in one task. One shuffle of the
+    rows before they are multiplied costs little next to the multiplied rows.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
