@@ -58,35 +58,60 @@ def dense_index(df: DataFrame, key: str, seed: int = 0, digits: int = 4, index:
     return prefix(hashed, segment, order, index=index).drop("__h")
 
 
-def trapezoid(df: DataFrame, entity: Sequence[str], x: str, y: str, segment: Column | None = None) -> DataFrame:
-    """Area under each entity's points by the trapezoid rule.
+def trapezoid(
+    df: DataFrame,
+    entity: Sequence[str],
+    x: str,
+    y: str,
+    upto: Mapping[str, float] | None = None,
+    segment: Column | None = None,
+) -> DataFrame:
+    """Area under each entity's points by the trapezoid rule, and areas up to the x values in ``upto``.
 
     ``df`` has one row per (entity, x). A long course is cut by ``segment``, which must grow with x: the area inside
     segments and the bridges between neighbouring segments are then summed. Without it a course is one group, right
     for courses with a bounded number of points.
     """
     keys = list(entity)
-    cut = df.withColumn("__seg", segment if segment is not None else F.lit(0))
+    bounds = {"area": None, **(upto or {})}
+
+    def areas(step: Column, end: Column) -> list[Column]:
+        return [
+            F.coalesce(F.sum(step if limit is None else F.when(end <= F.lit(limit), step)), F.lit(0.0)).alias(name)
+            for name, limit in bounds.items()
+        ]
+
+    def step(before_x, before_y, at_x, at_y) -> Column:
+        return (at_x - before_x) * (at_y + before_y) / 2
+
+    if segment is None:
+        w = Window.partitionBy(*keys).orderBy(x)
+        steps = df.withColumn("__a", step(F.lag(x).over(w), F.lag(y).over(w), F.col(x), F.col(y)))
+        return steps.groupBy(*keys).agg(*areas(F.col("__a"), F.col(x)))
+
     w = Window.partitionBy(*keys, "__seg").orderBy(x)
-    step = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
-    parts = (
-        cut.withColumn("__a", step)
-        .groupBy(*keys, "__seg")
-        .agg(
-            F.coalesce(F.sum("__a"), F.lit(0.0)).alias("__a"),
-            F.min_by(F.struct(x, y), x).alias("__start"),
-            F.max_by(F.struct(x, y), x).alias("__end"),
-        )
+    steps = df.withColumn("__seg", segment).withColumn(
+        "__a", step(F.lag(x).over(w), F.lag(y).over(w), F.col(x), F.col(y))
     )
-    if segment is None:
-        return parts.select(*keys, F.col("__a").alias("area"))
-    between = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("__seg")
-    last = F.lag("__end").over(between)
-    bridge = (F.col(f"__start.{x}") - last[x]) * (F.col(f"__start.{y}") + last[y]) / 2
-    return (
-        parts.withColumn("__b", F.coalesce(bridge, F.lit(0.0)))
-        .groupBy(*keys)
-        .agg(F.sum(F.col("__a") + F.col("__b")).alias("area"))
+    parts = steps.groupBy(*keys, "__seg").agg(
+        *areas(F.col("__a"), F.col(x)),
+        F.min_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), x).alias("__start"),
+        F.max_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), x).alias("__end"),
+    )
+    last = F.lag("__end").over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy("__seg"))
+    start = F.col("__start")
+    bridged = parts.withColumn("__b", step(last["x"], last["y"], start["x"], start["y"])).withColumn("__x", start["x"])
+    return bridged.groupBy(*keys).agg(
+        *[
+            (
+                F.sum(name)
+                + F.coalesce(
+                    F.sum(F.col("__b") if limit is None else F.when(F.col("__x") <= F.lit(limit), F.col("__b"))),
+                    F.lit(0.0),
+                )
+            ).alias(name)
+            for name, limit in bounds.items()
+        ]
     )
 
 

@@ -33,11 +33,12 @@ def lowest_per_text(df: DataFrame, text: str, key: str, carry: Sequence[str] = (
 
     Texts are compared by a 256-bit digest of the whole text, so only digests and keys are shuffled.
     """
-    digest = F.sha2(F.col(text), 256)
+    groups = df.where(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256).alias("__digest"))
+    copies = F.count(F.lit(1)).alias("copies")
+    if not carry:
+        return groups.agg(F.min(key).alias(key), copies).drop("__digest")
     return (
-        df.where(F.col(text).isNotNull())
-        .groupBy(digest.alias("__digest"))
-        .agg(F.min(F.struct(key, *carry)).alias("__row"), F.count(F.lit(1)).alias("copies"))
+        groups.agg(F.min(F.struct(key, *carry)).alias("__row"), copies)
         .select(*[F.col(f"__row.{c}").alias(c) for c in (key, *carry)], "copies")
     )
 

@@ -467,12 +467,8 @@ def regulon_rollup(spark, sf_dir):
 def prefix_integral(spark, sf_dir):
     """Area under each part's course, whole and up to the third hour."""
     course = quantity_course(spark, sf_dir).select("entity", F.col("time").cast("double").alias("time"), "value")
-    whole = trapezoid(course, ["entity"], "time", "value")
-    prefix = trapezoid(course.where("time <= 3"), ["entity"], "time", "value").withColumnRenamed("area", "prefix")
-    joined = whole.join(prefix, "entity", "left")
-    return joined.select(
-        "entity", r(F.col("area"), 4).alias("area"), r(F.coalesce("prefix", F.lit(0.0)), 4).alias("area_to_3")
-    )
+    areas = trapezoid(course, ["entity"], "time", "value", {"area_to_3": 3.0})
+    return areas.select("entity", r(F.col("area"), 4).alias("area"), r(F.col("area_to_3"), 4).alias("area_to_3"))
 
 
 @query(

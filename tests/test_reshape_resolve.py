@@ -97,6 +97,7 @@ def test_first_appearance_and_flag(spark):
 def test_lowest_per_text(spark):
     df = spark.createDataFrame([(5, "x"), (3, "x"), (9, "y"), (1, None)], "id int, t string")
     assert {(r.id, r.copies) for r in lowest_per_text(df, "t", "id").collect()} == {(3, 2), (9, 1)}
+    assert {(r.id, r.t, r.copies) for r in lowest_per_text(df, "t", "id", ["t"]).collect()} == {(3, "x", 2), (9, "y", 1)}
 
 
 def test_joins(spark):
@@ -144,6 +145,8 @@ def test_regex_join_equals_brute_force(spark, gram):
 def test_trapezoid(spark):
     df = spark.createDataFrame([("e", 4.0, 4.0), ("e", 1.0, 10.0), ("e", 2.0, 6.0), ("f", 1.0, 1.0)], "e string, x double, y double")
     assert {r.e: r.area for r in trapezoid(df, ["e"], "x", "y").collect()} == {"e": 18.0, "f": 0.0}
+    upto = trapezoid(df, ["e"], "x", "y", {"to_2": 2.0}).where("e = 'e'").first()
+    assert (upto.area, upto.to_2) == (18.0, 8.0)
     assert {r.e: r.spacing for r in mean_spacing(df, ["e"], "x").collect()} == {"e": 1.5, "f": None}
 
 
@@ -151,9 +154,10 @@ def test_segmented_trapezoid_equals_plain(spark):
     df = spark.range(500).select(
         (F.col("id") % 2).alias("e"), (F.col("id") * F.col("id") / 10.0).alias("x"), F.pmod(F.xxhash64("id"), F.lit(50)).cast("double").alias("y")
     )
-    plain = {r.e: r.area for r in trapezoid(df, ["e"], "x", "y").collect()}
-    cut = {r.e: r.area for r in trapezoid(df, ["e"], "x", "y", F.floor(F.col("x") / 700)).collect()}
-    assert cut == pytest.approx(plain)
+    limits = {"a": 100.0, "b": 1400.0, "c": 10000.0}
+    plain = {r.e: tuple(r) for r in trapezoid(df, ["e"], "x", "y", limits).collect()}
+    cut = {r.e: tuple(r) for r in trapezoid(df, ["e"], "x", "y", limits, F.floor(F.col("x") / 700)).collect()}
+    assert set(cut) == set(plain) and all(cut[e] == pytest.approx(plain[e]) for e in cut)
 
 
 def test_prefix_over_segments(spark):
