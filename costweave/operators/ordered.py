@@ -58,6 +58,15 @@ def dense_index(df: DataFrame, key: str, seed: int = 0, digits: int = 4, index:
     return prefix(hashed, segment, order, index=index).drop("__h")
 
 
+def rank_slice(df: DataFrame, entity: Sequence[str], order: Sequence[str], first: int, last: int) -> DataFrame:
+    """Rows ``first`` to ``last`` of each entity, counted from 1 in a declared order.
+
+    Spark keeps only the leading ``last`` rows of an entity per task before the shuffle.
+    """
+    place = F.row_number().over(Window.partitionBy(*entity).orderBy(*order))
+    return df.withColumn("__place", place).where(F.col("__place").between(first, last)).drop("__place")
+
+
 def trapezoid(
     df: DataFrame,
     entity: Sequence[str],

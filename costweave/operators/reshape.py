@@ -20,6 +20,11 @@ def columns_between(df: DataFrame, first: str, last: str) -> list[str]:
     return names[names.index(first) : names.index(last) + 1]
 
 
+def columns_at(df: DataFrame, first: int, last: int) -> list[str]:
+    """Names by place, counted from 1, both ends included."""
+    return df.columns[first - 1 : last]
+
+
 def columns_except(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c not in names]
 

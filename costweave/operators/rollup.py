@@ -26,6 +26,14 @@ def strict_mean(c) -> Column:
     return F.when(F.count(c) == F.count(F.lit(1)), F.avg(c))
 
 
+def scaled_thresholds(df: DataFrame, score: str, of_mean: Mapping[str, float], of_max: Mapping[str, float]) -> DataFrame:
+    """Thresholds as fractions of the mean and of the largest score, in one pass."""
+    return df.agg(
+        *[(F.avg(score) * F.lit(k)).alias(name) for name, k in of_mean.items()],
+        *[(F.max(score) * F.lit(k)).alias(name) for name, k in of_max.items()],
+    )
+
+
 def column_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[loose_sum(c).alias(c) for c in columns])
 

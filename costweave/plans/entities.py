@@ -36,6 +36,7 @@ from costweave.operators.rollup import (
     loose_sum,
     presence_share,
     process_breakdown,
+    scaled_thresholds,
     selection_long,
     strict_sum,
 )
@@ -203,6 +204,17 @@ def flagged(spark, sf_dir):
     return customers.select((F.col("c_custkey") + 500).alias("entity"), F.lit("known").alias("mutant"))
 
 
+@query(
+    "score_thresholds",
+    f"""SELECT {sql_r('avg(c_acctbal / 10000e0) * 0.5e0', 7)} AS half, {sql_r('avg(c_acctbal / 10000e0) * 0.9e0', 7)} AS most,
+      {sql_r('max(c_acctbal / 10000e0) * 0.75e0', 7)} AS top FROM customer""",
+)
+def score_thresholds(spark, sf_dir):
+    scores = table(spark, sf_dir, "customer").select((F.col("c_acctbal") / 10000.0).alias("score"))
+    found = scaled_thresholds(scores, "score", {"half": 0.5, "most": 0.9}, {"top": 0.75})
+    return found.select(*[r(F.col(c), 7).alias(c) for c in found.columns])
+
+
 SQL_PRESENCE = """
 pairs AS (SELECT DISTINCT l_partkey AS entity, s_nationkey AS nation
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),

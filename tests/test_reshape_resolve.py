@@ -5,9 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from costweave.operators.ordered import dense_index, mean_spacing, prefix, trapezoid
+from costweave.operators.ordered import dense_index, mean_spacing, prefix, rank_slice, trapezoid
 from costweave.operators.reshape import (
     column_steps,
+    columns_at,
     columns_between,
     columns_except,
     columns_with_prefix,
@@ -38,6 +39,12 @@ def test_column_choices(spark):
     assert columns_with_prefix(df, "t") == ["t1", "t2"]
     assert columns_between(df, "t1", "x") == ["t1", "t2", "x"]
     assert columns_except(df, "id", "x") == ["t1", "t2"]
+    assert columns_at(df, 2, 3) == ["t1", "t2"]
+
+
+def test_rank_slice(spark):
+    df = spark.createDataFrame([("e", i) for i in range(1, 6)] + [("f", 9)], "e string, t int")
+    assert sorted(tuple(r) for r in rank_slice(df, ["e"], ["t"], 2, 3).collect()) == [("e", 2), ("e", 3)]
 
 
 def test_wide_and_long(spark):
