@@ -20,12 +20,12 @@ TABLES = (
 ).split()
 
 
-def connect(sf_dir):
+def connect(sf_dir, files=""):
     import duckdb
 
     connection = duckdb.connect()
     for name in TABLES:
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet{files}')")
     return connection
 
 
