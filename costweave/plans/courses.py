@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from costweave.functions.scalars import lookup
-from costweave.operators.costs import KINDS, PROCESSES, sum_costs, total_cost, with_costs
+from costweave.operators.costs import cost_long, sum_costs, total_cost, with_costs
 from costweave.operators.fill import fill_attributes
 from costweave.operators.ordered import mean_spacing, trapezoid
 from costweave.operators.quantiles import exact_medians
@@ -162,14 +162,12 @@ def stage_union(spark, sf_dir):
     SELECT process, kind, {sql_r('sum(cost)', 1)} AS cost FROM long GROUP BY process, kind""",
 )
 def cost_union_rollup(spark, sf_dir):
-    """Per-hour frames of each process, tagged, stacked and summed again."""
-    by_time = sum_costs(costed_course(spark, sf_dir), ["time"])
-    frames = {
-        p: to_long(by_time.select("time", *[F.col(f"{p}_{k}").alias(k) for k in KINDS]), ["time"], KINDS, "kind", "cost")
-        for p in PROCESSES
-    }
-    stacked = tagged_union(frames, "process")
-    return stacked.groupBy("process", "kind").agg(r(loose_sum("cost"), 1).alias("cost"))
+    """Per-hour costs as rows tagged with process and kind, all processes below one another, summed again.
+
+    The three stacks come from one pass over the course; a union of three frames would read it three times.
+    """
+    tagged = cost_long(sum_costs(costed_course(spark, sf_dir), ["time"]), ["time"])
+    return tagged.groupBy("process", "kind").agg(r(loose_sum("cost"), 1).alias("cost"))
 
 
 SQL_BINS = f"""{SQL_COURSE},

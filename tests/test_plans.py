@@ -63,3 +63,22 @@ def test_every_name_of_the_catalogue_is_registered():
         linear_fit_by_group truncnorm_resample bootstrap_sum subsample_curve kde_grid histogram_density box_summary
         jaccard_distance jaccard_subset scalar_suite""".split()
     assert set(names) <= set(QUERIES)
+
+
+def test_flagship_without_broadcast_shuffles_three_times(spark, sf_dir):
+    """Lines by entity, attributes by entity, sums by hour; the join adds no further shuffle of the course."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["cost_by_time_kind"](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert text.count("Exchange hashpartitioning") == 3 and "SortMergeJoin" in text
+
+
+def test_checkpoints_go_where_the_session_says(spark, tmp_path):
+    from costweave.session import cut_lineage
+
+    df = cut_lineage(spark.range(5).withColumnRenamed("id", "k"))
+    assert df.count() == 5 and "Range" not in plan(df)
+    assert spark.sparkContext.getCheckpointDir()
