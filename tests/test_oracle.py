@@ -4,8 +4,7 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from costweave.plans import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
