@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import pathlib
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,10 +79,18 @@ def running_start(
     return joined.select(*[inside[c] for c in df.columns], (F.col("__offset") + F.col("__inside")).alias(start))
 
 
+def map_batches(df: DataFrame, work: Callable, schema) -> DataFrame:
+    """``mapInArrow`` for functions of this package: workers look for it where the driver has it, too."""
+    environment = df.sparkSession.sparkContext.environment
+    root = str(pathlib.Path(__file__).resolve().parents[2])
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+    return df.mapInArrow(work, schema)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, below the checkpoint folder of the session."""
-    import uuid
-
     cut_lineage(spark.range(0))  # sets a folder where the session has none
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costweave.llm.caching import RecentWords, in_pieces
-from costweave.llm.common import table
+from costweave.llm.common import map_batches, table
 from costweave.llm.registry import query
 
 BLANK = "▁"
@@ -173,7 +173,7 @@ def prefix_tables(docs: DataFrame, model: str, text: str = "text", out: str = "p
                 arrays = [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), values)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(work, schema)
+    return map_batches(docs, work, schema)
 
 
 def tokens_before(tables: Column, characters: Column | int) -> Column:

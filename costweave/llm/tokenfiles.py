@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from costweave.llm.caching import RecentWords, in_pieces
-from costweave.llm.common import shared_folder, table
+from costweave.llm.common import map_batches, shared_folder, table
 from costweave.llm.registry import query
 from costweave.session import cut_lineage
 
@@ -180,7 +180,7 @@ def write_token_files(
         names = ["part", "ids_file", "documents_file", "n_ids", "n_documents"]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=names)
 
-    return cut_lineage(sorted_docs.mapInArrow(work, MANIFEST))
+    return cut_lineage(map_batches(sorted_docs, work, MANIFEST))
 
 
 class TokenFile:
@@ -235,7 +235,7 @@ def read_token_files(manifest: DataFrame, key_type: str = "bigint", key: str = "
                     arrays = [part.column("key"), pa.array(starts + row["before"]), pa.array(counts), pa.array(sums)]
                     yield pa.RecordBatch.from_arrays(arrays, names=[key, "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(work, f"{key} {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_batches(files, work, f"{key} {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_files_digest(docs: DataFrame) -> DataFrame:
