@@ -1,6 +1,6 @@
 """Imports every operator of this subpackage, which registers its query."""
 
-from costweave.llm import language, mixing, quality, sharding, tokencount, tokenfiles, urls  # noqa: F401
+from costweave.llm import language, mixing, quality, sharding, simhash, tokencount, tokenfiles, urls  # noqa: F401
 from costweave.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
