@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from costweave.llm import mixing
+from costweave.llm import decontamination, language, mixing, simhash, tokenfiles
 from costweave.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -14,12 +15,40 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with enough certainty; others go."""
+    sure = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= language.LEAST_SCORE)
+    return language.predict_documents(docs.select(*COLUMNS)).where(sure).select(*COLUMNS)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.one_of_each_group(docs.select(*COLUMNS))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontamination.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix in training order, once per repeat."""
+    """Documents of the mix in training order, once per begun repeat."""
+    docs = docs.select(*COLUMNS)
     return mixing.training_order(mixing.planned_mix(docs), docs).select(*COLUMNS)
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix_sources)]
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token files; what is read back of each document."""
+    return tokenfiles.token_files_digest(docs.select("doc_id", "text"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", known_language),
+    ("near_copies", without_near_copies),
+    ("benchmark", without_benchmark),
+    ("mixing", mix_sources),
+    ("token_files", token_files),
+]
 
 #: Tokenizers, fingerprints and language models are beyond SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None

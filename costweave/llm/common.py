@@ -39,10 +39,15 @@ def hex_number(digest: Column, first: int, digits: int) -> Column:
     return F.conv(F.substring(digest, first, digits), 16, 10).cast("long")
 
 
-def text_key(text: Column) -> Column:
-    """128 bits that stand for a text; null counts as empty."""
+def row_key(key: Column, text: Column) -> Column:
+    """A row's key and a digest of its text as one text: equal for repeated rows, never null."""
     whole = F.coalesce(text, F.lit(""))
-    return F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit("second"), whole).alias("b"))
+    return F.concat_ws(":", key_text(key), F.xxhash64(whole), F.xxhash64(F.lit("second"), whole))
+
+
+def one_per_row_key(docs: DataFrame, key: str, text: str, name: str = "__row") -> DataFrame:
+    """Adds the row key and keeps one row of each, combined inside the tasks before the shuffle."""
+    return docs.withColumn(name, row_key(F.col(key), F.col(text))).dropDuplicates([name])
 
 
 def count_copies(df: DataFrame, count: str = "copies") -> DataFrame:

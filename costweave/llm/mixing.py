@@ -7,7 +7,7 @@ number c of a stream stands at the time where the cumulative demand of the sched
 inverted piece by piece. Documents are then sorted by that time, range by range.
 
 Defined cases: null text has size 0 and is never taken; a null source is a source of its own and comes last; ties of
-the digest are broken by key, text and size; equal rows are copies that follow each other; sources without words get target
+the digest are broken by key, size and text; equal rows are copies that follow each other; sources without words get target
 0; an empty table gives no rows.
 """
 
@@ -22,6 +22,8 @@ from costweave.llm.common import (
     expand_copies,
     hex_number,
     key_text,
+    one_per_row_key,
+    row_key,
     running_start,
     table,
     words,
@@ -32,6 +34,8 @@ from costweave.session import cut_lineage
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
+#: Hex digits of the order that cut a stream into segments.
+SEGMENT_DIGITS = 3
 #: Leading characters of a source's name that split the ranking.
 RANK_CHARACTERS = 8
 #: Ramp of the schedule by the same place: the weight at time t is w * (1 + ramp * (2 t - 1)), so its integral is w.
@@ -94,17 +98,17 @@ def draw_mix(docs: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFr
     order = F.md5(F.concat(key_text(F.col(key)), F.lit(":"), key_text(F.col("source"))))
     columns = docs.columns
     counted = cut_lineage(count_copies(docs.withColumn("__order", order)))
-    laid = counted.withColumn("__part", hex_number(F.col("__order"), 1, 4)).withColumn(
+    laid = counted.withColumn("__part", hex_number(F.col("__order"), 1, SEGMENT_DIGITS)).withColumn(
         "__width", F.col("size") * F.col("copies")
     )
     placed = running_start(laid, ["source"], "__part", ["__order", *columns], "__width", "__start")
     rows = expand_copies(placed, "copies", "__copy").withColumn(
         "start", F.col("__start") + F.col("__copy") * F.col("size")
     )
-    same = rows["source"].eqNullSafe(sources["source"])
-    mixed = rows.join(sources, same).select(
-        *[rows[c] for c in columns], rows["start"], *[sources[c] for c in sources.columns if c not in columns]
-    )
+    given = sources.withColumnRenamed("source", "__source")
+    mixed = rows.drop("__order", "__part", "__width", "__start", "__copy").join(
+        given, F.col("source").eqNullSafe(F.col("__source"))
+    ).drop("__source")
     whole = F.floor(F.col("target") / F.col("source_size"))
     more = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), more - F.col("start")))
@@ -115,22 +119,27 @@ def draw_mix(docs: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFr
     )
 
 
-def training_order(mixed: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def training_order(mixed: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` once per begun repeat, sorted by training time across range partitions.
 
-    ``mixed`` has one row per row of ``docs`` (draw_mix over its key and sizes). Repeats number from 0; the document
-    at which a target ends stays whole.
+    ``mixed`` has one row per row of ``docs`` (draw_mix over key, source, size and row key). Repeats number from 0;
+    the document at which a target ends stays whole.
     """
     begun = F.ceil(F.col("taken") / F.col("size"))
     plan = mixed.where("taken > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), begun - 1)))
     share = (F.col("start") + F.col("repeat") * F.col("source_size")) / F.col("target")
-    timed = plan.select(F.col(key).alias("__key"), training_time(share, F.col("ramp")).alias("training_time"), "repeat")
-    out = docs.join(timed, docs[key].eqNullSafe(timed["__key"])).drop("__key")
+    timed = plan.select(
+        F.col("row").alias("__timed"), training_time(share, F.col("ramp")).alias("training_time"), "repeat"
+    )
+    unique = one_per_row_key(docs, key, text)
+    out = unique.join(timed, F.col("__row") == F.col("__timed")).drop("__row", "__timed")
     return out.repartitionByRange("training_time", key).sortWithinPartitions("training_time", key, "repeat")
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    """(doc_id, source, size, row): the text is left behind as its size and the row's key."""
+    size = F.size(words(F.col("text"))).cast("long").alias("size")
+    return docs.select("doc_id", "source", size, row_key(F.col("doc_id"), F.col("text")).alias("row"))
 
 
 def source_sizes(docs: DataFrame) -> DataFrame:
@@ -140,7 +149,8 @@ def source_sizes(docs: DataFrame) -> DataFrame:
 def planned_mix(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, source, text, ..) to what the production mix takes of each."""
     sized = cut_lineage(sized_documents(docs))
-    return draw_mix(sized, share_budget(source_weights(source_sizes(sized))))
+    weighted = cut_lineage(source_weights(source_sizes(sized)))
+    return draw_mix(sized, share_budget(weighted))
 
 
 SQL_SIZED = f"""

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costweave.llm.common import map_batches, table
+from costweave.llm.common import map_batches, one_per_row_key, row_key, table
 from costweave.llm.registry import query
 from costweave.session import cut_lineage
 
@@ -233,17 +233,28 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(key, fp, component_id) per row: the least key of all rows whose fingerprints are reachable by links."""
-    marked = cut_lineage(with_fingerprints(docs.select(key, text), text))
+def near_duplicates(marked: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """Rows with key and fp, and component_id: the least key of all rows whose fingerprints are reachable by links."""
+    marked = cut_lineage(marked)
     nodes = marked.groupBy("fp").agg(F.min(key).alias("least_key"))
-    found = components(links(nodes.select("fp"), radius))
-    placed = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least_key", F.coalesce("least", "fp").alias("component")
+    found = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "__node")
+    placed = nodes.join(found, nodes["fp"] == found["__node"], "left").select(
+        F.col("fp").alias("__fp"), "least_key", F.coalesce("least", "fp").alias("component")
     )
     ids = placed.groupBy("component").agg(F.min("least_key").alias("component_id"))
-    named = placed.join(ids, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(key, "fp", "component_id")
+    named = placed.join(ids, "component")
+    joined = marked.join(named, F.col("fp") == F.col("__fp"))
+    return joined.select(*marked.columns, "component", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the least key (null last) of each component; of repeated rows one. Columns stay as they are."""
+    rows = docs.select(key, row_key(F.col(key), F.col(text)).alias("__row"), text)
+    found = near_duplicates(with_fingerprints(rows, text), key)
+    order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col("__row").alias("row"))
+    first = found.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("__kept"))
+    unique = one_per_row_key(docs, key, text)
+    return unique.join(first, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
 
 
 def hex16(fp: Column) -> Column:
@@ -253,5 +264,6 @@ def hex16(fp: Column) -> Column:
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents."""
-    found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = near_duplicates(with_fingerprints(docs))
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
