@@ -9,7 +9,7 @@ class RecentWords:
     """Two generations of at most ``limit`` entries and one batch each; words of the older one are carried over when
     they come again. ``prepare`` makes every word of a batch present, working out the missing ones in one call."""
 
-    def __init__(self, work_out: Callable[[list[str]], Iterable], limit: int = 250_000):
+    def __init__(self, work_out: Callable[[list[str]], Iterable], limit: int = 400_000):
         self.work_out, self.limit = work_out, limit
         self.new: dict = {}
         self.old: dict = {}

@@ -54,12 +54,12 @@ class PrefixCounter:
         if any(BLANK in piece.lstrip(BLANK) or "\n" in piece for piece in self.score):
             raise ValueError("a piece goes across a blank or a new line")
         self.fits: dict[tuple[str, str], bool] = {}
-        #: Every beginning of a piece, and whether it is a piece that its own text is encoded as.
-        self.begins = {piece[:n]: False for piece in self.score for n in range(1, len(piece) + 1)}
-        self.begins.update((piece, self.encode(piece) == [piece]) for piece in self.score)
+        #: Every ending of a piece, and whether it is a piece that its own text is encoded as.
+        self.endings = {piece[n:]: False for piece in self.score for n in range(len(piece))}
+        self.endings.update((piece, self.encode(piece) == [piece]) for piece in self.score)
         self.cut_runs = all(len(RUNS.findall(piece)) == 1 for piece in self.score)
         self.units = RecentWords(self.unit_tables)
-        self.runs = RecentWords(lambda runs: [self.run_table(run) for run in runs])
+        self.runs = RecentWords(self.run_tables)
 
     def encode(self, text: str) -> list[str]:
         """Merges the pair with the best score, the leftmost of equals, until none is left."""
@@ -100,28 +100,47 @@ class PrefixCounter:
             out.append(b"".join(table.tobytes() for table in tables))
         return out
 
-    def run_table(self, run: str) -> bytes:
-        """The dynamic program itself: tokens that start where a prefix ends and fit its last token."""
-        begins, fits, size = self.begins, self.fits, len(run)
-        last: list[str | None] = [None] * (size + 1)
-        counts = [0] * (size + 1)
-        for start in range(size):
-            before, count = last[start], counts[start] + 1
-            for end in range(start + 1, size + 1):
-                token = run[start:end]
-                whole = begins.get(token)
-                if whole is None:
+    def run_tables(self, runs: list[str]) -> list[bytes]:
+        """The dynamic program itself: the one token that ends where a prefix does and fits the prefix before it.
+
+        Runs are taken in order, so that a run goes on from the table of the beginning it shares with the last one.
+        """
+        endings, fits = self.endings, self.fits
+        last: list[str] = [""]
+        counts: list[int] = [0]
+        done: dict[str, bytes] = {}
+        previous = ""
+        for run in sorted(runs):
+            shared = 0
+            for a, b in zip(run, previous):
+                if a != b:
                     break
-                if whole and last[end] is None:
-                    if start:
-                        known = fits.get((before, token))
-                        if not (self.follows(before, token) if known is None else known):
-                            continue
-                    last[end], counts[end] = token, count
-            if last[start + 1] is None:  # a character of its own, spelled in bytes
-                last[start + 1] = run[start]
-                counts[start + 1] = counts[start] + len(run[start].encode("utf-8", "surrogatepass"))
-        return np.array(counts[1:], dtype=np.int32).tobytes()
+                shared += 1
+            del last[shared + 1 :], counts[shared + 1 :]
+            for end in range(shared + 1, len(run) + 1):
+                start = end - 1
+                while start >= 0:
+                    token = run[start:end]
+                    whole = endings.get(token)
+                    if whole is None:
+                        start = -1
+                        break
+                    if whole:
+                        if not start:
+                            break
+                        known = fits.get((last[start], token))
+                        if self.follows(last[start], token) if known is None else known:
+                            break
+                    start -= 1
+                if start < 0:  # a character of its own, spelled in bytes
+                    token = run[end - 1]
+                    counts.append(counts[end - 1] + len(token.encode("utf-8", "surrogatepass")))
+                else:
+                    counts.append(counts[start] + 1)
+                last.append(token)
+            done[run] = np.array(counts[1:], dtype=np.int32).tobytes()
+            previous = run
+        return [done[run] for run in runs]
 
     def split(self, text: str) -> list[str]:
         spaced = " " + text
