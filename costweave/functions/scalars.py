@@ -75,9 +75,14 @@ def band(c: Column, bands: Sequence[tuple[str, float | None, float | None]]) ->
 
 
 def half_up(c: Column, digits: int) -> Column:
-    """Round half up by plain double arithmetic, the same in every engine."""
+    """Round half up by plain double arithmetic, the same in every engine.
+
+    From 2^53 on a double has no digits after the point to round, and a long could not hold it: it stays as it is.
+    """
     scale = float(10**digits)
-    return F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    scaled = c.cast("double") * F.lit(scale)
+    rounded = F.floor(scaled + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.when(F.abs(scaled) >= F.lit(float(2**53)), c.cast("double")).otherwise(rounded)
 
 
 def regular_grid(first: int, last: int, per_unit: int) -> Column:

@@ -15,12 +15,19 @@ from costweave.session import spread
 
 
 def rule_bandwidth(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """0.9 * min(sd, IQR / 1.34) * n^-0.2 per group."""
+    """0.9 * min(sd, IQR / 1.34) * n^-0.2 per group; missing for a single value.
+
+    A width of zero falls back to the standard deviation, then to the value itself, then to 1.
+    """
     quarts = exact_quantiles(df, value, [0.25, 0.75], by)
-    spread = df.groupBy(*by).agg(F.stddev_samp(value).alias("__sd"))
-    joined = null_safe_join(quarts, spread, by) if by else quarts.withColumn("__sd", spread.scalar())
+    measured = F.struct(F.stddev_samp(value).alias("sd"), F.max(F.abs(value)).cast("double").alias("size")).alias("__of")
+    spread = df.groupBy(*by).agg(measured)
+    joined = null_safe_join(quarts, spread, by) if by else quarts.withColumn("__of", spread.scalar())
     iqr = (F.col("q1") - F.col("q0")) / F.lit(1.34)
-    narrow = F.when(iqr > 0, F.least(F.col("__sd"), iqr)).otherwise(F.col("__sd"))
+    sd, size = F.col("__of.sd"), F.col("__of.size")
+    either = F.least(sd, iqr)
+    narrow = F.when(sd.isNull(), F.lit(None).cast("double")).when(either > 0, either)
+    narrow = narrow.when(sd > 0, sd).when(size > 0, size).otherwise(F.lit(1.0))
     return joined.select(*by, (F.lit(0.9) * narrow * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bandwidth"))
 
 
@@ -59,6 +66,33 @@ def kernel_density(
     )
 
 
+def density_curve(df: DataFrame, value: str, points: int = 512, by: Sequence[str] = (), cut: float = 3.0) -> DataFrame:
+    """Gaussian density per group at ``points`` places from ``cut`` bandwidths below its least value to as many above
+    its greatest: (by, point, x, density). A group of a single value has no bandwidth and no density.
+    """
+    by = list(by)
+    held = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    counts = held.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    ends = counts.groupBy(*by).agg(F.struct(F.min("__v").alias("low"), F.max("__v").alias("high")).alias("__ends"))
+    widths = rule_bandwidth(held, "__v", by).withColumnRenamed("bandwidth", "__h")
+    if by:
+        placed = null_safe_join(counts, null_safe_join(widths, ends, by), by)
+    else:
+        placed = counts.withColumn("__h", widths.scalar()).withColumn("__ends", ends.scalar())
+    low = F.col("__ends.low") - F.lit(cut) * F.col("__h")
+    step = (F.col("__ends.high") + F.lit(cut) * F.col("__h") - low) / F.lit(float(points - 1))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.struct(k.alias("point"), (low + k * step).alias("x")))
+    z = (F.col("__at.x") - F.col("__v")) / F.col("__h")
+    height = F.col("__n") * F.exp(-z * z / F.lit(2.0)) / F.col("__h")
+    return (
+        spread(placed.where("__h IS NOT NULL"))
+        .withColumn("__at", F.explode(grid))
+        .groupBy(*by, F.col("__at.point").alias("point"))
+        .agg(F.max("__at.x").alias("x"), F.sum(height).alias("__s"), F.sum("__n").alias("__total"))
+        .select(*by, "point", "x", (F.col("__s") / (F.col("__total") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+    )
+
+
 def histogram(df: DataFrame, value: str, low: float, width: float, by: Sequence[str] = ()) -> DataFrame:
     """Counts and density of equal bins, per group. Totals come from the counts, not from a second pass."""
     by = list(by)

@@ -32,10 +32,16 @@ def columns_except(df: DataFrame, *names: str) -> list[str]:
 def widen(
     df: DataFrame, entity: str | Sequence[str], key: Column, value: Column, labels: Mapping[str, object]
 ) -> DataFrame:
-    """One row per entity, one summed column per label. One shuffle on the entity, with map-side combine."""
+    """One row per entity, one summed column per label. One shuffle on the entity, with map-side combine.
+
+    A key that no label lists fails the query: its values would be lost without a word.
+    """
     entities = [entity] if isinstance(entity, str) else list(entity)
-    return df.groupBy(*entities).agg(
-        *[F.sum(F.when(key == F.lit(v), value)).alias(name) for name, v in labels.items()]
+    unknown = F.raise_error(F.concat(F.lit("no label lists the key "), key.cast("string")))
+    listed = F.when(key.isNull() | key.isin(list(labels.values())), value).otherwise(unknown.cast("double"))
+    keyed = df.select(*entities, key.alias("__key"), listed.alias("__value"))
+    return keyed.groupBy(*entities).agg(
+        *[F.sum(F.when(F.col("__key") == F.lit(v), F.col("__value"))).alias(name) for name, v in labels.items()]
     )
 
 

@@ -156,10 +156,9 @@ def selection_long(costed: DataFrame, keys: Sequence[str], budget: float, factor
     )
 
 
-def presence_share(columns: Sequence[str], present: str = "present") -> Column:
-    """Percent of the columns of a row that hold the given value."""
-    hits = F.size(F.filter(F.array(*columns), lambda x: x == present))
-    return hits.cast("double") / F.lit(float(len(columns))) * F.lit(100.0)
+def presence_share(present: Column, places: Column) -> Column:
+    """Percent of the places that an entity is present in."""
+    return present.cast("double") / places.cast("double") * F.lit(100.0)
 
 
 def phase_totals(costs: DataFrame, bucket: str, phases: Mapping[str, Sequence[str]], value: str = "cost") -> DataFrame:

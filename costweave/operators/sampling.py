@@ -8,39 +8,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costweave.functions.draws import pick, standard_normal, uniform
+from costweave.functions.draws import normal_cdf, normal_quantile, normal_tail, pick, uniform52
 from costweave.operators.ordered import dense_index, prefix, shuffled_order
 from costweave.operators.quantiles import exact_median
 from costweave.operators.resolve import null_safe_join
 from costweave.session import spread
 
-TRIES = 32
 
 
-def truncated_normal(mean: Column, draw: Column, seed: int, low: float, high: float, sd: float = 1.0) -> Column:
-    """A normal draw around ``mean`` kept inside [low, high].
+def truncated_normal(
+    df: DataFrame, mean: str, draw: str, seed: int, low: float, high: float, sd: float = 1.0, out: str = "x"
+) -> DataFrame:
+    """Adds a normal draw around ``mean`` inside [low, high], by the inverse of the distribution function.
 
-    Tries follow one another until one is inside. With the mean inside the bounds a try fails at most half the time.
-    Should all fail, the last one is folded back at the bound it crossed.
+    One uniform number is stretched over the part of the distribution between the bounds, so no draw is tried again,
+    folded or put on a bound, however narrow they are.
     """
-
-    def attempt(t: Column) -> Column:
-        return mean + F.lit(sd) * standard_normal(F.lit(str(seed)), draw, t)
-
-    def inside(x: Column) -> Column:
-        return F.when((x >= F.lit(low)) & (x <= F.lit(high)), x)
-
-    # the first try stays in generated code; the others are a short loop that is entered only when it missed
-    later = F.aggregate(
-        F.sequence(F.lit(1), F.lit(TRIES - 1)),
-        F.lit(None).cast("double"),
-        lambda found, t: F.coalesce(found, inside(attempt(t.cast("string")))),
-    )
-    last = attempt(F.lit(str(TRIES - 1)))
-    folded = F.when(last < F.lit(low), F.lit(2 * low) - last).otherwise(F.lit(2 * high) - last)
-    return F.coalesce(
-        inside(attempt(F.lit("0"))), later, F.greatest(F.lit(low), F.least(F.lit(high), folded))
+    marked = df.withColumns(
+        {
+            "__u": uniform52(seed, F.col(draw), "n"),
+            "__za": (F.lit(low) - F.col(mean)) / F.lit(sd),
+            "__zb": (F.lit(high) - F.col(mean)) / F.lit(sd),
+        }
     )
+    ends = marked.withColumns({"__pa": F.expr(normal_cdf("__za")), "__pb": F.expr(normal_cdf("__zb"))})
+    placed = ends.withColumn("__p", F.col("__pa") + F.col("__u") * (F.col("__pb") - F.col("__pa")))
+    placed = placed.withColumn("__q", F.expr(normal_tail("__p")))
+    x = F.col(mean) + F.lit(sd) * F.expr(normal_quantile("__p", "__q"))
+    drawn = placed.withColumn(out, F.greatest(F.lit(low), F.least(F.lit(high), x)))
+    return drawn.drop("__u", "__za", "__zb", "__pa", "__pb", "__p", "__q")
 
 
 def resample_truncated(
@@ -51,7 +47,7 @@ def resample_truncated(
     n = sample.agg(F.count(F.lit(1))).scalar()
     picks = draws.select(draw).withColumn("index", pick(n, seed, F.col(draw)))
     joined = picks.join(indexed.select("index", F.col(value).alias("__center")), "index")
-    return joined.select(draw, truncated_normal(F.col("__center"), F.col(draw), seed, low, high).alias("x"))
+    return truncated_normal(joined, "__center", draw, seed, low, high).select(draw, "x")
 
 
 def bootstrap_sums(sample: DataFrame, key: str, value: str, replicates: int, seed: int) -> DataFrame:
@@ -72,20 +68,21 @@ def bootstrap_sums(sample: DataFrame, key: str, value: str, replicates: int, see
     )
 
 
-def poisson_weight_bounds(most: int = 12) -> list[tuple[float, int]]:
-    """(upper bound of the uniform, count) for a Poisson(1) count below ``most``."""
-    bounds, cumulative, term = [], 0.0, math.exp(-1.0)
-    for k in range(most):
+def poisson_weight_bounds() -> list[tuple[float, int]]:
+    """(upper bound of the uniform, count) of a Poisson(1) count, up to the bound that a double tells no more from 1."""
+    bounds, cumulative, term, k = [], 0.0, math.exp(-1.0), 0
+    while cumulative + term > cumulative:
         cumulative += term
         bounds.append((cumulative, k))
-        term /= k + 1
-    return bounds
+        k += 1
+        term /= k
+    return [*bounds[:-1], (1.0, bounds[-1][1])]
 
 
 def poisson_weight(address: Sequence[Column]) -> Column:
     """Poisson(1) count by inversion of one uniform."""
-    u = uniform(*address)
-    return F.coalesce(*[F.when(u < F.lit(bound), F.lit(k)) for bound, k in poisson_weight_bounds()], F.lit(12))
+    u = uniform52(*address)
+    return F.coalesce(*[F.when(u < F.lit(bound), F.lit(k)) for bound, k in poisson_weight_bounds()])
 
 
 def bootstrap_sums_poisson(sample: DataFrame, key: str, value: str, replicates: int, seed: int) -> DataFrame:

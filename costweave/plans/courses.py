@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from costweave.functions.scalars import lookup
@@ -20,7 +21,6 @@ from costweave.operators.reshape import (
     sum_bins,
     tagged_union,
     to_long,
-    widen,
 )
 from costweave.operators.resolve import first_appearance, left_attach, mark_first
 from costweave.operators.rollup import loose_sum, phase_totals, rollup_costs, selected_rollup, strict_mean
@@ -28,6 +28,7 @@ from costweave.params import DEFAULT, GERMINATION, LEGACY_GERMINATION
 from costweave.plans.frames import (
     SQL_ATTRIBUTES,
     SQL_COURSE,
+    SQL_HOUR,
     attributes,
     costed_course,
     quantity_course,
@@ -37,6 +38,7 @@ from costweave.plans.frames import (
     sql_fills,
     sql_long,
     table,
+    year_span,
 )
 from costweave.plans.registry import query, r, sql_r
 
@@ -79,8 +81,9 @@ def cost_by_entity(spark, sf_dir):
 
 SQL_STAGED = f"""{SQL_ATTRIBUTES},
 course AS (
-  SELECT l_partkey AS entity, l_returnflag AS stage, year(l_shipdate) - 1994 AS time, sum(l_quantity) AS value
-  FROM lineitem GROUP BY ALL HAVING sum(l_quantity) > 0),
+  SELECT entity, stage, time, sum(l_quantity) AS value
+  FROM (SELECT l_partkey AS entity, l_returnflag AS stage, {SQL_HOUR} AS time, l_quantity FROM lineitem)
+  GROUP BY ALL HAVING sum(l_quantity) > 0),
 fact AS (
   SELECT course.*, row_number() OVER (PARTITION BY entity ORDER BY time, stage) = 1 AS is_first, {sql_fills()}
   FROM course LEFT JOIN attr USING (entity)),
@@ -89,10 +92,11 @@ costed AS (SELECT *, {sql_costs(once='is_first')} FROM fact)"""
 
 def staged_course(spark, sf_dir):
     """Rows per part, stage and hour, the first one of each part flagged."""
+    first, _ = year_span(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("entity"),
         F.col("l_returnflag").alias("stage"),
-        (F.year("l_shipdate") - 1994).cast("long").alias("time"),
+        (F.year("l_shipdate") - first + 1).cast("long").alias("time"),
         "l_quantity",
     )
     course = lines.groupBy("entity", "stage", "time").agg(F.sum("l_quantity").alias("value")).where("value > 0")
@@ -111,9 +115,11 @@ def cost_by_stage(spark, sf_dir):
     return rolled.select("stage", "kind", r(F.col("cost"), 1).alias("cost"))
 
 
+#: Stage and its hours by place in the course; the last entry holds for all later ones.
 DEVELOPMENT = ((1, "dormant"), (2, "germination"), (3, "germination"), (4, "outgrowth1"), (5, "outgrowth2"))
-DEVELOPMENT += ((6, "burst"), (7, "burst"))
-HOURS = ((1, 0.0), (2, 0.25), (3, 0.25), (4, 0.25), (5, 0.5), (6, 1.0), (7, 3.0))
+LATER_STAGE = "burst"
+HOURS = ((1, 0.0), (2, 0.25), (3, 0.25), (4, 0.25), (5, 0.5), (6, 1.0))
+LATER_HOURS = 3.0
 
 
 @query(
@@ -134,7 +140,10 @@ def cost_by_development(spark, sf_dir):
     """Hours labelled with their stage of development, the dormant ones left out, priced by the time a stage takes."""
     course = quantity_course(spark, sf_dir).drop("is_first")
     labelled = course.withColumns(
-        {"label": lookup(F.col("time"), DEVELOPMENT), "hours": lookup(F.col("time"), HOURS)}
+        {
+            "label": F.coalesce(lookup(F.col("time"), DEVELOPMENT), F.lit(LATER_STAGE)),
+            "hours": F.coalesce(lookup(F.col("time"), HOURS), F.lit(LATER_HOURS)),
+        }
     ).where("label != 'dormant'")
     fact = left_attach(mark_first(labelled, ["entity"], ["time"]), attributes(spark, sf_dir), ["entity"])
     costed = with_costs(fill_attributes(fact, GERMINATION), GERMINATION, F.col("hours"), once="is_first")
@@ -144,14 +153,17 @@ def cost_by_development(spark, sf_dir):
 @query(
     "tagged_union",
     f"""SELECT l_returnflag AS source, count(*) AS n, {sql_r('sum(l_quantity)', 2)} AS quantity
-    FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY l_returnflag""",
+    FROM lineitem GROUP BY l_returnflag
+    UNION ALL SELECT 'orders' AS source, count(*) AS n, {sql_r('coalesce(sum(o_totalprice), 0)', 2)} AS quantity FROM orders
+      HAVING count(*) > 0""",
 )
 def stage_union(spark, sf_dir):
-    """One table per stage, tagged with its name and stacked."""
-    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
-    frames = {flag: lines.where(F.col("l_returnflag") == flag).select("l_quantity") for flag in ("A", "N", "R")}
-    stacked = tagged_union(frames)
-    return stacked.groupBy("source").agg(
+    """The stages of the line items, whose tag is a column already, and orders under a tag of their own, stacked."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("stage"), "l_quantity")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("l_quantity"))
+    stacked = tagged_union({"lines": lines, "orders": orders})
+    tagged = stacked.withColumn("source", F.when(F.col("source") == "lines", F.col("stage")).otherwise(F.col("source")))
+    return tagged.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), r(F.sum("l_quantity"), 2).alias("quantity")
     )
 
@@ -176,7 +188,8 @@ base AS (SELECT ids.entity, coalesce(value, 0e0) AS b FROM ids LEFT JOIN course
 shifted AS (
   SELECT base.entity, time // 2 AS slot, greatest(coalesce(value, 0e0) - b, 0e0) AS v
   FROM base JOIN course ON course.entity = base.entity AND time > 1),
-bins AS (SELECT entity, 'h' || CAST(slot AS VARCHAR) AS bin, sum(v) AS value FROM shifted GROUP BY ALL HAVING sum(v) <> 0)"""
+bins AS (SELECT entity, slot, 'h' || CAST(slot AS VARCHAR) AS bin, sum(v) AS value FROM shifted
+  GROUP BY entity, slot HAVING sum(v) <> 0)"""
 
 
 def binned_course(spark, sf_dir):
@@ -184,9 +197,14 @@ def binned_course(spark, sf_dir):
     wide = quantity_matrix(spark, sf_dir)
     later = columns_except(wide, "entity", "t1")
     clamped = subtract_baseline(wide, later, "t1")
-    bins = {"h1": ["t2", "t3"], "h2": ["t4", "t5"], "h3": ["t6", "t7"]}
+    bins: dict[str, list[str]] = {}
+    for name in later:
+        bins.setdefault(f"h{int(name[1:]) // 2}", []).append(name)
+    if not bins:  # a course of one year has nothing after its baseline
+        return wide.select("entity", F.lit("").alias("bin"), F.lit(0).alias("slot"), F.lit(0.0).alias("value")).limit(0)
     binned = sum_bins(clamped, bins, ["entity"])
-    return to_long(binned, ["entity"], columns_with_prefix(binned, "h"), "bin").where("value != 0")
+    long = to_long(binned, ["entity"], columns_with_prefix(binned, "h"), "bin").where("value != 0")
+    return long.withColumn("slot", F.substring("bin", 2, 10).cast("int"))
 
 
 @query("baseline_clamp_bins", f"WITH {SQL_BINS} SELECT entity, bin, {sql_r('value', 2)} AS value FROM bins")
@@ -197,7 +215,7 @@ def baseline_clamp_bins(spark, sf_dir):
 @query(
     "alternative_course_cost",
     f"""WITH {SQL_ATTRIBUTES},{SQL_BINS},
-    joined AS (SELECT bins.*, bin = min(bin) OVER (PARTITION BY entity) AS is_first, attr.* EXCLUDE (entity)
+    joined AS (SELECT bins.*, slot = min(slot) OVER (PARTITION BY entity) AS is_first, attr.* EXCLUDE (entity)
       FROM bins LEFT JOIN attr USING (entity)),
     fact AS (SELECT entity, bin, is_first, coalesce(abundance, 18e0) AS abundance_filled,
       coalesce(gene_length, 765e0) AS gene_length_filled,
@@ -209,7 +227,7 @@ def baseline_clamp_bins(spark, sf_dir):
 )
 def alternative_course_cost(spark, sf_dir):
     """The binned course costed, gaps in sequence cost filled with the median over first appearances."""
-    joined = left_attach(mark_first(binned_course(spark, sf_dir), ["entity"], ["bin"]), attributes(spark, sf_dir), ["entity"])
+    joined = left_attach(mark_first(binned_course(spark, sf_dir), ["entity"], ["slot"]), attributes(spark, sf_dir), ["entity"])
     once = joined.where("is_first")
     sequence = ["seq_opportunity", "seq_direct"]
     medians = exact_medians(once, sequence).select(F.struct(*sequence)).scalar()
@@ -229,53 +247,75 @@ def daily_scores(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("entity"), F.to_date("ts").alias("day"), "value"
     )
-    return events.groupBy("entity", "day").agg(F.sum("value").alias("score"))
+    cents = F.sum(F.round(F.col("value") * 100).cast("decimal(20,0)"))  # whole numbers: a step of zero is zero
+    return events.groupBy("entity", "day").agg(cents.alias("score"))
 
 
 SQL_STEPS = """
-daily AS (SELECT user_id AS entity, CAST(ts AS DATE) AS day, sum(value) AS score FROM events GROUP BY ALL),
+daily AS (SELECT user_id AS entity, CAST(ts AS DATE) AS day, sum(CAST(round(value * 100) AS HUGEINT)) AS score
+  FROM events GROUP BY ALL),
 steps AS (SELECT entity, day, score - lag(score) OVER (PARTITION BY entity ORDER BY day) AS step FROM daily)"""
 
 
 @query(
     "interval_deltas",
-    f"WITH {SQL_STEPS} SELECT entity, day, {sql_r('step', 4)} AS step FROM steps WHERE step > 0.00001",
+    f"WITH {SQL_STEPS} SELECT entity, day, {sql_r('CAST(step AS DOUBLE) / 100', 4)} AS step FROM steps WHERE step > 0",
 )
 def interval_deltas(spark, sf_dir):
     steps = series_steps(daily_scores(spark, sf_dir), ["entity"], "day", "score")
-    return steps.where("step > 0.00001").select("entity", "day", r(F.col("step"), 4).alias("step"))
+    risen = steps.where("step > 0")
+    return risen.select("entity", "day", r(F.col("step").cast("double") / 100, 4).alias("step"))
+
+
+#: Hours that the first intervals stand for; later intervals are as long as the last one.
+INTERVALS = (("H0_H6", 0.25), ("H6_H12", 0.5), ("H12_H18", 1.0))
+LATER_INTERVAL = 1.5
+SAMPLING_DAYS = 6
 
 
-WEEKS = {"H0": 0, "H6": 1, "H12": 2, "H18": 3, "H24": 4}
-INTERVALS = (("H0_H6", 0.25), ("H6_H12", 0.5), ("H12_H18", 1.0), ("H18_H24", 1.5))
+def sampling(events):
+    """Number of the sampling an event falls in: six days each, from the first day of the table."""
+    first = events.agg(F.min(F.to_date("ts"))).scalar()
+    return F.floor(F.datediff(F.to_date("ts"), first) / SAMPLING_DAYS)
 
 
 def increment_costs(spark, sf_dir):
-    """Scores at five samplings, differences of neighbouring columns, positive ones taken as abundance and costed."""
-    events = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("entity"), F.floor((F.dayofmonth("ts") - 1) / 6).alias("slot"), "value"
+    """Scores per sampling, rises over the one before taken as abundance and costed.
+
+    Scores are summed in whole hundredths, so a rise is told from none exactly. A sampling without events has score 0;
+    only samplings with events can hold a rise, so the absent ones need no rows.
+    """
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "value")
+    slots = events.select(
+        F.col("user_id").alias("entity"), sampling(events).alias("slot"), F.round(F.col("value") * 100).alias("cents")
     )
-    wide = widen(events, "entity", F.col("slot"), F.col("value"), WEEKS).na.fill(0.0, list(WEEKS))
-    names = columns_between(wide, "H0", "H24")
-    steps = column_steps(wide, [(f"{a}_{b}", b, a) for a, b in zip(names, names[1:])], ["entity"])
-    long = to_long(steps, ["entity"], columns_except(steps, "entity"), "interval", "score").where("score > 0.00001")
-    fact = left_attach(long, attributes(spark, sf_dir).drop("abundance"), ["entity"])
-    fact = fact.withColumn("abundance", F.col("score")).withColumn("hours", lookup(F.col("interval"), INTERVALS))
-    return rollup_costs(
-        with_costs(fill_attributes(fact, GERMINATION), GERMINATION, F.col("hours")), ["interval"], ("kind",)
+    scores = slots.groupBy("entity", "slot").agg(F.sum(F.col("cents").cast("decimal(20,0)")).alias("cents"))
+    w = Window.partitionBy("entity").orderBy("slot")
+    before = F.when(F.lag("slot").over(w) == F.col("slot") - 1, F.lag("cents").over(w))
+    rises = scores.withColumn("rise", F.col("cents") - F.coalesce(before, F.lit(0))).where("rise > 0 AND slot > 0")
+    label = F.concat(
+        F.lit("H"), (F.col("slot") - 1) * SAMPLING_DAYS, F.lit("_H"), F.col("slot") * SAMPLING_DAYS
     )
+    long = rises.select(
+        "entity", label.alias("interval"), (F.col("rise").cast("double") / 100).alias("abundance")
+    )
+    fact = left_attach(long, attributes(spark, sf_dir).drop("abundance"), ["entity"])
+    hours = F.coalesce(lookup(F.col("interval"), INTERVALS), F.lit(LATER_INTERVAL))
+    return rollup_costs(with_costs(fill_attributes(fact, GERMINATION), GERMINATION, hours), ["interval"], ("kind",))
 
 
 SQL_INCREMENTS = f"""{SQL_ATTRIBUTES},
-slots AS (SELECT user_id AS entity, (day(ts) - 1) // 6 AS slot, sum(value) AS score FROM events GROUP BY ALL),
+slots AS (SELECT user_id AS entity, (CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events)) // {SAMPLING_DAYS} AS slot,
+    CAST(sum(CAST(round(value * 100) AS HUGEINT)) AS HUGEINT) AS score FROM events GROUP BY ALL),
 ids AS (SELECT DISTINCT user_id AS entity FROM events),
-filled AS (SELECT ids.entity, g.slot, coalesce(slots.score, 0e0) AS score
-  FROM ids CROSS JOIN (SELECT unnest(range(0, 5)) AS slot) g LEFT JOIN slots ON slots.entity = ids.entity AND slots.slot = g.slot),
+filled AS (SELECT ids.entity, g.slot, coalesce(slots.score, 0) AS score
+  FROM ids CROSS JOIN (SELECT unnest(range(0, (SELECT max(slot) + 1 FROM slots))) AS slot) g
+  LEFT JOIN slots ON slots.entity = ids.entity AND slots.slot = g.slot),
 steps AS (SELECT entity, slot, score - lag(score) OVER (PARTITION BY entity ORDER BY slot) AS score FROM filled),
-kept AS (SELECT entity, score AS abundance,
-    CASE slot WHEN 1 THEN 'H0_H6' WHEN 2 THEN 'H6_H12' WHEN 3 THEN 'H12_H18' ELSE 'H18_H24' END AS "interval",
+kept AS (SELECT entity, CAST(score AS DOUBLE) / 100 AS abundance,
+    'H' || CAST((slot - 1) * 6 AS VARCHAR) || '_H' || CAST(slot * 6 AS VARCHAR) AS "interval",
     CASE slot WHEN 1 THEN 0.25e0 WHEN 2 THEN 0.5e0 WHEN 3 THEN 1e0 ELSE 1.5e0 END AS hours
-  FROM steps WHERE score > 0.00001),
+  FROM steps WHERE score > 0),
 fact AS (SELECT kept.entity, "interval", hours, {sql_fills(GERMINATION).replace('abundance,', 'kept.abundance,')}
   FROM kept LEFT JOIN attr USING (entity)),
 costed AS (SELECT *, {sql_costs(GERMINATION, 'hours')} FROM fact),
@@ -300,9 +340,8 @@ def increment_cost(spark, sf_dir):
 def phases(spark, sf_dir):
     """First interval folded into the second, then germination against outgrowth."""
     folded = fold_bucket(increment_costs(spark, sf_dir), "interval", "H0_H6", "H6_H12", ["kind"], "cost")
-    totals = phase_totals(
-        folded, "interval", {"germination": ["H6_H12"], "outgrowth": ["H12_H18", "H18_H24"]}
-    )
+    named = folded.withColumn("interval", F.when(F.col("interval") == "H6_H12", "early").otherwise("late"))
+    totals = phase_totals(named, "interval", {"germination": ["early"], "outgrowth": ["late"]})
     return totals.select("phase", r(F.col("cost"), 1).alias("cost"))
 
 
@@ -335,15 +374,17 @@ def first_seen(spark, sf_dir):
     return first_appearance(seen, ["entity"], ["year", "stage"])
 
 
-CALLS = (("t1_t2", 0.25, "H0.25"), ("t2_t3", 0.25, "H0.5"), ("t3_t4", 0.5, "H1"), ("t4_t5", 1.0, "H2"))
-CALLS += (("t5_t6", 1.5, "H3.5"), ("t6_t7", 2.0, "H5.5"))
+#: Hours and bucket of an interval by the hour that ends it; the last entry holds for all later ones.
+CALLS = ((2, 0.25, "H0.25"), (3, 0.25, "H0.5"), (4, 0.5, "H1"), (5, 1.0, "H2"), (6, 1.5, "H3.5"))
+LATER_CALL = (2.0, "H5.5")
 
 
 def up_calls(spark, sf_dir):
     """Sign of the yearly change of each part, as calls -1 / 0 / 1; only the rises are kept."""
     wide = quantity_matrix(spark, sf_dir).na.fill(0.0)
-    names = columns_between(wide, "t1", "t7")
-    steps = column_steps(wide, [(f"{a}_{b}", b, a) for a, b in zip(names, names[1:])], ["entity"])
+    names = columns_between(wide, "t1", wide.columns[-1])
+    pairs = [(f"{a}_{b}", b, a) for a, b in zip(names, names[1:])] or [("t1_t2", "t1", "t1")]
+    steps = column_steps(wide, pairs, ["entity"])
     signs = steps.select("entity", *[F.signum(c).cast("int").alias(c) for c in columns_with_prefix(steps, "t")])
     long = to_long(signs, ["entity"], columns_with_prefix(signs, "t"), "interval", "call")
     return long.where("call != 0").where("call != -1")
@@ -352,7 +393,7 @@ def up_calls(spark, sf_dir):
 SQL_CALLS = f"""{SQL_COURSE},
 ids AS (SELECT DISTINCT l_partkey AS entity FROM lineitem),
 filled AS (SELECT ids.entity, g.time, coalesce(course.value, 0e0) AS value
-  FROM ids CROSS JOIN (SELECT unnest(range(1, 8)) AS time) g
+  FROM ids CROSS JOIN (SELECT unnest(range(1, (SELECT max(time) + 1 FROM course))) AS time) g
   LEFT JOIN course ON course.entity = ids.entity AND course.time = g.time),
 changes AS (SELECT entity, time, value - lag(value) OVER (PARTITION BY entity ORDER BY time) AS change FROM filled),
 calls AS (SELECT entity, 't' || CAST(time - 1 AS VARCHAR) || '_t' || CAST(time AS VARCHAR) AS "interval", time,
@@ -363,11 +404,18 @@ calls AS (SELECT entity, 't' || CAST(time - 1 AS VARCHAR) || '_t' || CAST(time A
 
 @query("upregulated_long", f'WITH {SQL_CALLS} SELECT entity, "interval", hours, bucket FROM calls')
 def upregulated_long(spark, sf_dir):
-    return up_calls(spark, sf_dir).select(
+    return timed_calls(spark, sf_dir).drop("ends")
+
+
+def timed_calls(spark, sf_dir):
+    ends = F.substring_index("interval", "_t", -1).cast("int")
+    calls = up_calls(spark, sf_dir).withColumn("ends", ends)
+    return calls.select(
         "entity",
         "interval",
-        lookup(F.col("interval"), [(n, h) for n, h, _ in CALLS]).alias("hours"),
-        lookup(F.col("interval"), [(n, b) for n, _, b in CALLS]).alias("bucket"),
+        F.coalesce(lookup(F.col("ends"), [(n, h) for n, h, _ in CALLS]), F.lit(LATER_CALL[0])).alias("hours"),
+        F.coalesce(lookup(F.col("ends"), [(n, b) for n, _, b in CALLS]), F.lit(LATER_CALL[1])).alias("bucket"),
+        "ends",
     )
 
 
@@ -382,8 +430,8 @@ def upregulated_long(spark, sf_dir):
 )
 def upregulated_cost(spark, sf_dir):
     """Rises costed by interval: transcripts for as long as the interval lasts, the rest at the first rise."""
-    calls = upregulated_long(spark, sf_dir)
-    fact = left_attach(mark_first(calls, ["entity"], ["interval"]), attributes(spark, sf_dir), ["entity"])
+    calls = timed_calls(spark, sf_dir)
+    fact = left_attach(mark_first(calls, ["entity"], ["ends"]), attributes(spark, sf_dir), ["entity"])
     costed = with_costs(fill_attributes(fact, GERMINATION), GERMINATION, F.col("hours"), once="is_first")
     return rollup_costs(costed, ["bucket"], ("kind",)).select("bucket", "kind", r(F.col("cost"), 1).alias("cost"))
 
@@ -391,7 +439,8 @@ def upregulated_cost(spark, sf_dir):
 @query(
     "presence_course_cost",
     f"""WITH {SQL_ATTRIBUTES},
-    seen AS (SELECT DISTINCT user_id AS entity, (day(ts) - 1) // 6 AS slot FROM events WHERE day(ts) <= 30),
+    seen AS (SELECT DISTINCT user_id AS entity,
+      (CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events)) // {SAMPLING_DAYS} AS slot FROM events),
     fact AS (SELECT seen.*, slot = min(slot) OVER (PARTITION BY entity) AS is_first, {sql_fills(LEGACY_GERMINATION)}
       FROM seen LEFT JOIN attr USING (entity)),
     costed AS (SELECT *, {sql_costs(GERMINATION, '0.5e0', 'is_first')} FROM fact),
@@ -399,16 +448,10 @@ def upregulated_cost(spark, sf_dir):
     SELECT CAST(slot * 30 + 30 AS BIGINT) AS minutes, process, kind, {sql_r('sum(cost)', 1)} AS cost FROM long GROUP BY ALL""",
 )
 def presence_course_cost(spark, sf_dir):
-    """0/1 presence of users in five samplings, costed by sampling; half an hour of transcripts each."""
-    events = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("entity"), F.floor((F.dayofmonth("ts") - 1) / 6).alias("slot")
-    )
-    slots = {"t30": 0, "t60": 1, "t90": 2, "t120": 3, "t150": 4}
-    wide = events.groupBy("entity").agg(
-        *[F.coalesce(F.max(F.when(F.col("slot") == v, 1)), F.lit(0)).alias(n) for n, v in slots.items()]
-    )
-    long = to_long(wide, ["entity"], list(slots), "time", "presence").where("presence != 0")
-    timed = long.withColumn("minutes", F.regexp_replace("time", "t", "").cast("long"))
+    """Presence of users per sampling, costed by sampling; half an hour of transcripts each. Absence has no row."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts")
+    seen = events.select(F.col("user_id").alias("entity"), sampling(events).alias("slot")).distinct()
+    timed = seen.select("entity", (F.col("slot") * 30 + 30).cast("long").alias("minutes"))
     fact = left_attach(mark_first(timed, ["entity"], ["minutes"]), attributes(spark, sf_dir), ["entity"])
     costed = with_costs(fill_attributes(fact, GERMINATION), GERMINATION, 0.5, once="is_first")
     return rollup_costs(costed, ["minutes"]).select("minutes", "process", "kind", r(F.col("cost"), 1).alias("cost"))
@@ -417,14 +460,16 @@ def presence_course_cost(spark, sf_dir):
 @query(
     "mean_positive_long",
     f"""WITH means AS (
-      SELECT year(l_shipdate) - 1994 AS time, l_returnflag AS stage, l_linestatus, l_suppkey, l_partkey,
-        avg(l_quantity - 20e0) AS m FROM lineitem GROUP BY ALL HAVING avg(l_quantity - 20e0) > 0)
+      SELECT time, stage, l_linestatus, l_suppkey, l_partkey, avg(l_quantity - 20e0) AS m
+        FROM (SELECT {SQL_HOUR} AS time, l_returnflag AS stage, l_linestatus, l_suppkey, l_partkey, l_quantity FROM lineitem)
+        GROUP BY ALL HAVING avg(l_quantity - 20e0) > 0)
     SELECT time, stage, count(*) AS n, {sql_r('sum(m)', 3)} AS total FROM means GROUP BY time, stage""",
 )
 def mean_positive_long(spark, sf_dir):
     """Mean by five keys, positive means kept, then counted by hour and stage."""
+    first, _ = year_span(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").select(
-        (F.year("l_shipdate") - 1994).cast("long").alias("time"),
+        (F.year("l_shipdate") - first + 1).cast("long").alias("time"),
         F.col("l_returnflag").alias("stage"),
         "l_linestatus",
         "l_suppkey",

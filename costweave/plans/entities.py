@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from costweave.functions.scalars import band, fill
@@ -20,6 +22,7 @@ from costweave.operators.costs import (
     with_costs,
 )
 from costweave.operators.fill import attach_group_size, fill_attributes, fill_median
+from costweave.operators.quantiles import exact_medians
 from costweave.operators.reshape import to_long
 from costweave.operators.resolve import (
     left_attach,
@@ -152,12 +155,27 @@ costed AS (SELECT *, CASE WHEN score < 0.31e0 THEN 'essential' WHEN score > 0.31
   {sql_costs()} FROM fact)"""
 
 
-def scored(spark, sf_dir):
-    """Entities with a relative score and its success band, costed."""
+SQL_SCORED_MEDIAN = SQL_SCORED.replace(
+    "costed AS (SELECT *,",
+    """med AS (SELECT fact.* EXCLUDE (seq_opportunity_filled, seq_direct_filled),
+    (SELECT median(attr.seq_opportunity) FROM customer JOIN attr ON attr.entity = c_custkey) AS seq_opportunity_filled,
+    (SELECT median(attr.seq_direct) FROM customer JOIN attr ON attr.entity = c_custkey) AS seq_direct_filled FROM fact),
+costed AS (SELECT *,""",
+)
+SQL_SCORED_MEDIAN = SQL_SCORED_MEDIAN[: SQL_SCORED_MEDIAN.rindex("FROM fact")] + "FROM med)"
+
+
+def scored(spark, sf_dir, sequences: str = "fill"):
+    """Entities with a relative score and its success band, costed; sequence costs filled or replaced by medians."""
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("entity"), (F.col("c_acctbal") / 10000.0).alias("score"), "c_mktsegment"
     )
-    fact = fill_attributes(left_attach(customers, attributes(spark, sf_dir), ["entity"]), DEFAULT)
+    joined = left_attach(customers, attributes(spark, sf_dir), ["entity"])
+    fact = fill_attributes(joined, DEFAULT)
+    if sequences == "replace":
+        names = ["seq_opportunity", "seq_direct"]
+        medians = exact_medians(joined, names).select(F.struct(*names)).scalar()
+        fact = fact.withColumns({f"{n}_filled": medians[n] for n in names})
     return with_costs(fact.withColumn("success", band(F.col("score"), SUCCESS_BANDS)))
 
 
@@ -174,6 +192,20 @@ def band_classify_costs(spark, sf_dir):
     )
 
 
+@query(
+    "band_classify_medians",
+    f"""WITH {SQL_SCORED_MEDIAN}, long AS ({sql_long('costed', 'success')}),
+    sums AS (SELECT success, process, kind, sum(cost) AS cost FROM long WHERE success <> '90% success' GROUP BY ALL)
+    SELECT success, process, kind, {sql_r('cost', 1)} AS cost,
+      {sql_r('cost * 100e0 / (SELECT sum(cost) FROM sums)', 6)} AS ratio FROM sums""",
+)
+def band_classify_medians(spark, sf_dir):
+    """Band costs with every sequence cost replaced by the median over the scored entities."""
+    return band_costs(scored(spark, sf_dir, "replace"), "success", ["90% success"]).select(
+        "success", "process", "kind", r(F.col("cost"), 1).alias("cost"), r(F.col("ratio"), 6).alias("ratio")
+    )
+
+
 @query(
     "quality_by_cost",
     f"""WITH {SQL_SCORED},{SQL_COURSE}, seen AS (SELECT entity, min(time) AS time FROM course GROUP BY entity)
@@ -219,53 +251,52 @@ SQL_PRESENCE = """
 pairs AS (SELECT DISTINCT l_partkey AS entity, s_nationkey AS nation
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
 held AS (SELECT entity, count(*) AS present FROM pairs GROUP BY entity)"""
-NATIONS = range(25)
 
 
-def presence_matrix(spark, sf_dir):
-    """Parts against supplier nations, cells ``present`` or ``absent``."""
+def presence_counts(spark, sf_dir):
+    """(entity, present, places): nations that supply a part, and nations there are.
+
+    Pairs are made different before they are counted; a nation that supplies nothing is only in the total.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    found = lines.join(suppliers, "l_suppkey").groupBy(F.col("l_partkey").alias("entity"))
-    # one narrow buffer per part: the set of nations as bits
-    bits = found.agg(F.bit_or(F.expr("shiftleft(1L, s_nationkey)")).alias("bits"))
-    return bits.select(
-        "entity",
-        *[
-            F.when(F.col("bits").bitwiseAND(F.lit(1 << n)) != 0, "present").otherwise("absent").alias(f"n{n}")
-            for n in NATIONS
-        ],
-    )
+    pairs = lines.join(suppliers, "l_suppkey").select(F.col("l_partkey").alias("entity"), "s_nationkey").distinct()
+    places = table(spark, sf_dir, "nation").agg(F.count_distinct("n_nationkey")).scalar()
+    held = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("present"))
+    return held.withColumn("places", places)
+
+
+SQL_NATIONS = "(SELECT count(DISTINCT n_nationkey) FROM nation)"
 
 
 @query(
     "presence_frequency",
-    f"WITH {SQL_PRESENCE} SELECT entity, {sql_r('present / 25e0 * 100e0', 4)} AS frequency FROM held",
+    f"""WITH {SQL_PRESENCE}
+    SELECT entity, {sql_r(f'CAST(present AS DOUBLE) / {SQL_NATIONS} * 100e0', 4)} AS frequency FROM held""",
 )
 def presence_frequency(spark, sf_dir):
-    share = presence_share([f"n{n}" for n in NATIONS])
-    return presence_matrix(spark, sf_dir).select("entity", r(share, 4).alias("frequency"))
+    share = presence_share(F.col("present"), F.col("places"))
+    return presence_counts(spark, sf_dir).select("entity", r(share, 4).alias("frequency"))
 
 
 @query(
     "conserved_presence",
     f"""WITH {sql_costed_parts()},{SQL_PRESENCE},
     long AS ({sql_long('costed', 'entity, p_type')}),
-    cells AS (SELECT held.entity, g.nation, CASE WHEN pairs.entity IS NULL THEN 'absent' ELSE 'present' END AS presence
-      FROM held CROSS JOIN (SELECT unnest(range(0, 25)) AS nation) g
+    cells AS (SELECT held.entity, CASE WHEN pairs.entity IS NULL THEN 'absent' ELSE 'present' END AS presence
+      FROM held CROSS JOIN (SELECT DISTINCT n_nationkey AS nation FROM nation) g
       LEFT JOIN pairs ON pairs.entity = held.entity AND pairs.nation = g.nation)
     SELECT p_type, process, kind, presence, count(*) AS n, {sql_r('avg(cost)', 2)} AS cost,
       {sql_r('avg(cost / 2.6e10 * 0.69e0) * 1e9', 2)} AS selection_nano
     FROM cells JOIN long USING (entity) GROUP BY ALL""",
 )
 def conserved_presence(spark, sf_dir):
-    """Mean cost and selection by type, process, kind and presence, over all cells of the presence table.
+    """Mean cost and selection by type, process, kind and presence, over all cells of part and nation.
 
-    Cells of one part and state carry the same cost, so they are counted before the join that multiplies rows.
+    Cells of one part and state carry the same cost, so they are counted and never made.
     """
-    wide = presence_matrix(spark, sf_dir)
-    cells = to_long(wide, ["entity"], [f"n{n}" for n in NATIONS], "nation", "presence")
-    counted = cells.groupBy("entity", "presence").agg(F.count(F.lit(1)).alias("cells"))
+    counts = presence_counts(spark, sf_dir).withColumn("absent", F.col("places") - F.col("present"))
+    counted = to_long(counts, ["entity"], ["present", "absent"], "presence", "cells").where("cells > 0")
     costs = selection_long(
         costed_parts(spark, sf_dir), ["entity", "p_type"], DEFAULT.cell_budget, DEFAULT.selection_factor
     )
@@ -411,9 +442,18 @@ def group_size_norm(spark, sf_dir):
     return sums.select("success", "members", r(F.try_divide("total", "members"), 2).alias("norm"))
 
 
+#: Lipids of both leaflets of a cell, head and tail, opportunity and direct.
+MEMBRANE = (
+    4 * math.pi * (DEFAULT.cell_length * DEFAULT.cell_width
+    + (DEFAULT.cell_length - DEFAULT.bilayer) * (DEFAULT.cell_width - DEFAULT.bilayer))
+    / DEFAULT.head_group_area / DEFAULT.protein_discount * (DEFAULT.lipid_opportunity + DEFAULT.lipid_direct)
+)
+
+
 @query(
     "trait_budget",
-    f"""WITH {SQL_ATTRIBUTES},
+    f"""WITH {sql_costed_course().replace('fact AS', 'course_fact AS').replace('FROM fact', 'FROM course_fact').replace(
+        'costed AS (', 'course_costed AS (')},
     kept AS (SELECT * FROM attr WHERE p_type <> 'PROMO' AND p_type <> 'SMALL'),
     fact AS (SELECT p_type, coalesce(abundance, 18e0) AS abundance_filled, gene_length AS gene_length_filled,
       median(seq_opportunity) OVER (PARTITION BY p_type) AS seq_opportunity_filled,
@@ -421,7 +461,8 @@ def group_size_norm(spark, sf_dir):
     costed AS (SELECT *, {sql_costs()} FROM fact),
     sums AS (SELECT p_type AS category, coalesce(sum({SQL_TOTAL}), 0) AS cost FROM costed GROUP BY 1
       UNION ALL SELECT * FROM (VALUES ('growth requirements', 2.6e10), ('basal metabolism', 3.5e8),
-        ('genome replication', 417266190e0)))
+        ('membrane', {MEMBRANE!r}), ('genome replication', 417266190e0))
+      UNION ALL SELECT 'developmental programm', (SELECT coalesce(sum({SQL_TOTAL}), 0) FROM course_costed))
     SELECT category, {sql_r('cost', 1)} AS cost, {sql_r('cost * 100e0 / 2.6e10', 6)} AS budget_share,
       {sql_r('log10(cost)', 6)} AS log_cost FROM sums""",
 )
@@ -437,8 +478,11 @@ def trait_budget(spark, sf_dir):
     reference = [
         ("growth requirements", DEFAULT.cell_budget),
         ("basal metabolism", DEFAULT.basal_per_hour),
+        ("membrane", MEMBRANE),
         ("genome replication", genome["opportunity"] + genome["direct"]),
     ]
+    programme = costed_course(spark, sf_dir).agg(loose_sum(total_cost()).alias("cost"))
+    sums = sums.unionByName(programme.select(F.lit("developmental programm").alias("category"), "cost"))
     return (
         budget_table(sums, "category", reference, DEFAULT.cell_budget)
         .select(

@@ -11,8 +11,6 @@ from costweave.operators.reshape import columns_with_prefix, first_positive, to_
 from costweave.operators.resolve import left_attach
 from costweave.params import DEFAULT, RESIDUE_PRICES, CostParams
 
-YEARS = {f"t{i}": 1994 + i for i in range(1, 8)}
-
 
 SCHEMAS = {
     "lineitem": """l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,
@@ -22,6 +20,7 @@ SCHEMAS = {
         o_orderdate timestamp_ntz, o_orderpriority string""",
     "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
     "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
     "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
@@ -33,12 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def year_span(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First and last year of the line items: an hour of the course is a year, counted from the first as 1."""
+    year = F.year("l_shipdate")
+    first, last = table(spark, sf_dir, "lineitem").agg(F.min(year), F.max(year)).first()
+    return (first, last) if first is not None else (1, 1)
+
+
+def hour_labels(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """Column ``t<hour>`` of every year of the table. Two numbers come from the data, so that columns can be named."""
+    first, last = year_span(spark, sf_dir)
+    return {f"t{year - first + 1}": year for year in range(first, last + 1)}
+
+
 def quantity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide time matrix: ordered quantity per part, one column per year."""
+    """Wide time matrix: ordered quantity per part, one column per year of the table."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("entity"), F.year("l_shipdate").alias("year"), "l_quantity"
     )
-    return widen(lines, "entity", F.col("year"), F.col("l_quantity"), YEARS)
+    return widen(lines, "entity", F.col("year"), F.col("l_quantity"), hour_labels(spark, sf_dir))
 
 
 def quantity_course(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +114,13 @@ attr AS (
     CASE WHEN p_size % 5 <> 0 THEN {sql_letters('p_name', 2)} END AS seq_direct
   FROM part)"""
 
-SQL_COURSE = """
+SQL_HOUR = "year(l_shipdate) - (SELECT min(year(l_shipdate)) FROM lineitem) + 1"
+
+SQL_COURSE = f"""
 course AS (
-  SELECT l_partkey AS entity, year(l_shipdate) - 1994 AS time, sum(l_quantity) AS value
-  FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2001
-  GROUP BY ALL HAVING sum(l_quantity) > 0)"""
+  SELECT entity, time, sum(l_quantity) AS value
+  FROM (SELECT l_partkey AS entity, {SQL_HOUR} AS time, l_quantity FROM lineitem)
+  GROUP BY entity, time HAVING sum(l_quantity) > 0)"""
 
 
 def sql_fills(p: CostParams = DEFAULT) -> str:

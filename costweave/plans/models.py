@@ -16,8 +16,9 @@ from costweave.functions.scalars import (
     strip_letters,
 )
 from costweave.operators.costs import total_cost
+from costweave.functions.draws import normal_cdf, normal_quantile, normal_tail
 from costweave.operators.curve import asymptotic_fit, asymptotic_predict
-from costweave.operators.density import box_summary, histogram, kernel_density, rule_bandwidth
+from costweave.operators.density import box_summary, density_curve, histogram, kernel_density, rule_bandwidth
 from costweave.operators.ordination import principal_axes
 from costweave.operators.regress import linear_fit
 from costweave.operators.resolve import left_attach
@@ -32,7 +33,7 @@ from costweave.operators.sampling import (
 )
 from costweave.operators.similarity import jaccard_distances, restrict_columns
 from costweave.params import DEFAULT, EFFICIENCY_BANDWIDTH, T_975_49
-from costweave.plans.entities import NATIONS, SQL_PRESENCE, SQL_TOTAL, presence_matrix
+from costweave.plans.entities import SQL_NATIONS, SQL_PRESENCE, SQL_TOTAL, presence_counts
 from costweave.plans.frames import costed_parts, sql_costed_parts, sql_long, table
 from costweave.plans.registry import query, r, sql_r
 
@@ -46,33 +47,47 @@ def _sql_fit() -> str:
 
     def best(source: str, name: str) -> str:
         return f"""
-{name}_sums AS (SELECT event_type, lrc, count(*)::DOUBLE AS n, sum(e) AS se, sum(e * e) AS see, sum(y) AS sy,
-    sum(y * y) AS syy, sum(e * y) AS sey, sum(log10(y)) AS sl, sum(log10(y) * log10(y)) AS sll
-  FROM (SELECT event_type, lrc, y, exp(-exp(lrc) * x) AS e FROM {source}) GROUP BY event_type, lrc),
-{name}_fit AS (SELECT event_type, lrc, n, see - se * se / n AS dee, sey - se * sy / n AS dey, syy - sy * sy / n AS tss,
-    sy / n AS m, se / n AS me, sll - 2 * (sy / n) * sl + n * (sy / n) * (sy / n) AS mixed FROM {name}_sums),
-{name} AS (SELECT event_type, lrc, n, m - dey / dee * me AS asym, dey / dee AS b, tss - dey / dee * dey AS rss, tss, mixed
+{name}_sums AS (SELECT event_type, lrc, any_value(m) AS m, count(*)::DOUBLE AS n, avg(e) AS me, avg(c) AS c, avg(y - m) AS my
+  FROM (SELECT *, exp(-exp(lrc) * mx) AS c, exp(-exp(lrc) * x) - exp(-exp(lrc) * mx) AS e FROM {source}) GROUP BY event_type, lrc),
+{name}_fit AS (SELECT s.event_type, s.lrc, any_value(s.m) AS m, any_value(n) AS n, any_value(me) AS me, any_value(c) AS c,
+    sum((exp(-exp(g.lrc) * x) - c - me) * (exp(-exp(g.lrc) * x) - c - me)) AS dee,
+    sum((exp(-exp(g.lrc) * x) - c - me) * (y - g.m)) AS dey, sum((y - g.m) * (y - g.m)) AS tss,
+    sum(log10(y) * log10(y)) - 2 * any_value(s.m) * sum(log10(y)) + any_value(n) * any_value(s.m) * any_value(s.m) AS mixed
+  FROM {source} g JOIN {name}_sums s ON g.event_type = s.event_type AND g.lrc = s.lrc GROUP BY s.event_type, s.lrc),
+{name} AS (SELECT event_type, lrc, n, m - dey / dee * (me + c) AS asym, dey / dee AS b, tss, mixed
   FROM {name}_fit WHERE dee > 0
-  QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY tss - dey / dee * dey, lrc) = 1)"""
-
-    text = f"""series AS (SELECT event_type, day(ts) / 4e0 AS x, sum(value) AS y FROM events GROUP BY ALL),
-grid1 AS (SELECT series.*, (k - 30)::DOUBLE / 10 AS lrc FROM series CROSS JOIN (SELECT unnest(range(0, 41)) AS k)),
+  QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round((tss - dey / dee * dey) / tss * 1e13), lrc) = 1)"""
+
+    text = f"""points AS (SELECT event_type, (CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) + 1) / 4e0 AS x,
+  sum(value) AS y FROM events GROUP BY ALL),
+shapes AS (SELECT event_type, avg(y) AS m, avg(x) AS mx, floor(ln(1e-4 / (max(x) - min(x))) * 10) AS low,
+    ceil(ln(1e1 * (count(DISTINCT x) - 1) / (max(x) - min(x))) * 10) AS high
+  FROM points GROUP BY event_type HAVING max(x) > min(x)),
+series AS (SELECT * FROM points JOIN shapes USING (event_type)),
+grid1 AS (SELECT series.*, k::DOUBLE / 10 AS lrc FROM series
+  JOIN (SELECT event_type, unnest(range(low::BIGINT, high::BIGINT + 1)) AS k FROM shapes) USING (event_type)),
 {best('grid1', 'f1')}"""
     step = 10
     for i in range(2, FIT_ROUNDS + 1):
         step *= 20
         text += f""",
-grid{i} AS (SELECT s.event_type, s.x, s.y, f.lrc + k / {step}e0 AS lrc
+grid{i} AS (SELECT s.*, f.lrc + k / {step}e0 AS lrc
   FROM series s JOIN f{i - 1} f ON f.event_type = s.event_type CROSS JOIN (SELECT unnest(range(-20, 21))::DOUBLE AS k)),
 {best(f'grid{i}', f'f{i}')}"""
-    return text
+    return text + f""",
+curve AS (SELECT f.event_type, f.n, CASE WHEN f.lrc > low / 10 + 0.05e0 AND f.lrc < high / 10 - 0.05e0 THEN f.lrc END AS lrc,
+    f.asym, f.b, f.tss, f.mixed, r.rss
+  FROM f{FIT_ROUNDS} f JOIN shapes USING (event_type) JOIN (
+    SELECT s.event_type, sum(pow(y - (asym + b * exp(-exp(lrc) * x)), 2)) AS rss
+    FROM series s JOIN f{FIT_ROUNDS} USING (event_type) GROUP BY s.event_type) r USING (event_type))"""
 
 
 def daily_fit(spark, sf_dir):
     """Asymptotic curve of the daily value of each event type."""
+    events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    day = F.datediff("day", events.agg(F.min("day")).scalar()) + 1
     series = (
-        table(spark, sf_dir, "events")
-        .groupBy("event_type", (F.dayofmonth("ts") / F.lit(4.0)).alias("x"))
+        events.groupBy("event_type", (day / F.lit(4.0)).alias("x"))
         .agg(F.sum("value").alias("y"))
     )
     return asymptotic_fit(series, ["event_type"], "x", "y", rounds=FIT_ROUNDS)
@@ -81,9 +96,10 @@ def daily_fit(spark, sf_dir):
 @query(
     "asymptotic_fit",
     f"""WITH {_sql_fit()}
-    SELECT event_type, {sql_r('lrc', 5)} AS lrc, n::BIGINT AS n, {sql_r('asym', 3)} AS asym, {sql_r('asym + b', 3)} AS r0,
-      {sql_r('rss', 1)} AS rss, {sql_r('1 - rss / tss', 6)} AS r2, {sql_r('1 - rss / mixed', 6)} AS r2_mixed
-    FROM f{FIT_ROUNDS}""",
+    SELECT event_type, n::BIGINT AS n, {', '.join(f"CASE WHEN lrc IS NOT NULL THEN {sql_r(c, d)} END AS {name}" for name, c, d in (
+        ('lrc', 'lrc', 5), ('asym', 'asym', 3), ('r0', 'asym + b', 3), ('rss', 'rss', 1), ('r2', '1 - rss / tss', 6),
+        ('r2_mixed', '1 - rss / mixed', 6)))}
+    FROM curve""",
 )
 def fit_query(spark, sf_dir):
     fit = daily_fit(spark, sf_dir)
@@ -95,7 +111,7 @@ def fit_query(spark, sf_dir):
     "asymptotic_predict",
     f"""WITH {_sql_fit()}
     SELECT event_type, k / 10e0 AS x, {sql_r('asym + b * exp(-exp(lrc) * (k / 10e0))', 3)} AS predicted
-    FROM f{FIT_ROUNDS} CROSS JOIN (SELECT unnest(range(10, 71)) AS k)""",
+    FROM curve CROSS JOIN (SELECT unnest(range(10, 71)) AS k)""",
 )
 def predict_query(spark, sf_dir):
     predicted = asymptotic_predict(daily_fit(spark, sf_dir), ["event_type"], 1, 7, 10)
@@ -139,14 +155,14 @@ def selection_fit(spark, sf_dir):
 @query(
     "presence_cost_fit",
     f"""WITH {sql_costed_parts()},{SQL_PRESENCE},
-    pts AS (SELECT log10({SQL_TOTAL}) AS x, present / 25e0 * 100e0 AS y FROM held JOIN costed USING (entity))
+    pts AS (SELECT log10({SQL_TOTAL}) AS x, CAST(present AS DOUBLE) / {SQL_NATIONS} * 100e0 AS y FROM held JOIN costed USING (entity))
     SELECT regr_count(y, x)::BIGINT AS n, {sql_r('regr_slope(y, x)', 6)} AS slope,
       {sql_r('regr_intercept(y, x)', 5)} AS intercept, {sql_r('regr_r2(y, x)', 7)} AS r2 FROM pts""",
 )
 def presence_cost_fit(spark, sf_dir):
     """How often a part is present, against its total cost."""
-    share = presence_share([f"n{n}" for n in NATIONS])
-    present = presence_matrix(spark, sf_dir).select("entity", share.alias("y"))
+    share = presence_share(F.col("present"), F.col("places"))
+    present = presence_counts(spark, sf_dir).select("entity", share.alias("y"))
     costs = costed_parts(spark, sf_dir).select("entity", F.log10(total_cost()).alias("x"))
     fit = linear_fit(present.join(costs, "entity"), [], "x", "y")
     return fit.select(
@@ -166,31 +182,37 @@ def _sql_word(address: str, digits: int) -> str:
     return f"('0x' || substr(md5({address}), 1, {digits}))::BIGINT"
 
 
-def _sql_uniform(address: str) -> str:
-    return f"(({_sql_word(address, 8)} + 0.5e0) / 4294967296e0)"
+def sql_uniform52(address: str) -> str:
+    return f"(({_sql_word(address, 13)} + 0.5e0) / {float(2**52)!r})"
+
+
+#: Upper bound of the draws: event values end below it.
+EFFICIENCY_MOST = 500.0
 
 
 @query(
     "truncnorm_resample",
-    f"""WITH sample AS (SELECT event_id, value FROM events WHERE value < 100),
-    indexed AS (SELECT value, row_number() OVER (ORDER BY md5('{SEED}:' || event_id), event_id) - 1 AS i FROM sample),
-    picks AS (SELECT event_id, {_sql_word(f"'{SEED}:' || event_id", 15)} % (SELECT count(*) FROM sample) AS i FROM events),
-    centres AS (SELECT event_id, value FROM picks JOIN indexed USING (i)),
-    tries AS (SELECT event_id, t, value + 1e0 * (sqrt(-2e0 * ln({_sql_uniform(f"'{SEED}:' || event_id || ':' || t || ':r'")}))
-        * cos(2 * pi() * {_sql_uniform(f"'{SEED}:' || event_id || ':' || t || ':a'")})) AS x
-      FROM centres CROSS JOIN (SELECT unnest(range(0, 32)) AS t))
-    SELECT event_id, {sql_r('arg_min(x, t)', 5)} AS x FROM tries WHERE x BETWEEN 0 AND 100 GROUP BY event_id""",
+    f"""WITH indexed AS (SELECT value, row_number() OVER (ORDER BY md5('{SEED}:' || event_id), event_id) - 1 AS i
+      FROM events WHERE value IS NOT NULL),
+    picks AS (SELECT event_id, {_sql_word(f"'{SEED}:' || event_id", 15)} % (SELECT count(*) FROM indexed) AS i FROM events),
+    s0 AS (SELECT event_id, value AS mean,
+        {sql_uniform52(f"'{SEED}:' || event_id || ':n'")} AS u FROM picks JOIN indexed USING (i)),
+    s1 AS (SELECT *, 0e0 - mean AS za, {EFFICIENCY_MOST}e0 - mean AS zb FROM s0),
+    s2 AS (SELECT *, {normal_cdf('za')} AS pa, {normal_cdf('zb')} AS pb FROM s1),
+    s3 AS (SELECT *, pa + u * (pb - pa) AS p FROM s2),
+    s4 AS (SELECT *, {normal_tail('p')} AS q FROM s3)
+    SELECT event_id, {sql_r(f"greatest(0e0, least({EFFICIENCY_MOST}e0, mean + 1e0 * {normal_quantile('p', 'q')}))", 5)} AS x FROM s4""",
 )
 def truncnorm_resample(spark, sf_dir):
-    """As many draws as there are events, from the bounded part of their values."""
+    """As many draws as there are events, around their values."""
     events = table(spark, sf_dir, "events").select("event_id", "value")
-    sample = events.where("value < 100")
-    drawn = resample_truncated(sample, "event_id", "value", events, "event_id", SEED, 0.0, 100.0)
+    sample = events.where("value IS NOT NULL")
+    drawn = resample_truncated(sample, "event_id", "value", events, "event_id", SEED, 0.0, EFFICIENCY_MOST)
     return drawn.select("event_id", r(F.col("x"), 5).alias("x"))
 
 
 SQL_PART_TOTALS = f"{sql_costed_parts()}, totals AS (SELECT entity, {SQL_TOTAL} AS total FROM costed)"
-REPLICATES = 100
+REPLICATES = 1000
 
 
 @query(
@@ -208,14 +230,14 @@ def bootstrap_sum(spark, sf_dir):
 
 
 _POISSON_SQL = (
-    "CASE " + " ".join(f"WHEN u < {bound!r}e0 THEN {k}" for bound, k in poisson_weight_bounds()) + " ELSE 12 END"
+    "CASE " + " ".join(f"WHEN u < {bound!r}e0 THEN {k}" for bound, k in poisson_weight_bounds()) + " END"
 )
 
 
 @query(
     "bootstrap_sum_poisson",
     f"""WITH {SQL_PART_TOTALS},
-    u AS (SELECT replicate, total, {_sql_uniform(f"'{SEED}:' || replicate || ':' || entity")} AS u
+    u AS (SELECT replicate, total, {sql_uniform52(f"'{SEED}:' || replicate || ':' || entity")} AS u
       FROM totals CROSS JOIN (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate))
     SELECT replicate, {sql_r(f'sum(total * ({_POISSON_SQL}))', 1)} AS total, sum({_POISSON_SQL})::BIGINT AS draws
     FROM u GROUP BY replicate""",
@@ -258,42 +280,71 @@ def median_ci(spark, sf_dir):
 _BELL = "count(*) * sqrt(2 * pi())"
 
 
+def _sql_width(value: str) -> str:
+    """Bandwidth by the rule, as an aggregate."""
+    iqr = f"(quantile_cont({value}, 0.75) - quantile_cont({value}, 0.25)) / 1.34e0"
+    sd = f"stddev_samp({value})"
+    return f"""0.9e0 * CASE WHEN {sd} IS NULL THEN NULL WHEN least({sd}, {iqr}) > 0 THEN least({sd}, {iqr}) WHEN {sd} > 0 THEN {sd}
+      WHEN max(abs({value})) > 0 THEN max(abs({value})) ELSE 1e0 END * pow(count({value}), -0.2e0)"""
+
+
 @query(
     "kde_grid",
-    f"""WITH sample AS (SELECT event_type, value FROM events WHERE value < 100),
-    grid AS (SELECT unnest(range(0, 101))::DOUBLE AS x)
+    f"""WITH grid AS (SELECT unnest(range(0, 101))::DOUBLE AS x)
     SELECT event_type, x, {sql_r(f'sum(exp(-((x - value) / 11.35555e0) * ((x - value) / 11.35555e0) / 2e0) / 11.35555e0) / ({_BELL})', 9)}
-      AS density FROM sample CROSS JOIN grid GROUP BY event_type, x""",
+      AS density FROM events CROSS JOIN grid WHERE value IS NOT NULL GROUP BY event_type, x""",
 )
 def kde_grid(spark, sf_dir):
-    sample = table(spark, sf_dir, "events").where("value < 100").select("event_type", "value")
+    sample = table(spark, sf_dir, "events").select("event_type", "value")
     density = kernel_density(sample, "value", (0, 100, 1), EFFICIENCY_BANDWIDTH, ["event_type"])
     return density.select("event_type", "x", r(F.col("density"), 9).alias("density"))
 
 
-@query(
-    "kde_rule",
-    f"""WITH sample AS (SELECT event_type, value FROM events WHERE value < 100),
-    width AS (SELECT event_type, 0.9e0 * least(stddev_samp(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34e0)
-      * pow(count(*), -0.2e0) AS h FROM sample GROUP BY event_type),
-    grid AS (SELECT unnest(range(0, 101))::DOUBLE AS x)
-    SELECT event_type, x, {sql_r(f'sum(exp(-((x - value) / h) * ((x - value) / h) / 2e0) / h) / ({_BELL})', 8)} AS density
-    FROM sample JOIN width USING (event_type) CROSS JOIN grid GROUP BY event_type, x""",
-)
+DENSITY_POINTS = 512
+
+
+def _sql_curve(source: str, value: str, by: str) -> str:
+    return f"""
+    width AS (SELECT {by}, {_sql_width(value)} AS h, min({value}) AS low, max({value}) AS high
+      FROM {source} WHERE {value} IS NOT NULL GROUP BY {by}),
+    ends AS (SELECT {by}, h, low - 3e0 * h AS low, high + 3e0 * h AS high FROM width WHERE h IS NOT NULL),
+    grid AS (SELECT unnest(range(0, {DENSITY_POINTS})) AS point),
+    counted AS (SELECT {by}, {value} AS v, count(*) AS n FROM {source} WHERE {value} IS NOT NULL GROUP BY {by}, {value}),
+    placed AS (SELECT {by}, v, n, h, point, low + point * ((high - low) / {DENSITY_POINTS - 1}e0) AS x
+      FROM counted JOIN ends USING ({by}) CROSS JOIN grid)
+    SELECT {by}, point, {sql_r('max(x)', 4)} AS x,
+      {sql_r('sum(n * exp(-((x - v) / h) * ((x - v) / h) / 2e0) / h) / (sum(n) * sqrt(2 * pi()))', 7)} AS density
+    FROM placed GROUP BY {by}, point"""
+
+
+@query("kde_rule", f"WITH {_sql_curve('events', 'value', 'event_type').lstrip()}")
 def kde_rule(spark, sf_dir):
-    """Density with the bandwidth each group's own spread asks for."""
-    sample = table(spark, sf_dir, "events").where("value < 100").select("event_type", "value")
-    density = kernel_density(sample, "value", (0, 100, 1), None, ["event_type"])
-    return density.select("event_type", "x", r(F.col("density"), 8).alias("density"))
+    """Density over each group's own range, with the bandwidth its own spread asks for."""
+    sample = table(spark, sf_dir, "events").select("event_type", "value")
+    curve = density_curve(sample, "value", DENSITY_POINTS, ["event_type"])
+    return curve.select(
+        "event_type", F.col("point").cast("long").alias("point"), r(F.col("x"), 4).alias("x"), r(F.col("density"), 7).alias("density")
+    )
 
 
 @query(
-    "density_bandwidth",
-    f"""SELECT {sql_r('0.9e0 * least(stddev_samp(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34e0)'
-    ' * pow(count(*), -0.2e0)', 7)} AS bandwidth FROM events WHERE value < 100""",
+    "selection_density",
+    f"""WITH {sql_costed_parts()}, long AS ({sql_long('costed', 'entity')}),
+    pts AS (SELECT process, log10(cost / 2.6e10 * 0.69e0) AS v FROM long WHERE cost > 0),{_sql_curve('pts', 'v', 'process')}""",
 )
+def selection_density(spark, sf_dir):
+    """Density of the logarithm of the selection coefficients, per process."""
+    long = selection_long(costed_parts(spark, sf_dir), ["entity"], DEFAULT.cell_budget, DEFAULT.selection_factor)
+    points = long.select("process", positive_log10(F.col("sc")).alias("v"))
+    curve = density_curve(points, "v", DENSITY_POINTS, ["process"])
+    return curve.select(
+        "process", F.col("point").cast("long").alias("point"), r(F.col("x"), 4).alias("x"), r(F.col("density"), 7).alias("density")
+    )
+
+
+@query("density_bandwidth", f"SELECT {sql_r(_sql_width('value'), 7)} AS bandwidth FROM events")
 def density_bandwidth(spark, sf_dir):
-    sample = table(spark, sf_dir, "events").where("value < 100").select("value")
+    sample = table(spark, sf_dir, "events").select("value")
     return rule_bandwidth(sample, "value").select(r(F.col("bandwidth"), 7).alias("bandwidth"))
 
 

@@ -40,7 +40,8 @@ def read_delimited(
     """Scan delimited files into ``schema``.
 
     Every field is read as text first, so that blanks, ``NA``, a decimal comma and stray text give a missing value
-    rather than a dropped or failed row. Rows shorter than the header are padded with missing values and a byte
+    rather than a dropped or failed row. A file whose header does not name the columns of the schema in their order
+    fails the scan. Rows shorter than the header are padded with missing values and a byte
     order mark on the header is ignored. ``source_tag`` adds the file's own name (without folder and extension),
     which labels a row by content rather than by its place in a listing.
     """
@@ -49,7 +50,7 @@ def read_delimited(
         .option("header", header)
         .option("sep", sep)
         .option("mode", "PERMISSIVE")
-        .option("enforceSchema", True)
+        .option("enforceSchema", not header)
         .csv(path)
     )
     columns = []
@@ -58,7 +59,10 @@ def read_delimited(
         if isinstance(field.dataType, T.StringType):
             columns.append(text.alias(field.name))
         else:
-            columns.append(to_number(text, decimal).try_cast(field.dataType).alias(field.name))
+            number = to_number(text, decimal)
+            if isinstance(field.dataType, T.IntegralType):
+                number = F.when(number == F.floor(number), number)  # 2.5 is no whole number: missing
+            columns.append(number.try_cast(field.dataType).alias(field.name))
     if source_tag:
         columns.append(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias(source_tag))
     return raw.select(*columns)

@@ -255,3 +255,50 @@ def test_axes_of_unlisted_pairs(spark):
     values, x = scaled(d)
     assert rows[0].eigenvalue1 == pytest.approx(values[0])
     assert np.abs(np.array([[r.axis1, r.axis2] for r in rows]) - x).max() < 1e-6
+
+
+def test_fit_has_no_walls_and_does_not_cancel(spark):
+    def curve(a, b, lrc, scale=1.0):
+        return [(i * scale, a + b * math.exp(-math.exp(lrc) * i * scale)) for i in range(1, 31)]
+
+    known = {"steep": (10.0, 5.0, 2.0, 0.05), "slow": (10.0, 5.0, -5.0, 4.0), "high": (1e12, 1e4, -0.5, 0.25)}
+    points = [(g, x, y) for g, (a, b, lrc, scale) in known.items() for x, y in curve(a, b, lrc, scale)]
+    points += [("line", float(x), 3.0 * x) for x in range(20)]
+    df = spark.createDataFrame(points, "g string, x double, y double")
+    got = {r.g: r for r in asymptotic_fit(df, ["g"], "x", "y").collect()}
+    for g, (a, b, lrc, _) in known.items():
+        assert got[g].lrc == pytest.approx(lrc, abs=1e-3) and got[g].rss >= 0
+        assert got[g].asym == pytest.approx(a, rel=1e-3)
+    assert got["line"].lrc is None and got["line"].n == 20
+
+
+def test_narrow_bounds_have_no_mass_on_them(spark):
+    edge = spark.createDataFrame([(0, 50.0)], "k long, v double")
+    draws = spark.range(4000).withColumnRenamed("id", "d")
+    x = np.array([r.x for r in resample_truncated(edge, "k", "v", draws, "d", 9, 49.9, 50.1).collect()])
+    assert x.min() > 49.9 and x.max() < 50.1 and abs(x.mean() - 50) < 0.01
+
+
+def test_density_of_constant_and_single_groups(spark):
+    from costweave.operators.density import density_curve
+
+    df = spark.createDataFrame([("a", 2.0)] * 5 + [("b", 0.0)] * 4 + [("c", 7.0)], "g string, v double")
+    widths = {r.g: r.bandwidth for r in rule_bandwidth(df, "v", ["g"]).collect()}
+    assert widths["a"] == pytest.approx(1.8 * 5**-0.2) and widths["b"] == pytest.approx(0.9 * 4**-0.2)
+    assert widths["c"] is None
+    curve = density_curve(df, "v", 64, ["g"])
+    areas = {}
+    for row in curve.collect():
+        areas.setdefault(row.g, []).append((row.x, row.density))
+    assert set(areas) == {"a", "b"}
+    for points in areas.values():
+        x, y = np.array(sorted(points)).T
+        assert np.trapezoid(y, x) == pytest.approx(1, abs=0.01)
+
+
+def test_rounding_leaves_large_values(spark):
+    from costweave.functions.scalars import half_up
+
+    df = spark.createDataFrame([(1e19,), (3e18,), (2.345,), (-0.05,)], "v double")
+    got = [r[0] for r in df.select(half_up(F.col("v"), 1)).collect()]
+    assert got == [1e19, 3e18, 2.3, 0.0]

@@ -4,9 +4,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from costweave.plans import QUERIES
 
-QUERIES = entry.queries()
 PYTHON = {"sequence_cost", "jaccard_distance", "jaccard_subset", "pcoa_axes", "ordination_costs"}
 
 
