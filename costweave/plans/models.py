@@ -424,7 +424,8 @@ def jaccard_subset(spark, sf_dir):
 
 
 def nation_axes(spark, sf_dir):
-    return principal_axes(jaccard_distances(nation_parts(spark, sf_dir), "nation", "l_partkey"))
+    held = nation_parts(spark, sf_dir)
+    return principal_axes(jaccard_distances(held, "nation", "l_partkey"), entities=held.select("nation"))
 
 
 @query("pcoa_axes")

@@ -257,6 +257,20 @@ def test_axes_of_unlisted_pairs(spark):
     assert np.abs(np.array([[r.axis1, r.axis2] for r in rows]) - x).max() < 1e-6
 
 
+def test_axes_keep_isolated_rows(spark):
+    d = np.ones((6, 6)) - np.eye(6)
+    listed = [(0, 1, 0.2), (1, 2, 0.4), (0, 2, 0.9)]
+    for i, k, v in listed:
+        d[i, k] = d[k, i] = v
+    pairs = spark.createDataFrame(listed, "row_i int, row_j int, distance double")
+    every = spark.range(6).selectExpr("cast(id as int) as name")
+    rows = principal_axes(pairs, entities=every).orderBy("row").collect()
+    values, x = scaled(d)
+    assert [r.row for r in rows] == list(range(6))
+    assert rows[0].eigenvalue1 == pytest.approx(values[0])
+    assert np.abs(np.array([r.axis1 for r in rows]) - x[:, 0]).max() < 1e-6
+
+
 def test_fit_has_no_walls_and_does_not_cancel(spark):
     def curve(a, b, lrc, scale=1.0):
         return [(i * scale, a + b * math.exp(-math.exp(lrc) * i * scale)) for i in range(1, 31)]
