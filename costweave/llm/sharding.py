@@ -21,6 +21,8 @@ from costweave.session import cut_lineage
 
 #: Hex digits of the digest that a draw uses; a double holds 52 bits exactly.
 DRAW_DIGITS = 13
+#: Hex digits of the key's digest that cut a shard into segments.
+SEGMENT_DIGITS = 3
 #: Production parameters of the query: eight shards of equal weight, then a ninth.
 SHARDS = (1.0,) * 8
 ONE_MORE = 1.0
@@ -61,7 +63,7 @@ def number_slots(df: DataFrame, group: str, key: str, slot: str = "slot") -> Dat
 
     Equal rows are counted first and dealt out again, so neither a large group nor a much repeated row meets in a task.
     """
-    digest = hex_number(F.md5(key_text(F.col(key))), 1, 4).cast("int")
+    digest = hex_number(F.md5(key_text(F.col(key))), 1, SEGMENT_DIGITS).cast("int")
     counted = cut_lineage(count_copies(df.withColumn("__part", digest), "__copies"))
     placed = running_start(counted, [group], "__part", df.columns, "__copies", "__start")
     rows = expand_copies(placed, "__copies", "__copy")
@@ -98,7 +100,7 @@ placed AS (
     CAST(list_position(s, list_min(s)) - 1 AS INTEGER) AS grown_shard
   FROM scored)
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k), 1, 4), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k), 1, {SEGMENT_DIGITS}), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
   grown_shard
 FROM placed"""
 
