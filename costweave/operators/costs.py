@@ -70,21 +70,6 @@ def ascii_upper(text: Column) -> Column:
     return F.translate(text, string.ascii_lowercase, string.ascii_uppercase)
 
 
-def ascii_upper(text: Column) -> Column:
-    """Capital letters for a-z alone; other letters stay, so none of them turns into a priced one."""
-    return F.translate(text, string.ascii_lowercase, string.ascii_uppercase)
-
-
-def sequence_cost(text: str, kind: str) -> Column:
-    """Letters of the whole text column, each at its price; letters without a price are free.
-
-    One SQL expression for all letters, counted in the row that holds the text: no explode, no join, no shuffle.
-    """
-    place = 1 if kind == "opportunity" else 2
-    terms = [f"(length({text}) - length(replace({text}, '{row[0]}', ''))) * {row[place]}" for row in RESIDUE_PRICES]
-    return F.expr(f"cast({' + '.join(terms)} as double)")
-
-
 def price_sequences(df: DataFrame, text: str) -> DataFrame:
     """Adds ``seq_opportunity`` and ``seq_direct`` for a column of short texts such as names.
 

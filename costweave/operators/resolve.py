@@ -98,18 +98,28 @@ def resolve_synonyms(
     )
 
 
-def required_literal(pattern: Column) -> Column:
-    """Longest piece of plain text every match of the pattern must contain; empty when none is certain.
+#: Patterns without a literal that are tried on a text at a time, in expectation.
+PACKED = 64
 
-    Groups, classes, alternatives and escapes give none, which sends the pattern to the direct comparison.
+
+def required_literals(pattern: Column) -> Column:
+    """For each alternative the longest piece of plain text that every match of it must contain, or empty text.
+
+    Classes and escapes part the text around them, whatever they stand for. A pattern with groups gives one empty
+    text, which sends it to the direct comparison.
     """
     plain = F.regexp_replace(pattern, r"([?*+}])[?+]", "$1")
-    optional = F.regexp_replace(plain, r".[?*]|.\{[^}]*\}", "\n")
-    pieces = F.split(F.regexp_replace(optional, r"[+.^$]", "\n"), "\n")
-    longest = F.element_at(
-        F.array_sort(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("s")))), -1
-    ).getField("s")
-    return F.when(pattern.rlike(r"[|()\[\]\\]"), F.lit("")).otherwise(longest)
+    parted = F.regexp_replace(plain, r"(\\.|\[\^?\]?[^\]]*\])([?*+]|\{[^}]*\})?", "\n")
+
+    def longest(branch: Column) -> Column:
+        optional = F.regexp_replace(branch, r".[?*]|.\{[^}]*\}", "\n")
+        pieces = F.split(F.regexp_replace(optional, r"[+.^$?*{}]", "\n"), "\n")
+        return F.element_at(
+            F.array_sort(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("s")))), -1
+        ).getField("s")
+
+    grouped = F.regexp_replace(pattern, r"\\.", "").rlike(r"[()]")
+    return F.when(grouped, F.array(F.lit(""))).otherwise(F.transform(F.split(parted, r"\|"), longest))
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -120,41 +130,57 @@ def _grams(text: Column, size: int) -> Column:
 def regex_join(left: DataFrame, text: str, right: DataFrame, pattern: str, gram: int = 3) -> DataFrame:
     """Pairs of rows where the right pattern is found in the left text.
 
-    Distinct texts and patterns are matched first. A pattern that must contain a literal of at least ``gram``
-    characters is looked up by the rarest gram of that literal, as an equality join over (digest of text, gram) rows,
+    Distinct texts and patterns are matched first. A pattern whose alternatives all must contain a literal of at least
+    ``gram`` characters is looked up by the rarest gram of each, as an equality join over (digest of text, gram) rows,
     and each candidate is then checked with the pattern itself, so the prefilter changes no result. Patterns without
-    such a literal are compared with every distinct text; that plan is built only when there are any.
+    such literals are packed into arrays of ``PACKED``; every distinct text meets every array by its number, an
+    equality join again, and the patterns are tried inside the row.
     """
     texts = left.select(F.col(text).alias("__text")).where("__text is not null").distinct()
-    texts = texts.withColumn("__tid", F.sha2("__text", 256))
+    texts = texts.withColumn("__tid", F.unhex(F.md5("__text")))
     patterns = right.select(F.col(pattern).alias("__pattern")).where("__pattern is not null").distinct()
-    patterns = patterns.withColumn("__literal", required_literal(F.col("__pattern")))
-    quick = patterns.where(F.length("__literal") >= gram)
-    direct = patterns.where(F.length("__literal") < gram).select("__pattern")
+    patterns = patterns.withColumn("__literals", required_literals(F.col("__pattern")))
+    certain = F.forall("__literals", lambda x: F.length(x) >= gram)
+    quick, direct = patterns.where(certain), patterns.where(~certain).select("__pattern")
 
-    wanted = quick.select("__pattern", F.explode(_grams(F.col("__literal"), gram)).alias("__gram"))
+    branches = quick.select("__pattern", F.posexplode("__literals").alias("__branch", "__literal"))
+    wanted = branches.select("__pattern", "__branch", F.explode(_grams(F.col("__literal"), gram)).alias("__gram"))
     present = texts.where(F.length("__text") >= gram).select(
         "__tid", F.explode(_grams(F.col("__text"), gram)).alias("__gram")
     )
     useful = present.join(wanted.select("__gram").distinct(), "__gram", "left_semi")
     frequency = useful.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
-    # a pattern with a gram that no text has cannot match: the count is then 0 and no text joins
+    # an alternative with a gram that no text has cannot match: the count is then 0 and no text joins
     rarest = (
         wanted.join(frequency, "__gram", "left")
-        .groupBy("__pattern")
+        .groupBy("__pattern", "__branch")
         .agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram").alias("g"))).alias("__best"))
         .select("__pattern", F.col("__best.g").alias("__gram"))
+        .distinct()
     )
     found = (
         useful.join(rarest, "__gram")
+        .select("__tid", "__pattern")
+        .distinct()
         .join(texts, "__tid")
         .where(F.expr("__text rlike __pattern"))
         .select("__tid", "__pattern")
     )
-    if not direct.isEmpty():
-        found = found.unionByName(texts.join(direct, F.expr("__text rlike __pattern")).select("__tid", "__pattern"))
+    n_packs = F.ceil(direct.agg(F.count(F.lit(1))).scalar() / F.lit(float(PACKED))).cast("int")
+    packs = (
+        direct.withColumn("__pack", F.pmod(F.xxhash64("__pattern"), n_packs).cast("int"))
+        .groupBy("__pack")
+        .agg(F.collect_list("__pattern").alias("__patterns"))
+    )
+    numbers = F.when(n_packs > 0, F.sequence(F.lit(0), n_packs - 1)).otherwise(F.array().cast("array<int>"))
+    tried = (
+        texts.withColumn("__pack", F.explode(numbers))
+        .join(packs, "__pack")
+        .select("__tid", F.explode(F.expr("filter(__patterns, p -> __text rlike p)")).alias("__pattern"))
+    )
+    found = found.unionByName(tried)
     return (
-        left.withColumn("__tid", F.sha2(F.col(text), 256))
+        left.withColumn("__tid", F.unhex(F.md5(text)))
         .join(found, "__tid")
         .join(right, F.col("__pattern") == F.col(pattern))
         .drop("__tid", "__pattern")

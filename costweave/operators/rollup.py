@@ -34,10 +34,6 @@ def scaled_thresholds(df: DataFrame, score: str, of_mean: Mapping[str, float], o
     )
 
 
-def column_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(*[loose_sum(c).alias(c) for c in columns])
-
-
 def share_of_total(df: DataFrame, value: str, out: str = "share") -> DataFrame:
     """Each value in percent of the column total, the total being a scalar subquery rather than a global window."""
     whole = df.agg(F.sum(value)).scalar()

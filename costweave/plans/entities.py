@@ -22,6 +22,7 @@ from costweave.operators.costs import (
     with_costs,
 )
 from costweave.operators.fill import attach_group_size, fill_attributes, fill_median
+from costweave.operators.ordered import rank_slice
 from costweave.operators.quantiles import exact_medians
 from costweave.operators.reshape import to_long
 from costweave.operators.resolve import (
@@ -58,6 +59,7 @@ from costweave.plans.frames import (
     sql_letters,
     sql_long,
     table,
+    year_span,
 )
 from costweave.plans.registry import query, r, sql_r
 from costweave.sources.delimited import literal_table, patch_rows, to_number
@@ -309,7 +311,7 @@ def conserved_presence(spark, sf_dir):
     )
 
 
-EXTRA_PATTERNS = (("^hot",), ("wid.et",), ("gi?zmo$",), ("^s.*l+ pla",))
+EXTRA_PATTERNS = (("^hot",), ("wid.et",), ("gi?zmo$",), ("^s.*l+ pla",), ("ring|gear",), ("[bc]olt",), ("(a|x)i",), ("r.d",))
 
 
 @query(
@@ -347,26 +349,45 @@ def resolved_names(spark, sf_dir):
 
 @query(
     "full_outer_fill_zero",
-    f"""WITH a AS (SELECT l_partkey AS entity, sum(l_quantity) AS early FROM lineitem
-        WHERE year(l_shipdate) = 1995 AND l_returnflag = 'A' GROUP BY 1),
-      b AS (SELECT l_partkey AS entity, sum(l_quantity) AS late FROM lineitem
-        WHERE year(l_shipdate) = 2001 AND l_returnflag = 'R' GROUP BY 1)
+    f"""WITH ends AS (SELECT min(year(l_shipdate)) AS first, max(year(l_shipdate)) AS last FROM lineitem),
+      a AS (SELECT l_partkey AS entity, sum(l_quantity) AS early FROM lineitem, ends
+        WHERE year(l_shipdate) = first GROUP BY 1),
+      b AS (SELECT l_partkey AS entity, sum(l_quantity) AS late FROM lineitem, ends
+        WHERE year(l_shipdate) = last GROUP BY 1)
     SELECT entity, {sql_r('coalesce(early, 0)', 2)} AS early, {sql_r('coalesce(late, 0)', 2)} AS late
     FROM a FULL JOIN b USING (entity)""",
 )
 def full_outer_fill_zero(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("entity"), "l_shipdate", "l_returnflag", "l_quantity"
-    )
+    """Quantities of the first and of the last year side by side; the years are read as ranges of dates."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity"), "l_shipdate", "l_quantity")
+    first, last = year_span(spark, sf_dir)
 
-    def sums(year, flag, name):
-        kept = lines.where((F.year("l_shipdate") == year) & (F.col("l_returnflag") == flag))
+    def sums(year, name):
+        start, end = (F.lit(f"{y:04d}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
+        kept = lines.where((F.col("l_shipdate") >= start) & (F.col("l_shipdate") < end))
         return kept.groupBy("entity").agg(F.sum("l_quantity").alias(name))
 
-    both = outer_fill_zero(sums(1995, "A", "early"), sums(2001, "R", "late"), ["entity"])
+    both = outer_fill_zero(sums(first, "early"), sums(last, "late"), ["entity"])
     return both.select("entity", r(F.col("early"), 2).alias("early"), r(F.col("late"), 2).alias("late"))
 
 
+@query(
+    "rank_slice",
+    f"""WITH sums AS (SELECT l_returnflag AS stage, l_partkey AS entity, sum(l_quantity) AS quantity
+      FROM lineitem GROUP BY ALL)
+    SELECT stage, entity, {sql_r('quantity', 2)} AS quantity FROM sums
+    QUALIFY row_number() OVER (PARTITION BY stage ORDER BY quantity DESC, entity) BETWEEN 4 AND 13""",
+)
+def ranked_parts(spark, sf_dir):
+    """Ranks 4 to 13 of each stage's parts by quantity."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("stage"), F.col("l_partkey").alias("entity"), "l_quantity"
+    )
+    sums = lines.groupBy("stage", "entity").agg(F.sum("l_quantity").alias("quantity"))
+    kept = rank_slice(sums, ["stage"], [F.desc("quantity"), F.col("entity")], 4, 13)
+    return kept.select("stage", "entity", r(F.col("quantity"), 2).alias("quantity"))
+
+
 @query(
     "null_safe_join",
     f"""WITH gapped AS (SELECT p_partkey, p_retailprice, CASE WHEN p_size <= 45 THEN p_brand END AS brand FROM part),

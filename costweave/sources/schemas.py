@@ -88,15 +88,3 @@ SCORE_INTERVALS = (
     ("H4", 1.0),
     ("H5.5", 1.5),
 )
-
-# Stage of development at each sampling of the germination course.
-GERMINATION_STAGES = (
-    ("Tminus30", "dormant"),
-    ("Tminus15", "dormant"),
-    ("T0", "germination"),
-    ("T15", "germination"),
-    ("T30", "outgrowth1"),
-    ("T60", "outgrowth2"),
-    ("T150", "sporeburst&septation"),
-    ("T330", "sporeburst&septation"),
-)

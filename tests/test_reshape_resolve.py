@@ -29,7 +29,7 @@ from costweave.operators.resolve import (
     null_safe_join,
     outer_fill_zero,
     regex_join,
-    required_literal,
+    required_literals,
     resolve_synonyms,
 )
 
@@ -131,12 +131,14 @@ def test_synonyms(spark):
 
 
 PATTERNS = ["ab", "abc", "a.c", "^abc", "xyz$", "colou?r", "(ab|cd)e", "ne+d", "b{2,3}a", "a*?bcd", "[0-9]+", "zzzz", r"\d"]
+PATTERNS += ["abc|xyz", "abc|", "[bc]d", r"a\.b|neeed", "co[lx]ou?r|wxy", r"\d+|bba", "x?abc", "a|b", "", "[|]", "[^a]bcd"]
 
 
-def test_required_literal(spark):
+def test_required_literals(spark):
     df = spark.createDataFrame([(p,) for p in PATTERNS], "p string")
-    got = {r.p: r.l for r in df.select("p", required_literal(F.col("p")).alias("l")).collect()}
-    assert got["colou?r"] == "colo" and got["(ab|cd)e"] == "" and got["a*?bcd"] == "bcd" and got["b{2,3}a"] == "a"
+    got = {r.p: r.l for r in df.select("p", required_literals(F.col("p")).alias("l")).collect()}
+    assert got["colou?r"] == ["colo"] and got["(ab|cd)e"] == [""] and got["a*?bcd"] == ["bcd"] and got["b{2,3}a"] == ["a"]
+    assert got["abc|xyz"] == ["abc", "xyz"] and got["[bc]d"] == ["d"] and got["abc|"] == ["abc", ""]
 
 
 @pytest.mark.parametrize("gram", [2, 3, 5])
