@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from costweave.llm.caching import held
 from costweave.llm.common import map_batches, table
 from costweave.llm.registry import query
 
@@ -47,8 +48,6 @@ PART_BYTES = 8 << 20
 #: ASCII punctuation and controls become blanks.
 PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
-_INDEXES: dict[str, BlockMaxIndex] = {}
-
 
 def terms(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(PLAIN).split()
@@ -162,7 +161,7 @@ class BlockMaxIndex:
             cut = len(item) - max(1, round(len(item) * ANSWER_SHARE))
             question, answer = covered[:cut].mean() if cut else 1.0, covered[cut:].mean()
             if question >= OVERLAP and answer >= OVERLAP:
-                out.append((self.items[place], score, float(question), float(answer)))
+                out.append((self.items[place], round(score, 9), float(question), float(answer)))
         return out
 
 
@@ -212,10 +211,7 @@ def over_index(docs: DataFrame, part: tuple, text: str, schema: T.StructType, ro
     name, place = uuid.uuid4().hex, docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _INDEXES:
-            _INDEXES.clear()
-            _INDEXES[name] = BlockMaxIndex(*given.value)
-        index = _INDEXES[name]
+        index = held(("index", name), lambda: BlockMaxIndex(*given.value))
         for batch in batches:
             yield rows(batch, [index.leaks(t) if t else [] for t in batch.column(place).to_pylist()])
 
