@@ -1,15 +1,26 @@
-"""A bounded memory of what a worker has worked out for the words it met."""
+"""What a worker keeps between batches and tasks: one operator's tool at a time, with a bounded memory of words."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """The tool of this key. A worker that turns to another operator lets go of the one it had, with its memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class RecentWords:
     """Two generations of at most ``limit`` entries and one batch each; words of the older one are carried over when
     they come again. ``prepare`` makes every word of a batch present, working out the missing ones in one call."""
 
-    def __init__(self, work_out: Callable[[list[str]], Iterable], limit: int = 400_000):
+    def __init__(self, work_out: Callable[[list[str]], Iterable], limit: int = 300_000):
         self.work_out, self.limit = work_out, limit
         self.new: dict = {}
         self.old: dict = {}
@@ -18,13 +29,13 @@ class RecentWords:
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         missing = words.difference(self.new)
-        if self.old and missing:
-            known = missing.intersection(self.old)
-            self.new.update((w, self.old[w]) for w in known)
-            missing -= known
         if missing:
-            todo = list(missing)
-            self.new.update(zip(todo, self.work_out(todo)))
+            old = self.old
+            known = {w: old[w] for w in missing if w in old} if old else {}
+            self.new.update(known)
+            todo = [w for w in missing if w not in known] if known else list(missing)
+            if todo:
+                self.new.update(zip(todo, self.work_out(todo)))
         return self.new
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costweave.llm.caching import RecentWords, in_pieces
+from costweave.llm.caching import RecentWords, held, in_pieces
 from costweave.llm.common import key_text, map_batches, table
 from costweave.llm.registry import query
 from costweave.session import cut_lineage
@@ -43,14 +43,23 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Words up to this length are scored together; longer ones rescale at every letter.
 SHORT = 24
 CHARACTERS_AT_ONCE = 1_000_000
+#: Words whose lattices are held at a time.
+WORDS_AT_ONCE = 10_000
 #: A document is rejected by the pipeline below this score.
 LEAST_SCORE = 0.5
 
+#: No piece begins so; a piece begins so but is none; the id of an uncovered letter among the packed edges.
+NO_PIECE, ONLY_BEGINS = -2, -1
+NO_ID = (1 << 20) - 1
+
 _PIECES: dict[str, dict[str, int]] = {}
 
 
 def vocabulary(path: str) -> dict[str, int]:
-    """Pieces of letters, lower case, with or without the blank of a word's beginning, to their ids."""
+    """Pieces of letters, lower case, with or without the blank of a word's beginning, to their ids.
+
+    Beginnings of pieces that are none themselves have ONLY_BEGINS.
+    """
     if path not in _PIECES:
         import sentencepiece
 
@@ -62,7 +71,8 @@ def vocabulary(path: str) -> dict[str, int]:
             bare = piece.removeprefix(BLANK)
             if not any(test(i) for test in special) and piece == piece.lower() and (not bare or LETTERS.fullmatch(bare)):
                 kept[piece] = i
-        _PIECES[path] = kept
+        begins = {piece[:n]: ONLY_BEGINS for piece in kept for n in range(1, len(piece))}
+        _PIECES[path] = begins | kept
     return _PIECES[path]
 
 
@@ -70,20 +80,25 @@ class Lattice:
     """Edges of all segmentations of many short words, ordered by their end (or start), word by word."""
 
     def __init__(self, words: list[str], pieces: dict[str, int]):
-        longest = max(map(len, pieces))
-        rows, starts, ends, ids = [], [], [], []
+        edges: list[int] = []
+        get = pieces.get
         for row, word in enumerate(words):
             size = len(word)
             for start in range(size):
-                for end in range(start + 1, min(size, start + longest) + 1):
-                    piece = pieces.get(word[start:end], -1)
-                    if piece >= 0 or end == start + 1:
-                        rows.append(row)
-                        starts.append(start)
-                        ends.append(end)
-                        ids.append(piece)
+                at = ((row << 6) | start) << 26
+                piece = get(word[start : start + 1], NO_PIECE)
+                edges.append(at | (start + 1) << 20 | (piece if piece >= 0 else NO_ID))
+                end = start + 1
+                while piece != NO_PIECE and end < size:
+                    end += 1
+                    piece = get(word[start:end], NO_PIECE)
+                    if piece >= 0:
+                        edges.append(at | end << 20 | piece)
+        packed = np.array(edges, np.int64)
         self.lengths = np.fromiter(map(len, words), np.int64, len(words))
-        self.rows, self.starts, self.ends, self.ids = (np.array(v, np.int64) for v in (rows, starts, ends, ids))
+        self.rows, self.starts = packed >> 32, (packed >> 26) & 63
+        self.ends, self.ids = (packed >> 20) & 63, packed & NO_ID
+        self.ids[self.ids == NO_ID] = -1
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
         """Sum over the segmentations of every beginning: words x (longest + 1) x languages. The last row of
@@ -143,10 +158,15 @@ class Scorer:
         self.tokens = RecentWords(self.score_tokens)
         self.words = RecentWords(self.score_words)
 
-    def score_words(self, words: list[str]) -> list[np.ndarray]:
+    def score_words(self, words: list[str]) -> list[bytes]:
         short = [w for w in words if len(w) <= SHORT]
-        found = dict(zip(short, self.score_short(short))) if short else {}
-        return [found[w] if w in found else long_word(w, self.pieces, self.probability) for w in words]
+        found: dict[str, bytes] = {}
+        for at in range(0, len(short), WORDS_AT_ONCE):
+            some = short[at : at + WORDS_AT_ONCE]
+            found.update((w, row.tobytes()) for w, row in zip(some, self.score_short(some)))
+        return [
+            found[w] if w in found else long_word(w, self.pieces, self.probability).tobytes() for w in words
+        ]
 
     def score_short(self, words: list[str]) -> np.ndarray:
         lattice = Lattice(words, self.pieces)
@@ -159,7 +179,7 @@ class Scorer:
         rows = np.zeros((len(tokens), self.probability.shape[1] + 1))
         for row, runs in zip(rows, split):
             for run in runs:
-                row[:-1] += known[run]
+                row[:-1] += np.frombuffer(known[run])
                 row[-1] += len(run) - 1
         return [row.tobytes() for row in rows]
 
@@ -176,10 +196,10 @@ class Scorer:
 
 
 def uniform_start(languages: int, size: int, pieces: dict[str, int]) -> np.ndarray:
-    """Probabilities that fall with the length of a piece; the last row is for letters without piece."""
+    """Every piece alike; the last row is for letters without piece."""
+    ids = [i for i in pieces.values() if i >= 0]
     probability = np.zeros((size + 1, languages))
-    for piece, i in pieces.items():
-        probability[i] = 1.0 / len(pieces)
+    probability[ids] = 1.0 / len(ids)
     probability[-1] = UNKNOWN
     return probability
 
@@ -239,7 +259,7 @@ def fit(labelled: DataFrame, model: str, key: str, text: str, lang: str, texts:
         expected = map_batches(words.repartition("word"), expect, "lang long, piece long, n double")
         found = expected.groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
         counts = np.zeros_like(probability)
-        counts[list(pieces.values())] = SMOOTHING
+        counts[[i for i in pieces.values() if i >= 0]] = SMOOTHING
         for row in found:
             counts[row["piece"], row["lang"]] += row["n"]
         probability = counts / counts.sum(axis=0)
@@ -247,9 +267,6 @@ def fit(labelled: DataFrame, model: str, key: str, text: str, lang: str, texts:
     return languages, probability
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def predict(docs: DataFrame, languages: list[str], probability: np.ndarray, model: str, text: str = "text") -> DataFrame:
     """Adds lang_pred and score to every row; only the text is looked at."""
     fields = [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)]
@@ -259,10 +276,7 @@ def predict(docs: DataFrame, languages: list[str], probability: np.ndarray, mode
     fitted = uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if fitted not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[fitted] = Scorer(model, given.value)
-        scorer = _SCORERS[fitted]
+        scorer = held(("languages", fitted), lambda: Scorer(model, given.value))
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
             for first, last in in_pieces(texts, CHARACTERS_AT_ONCE):

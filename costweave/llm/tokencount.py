@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costweave.llm.caching import RecentWords, in_pieces
+from costweave.llm.caching import RecentWords, held, in_pieces
 from costweave.llm.common import map_batches, table
 from costweave.llm.registry import query
 
@@ -38,9 +38,6 @@ PAIRS_KEPT = 400_000
 #: Production parameter of the query.
 TOKEN_LIMIT = 4096
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 class PrefixCounter:
     """Prefix tables for one sentencepiece byte-pair model without normalisation."""
 
@@ -168,9 +165,7 @@ class PrefixCounter:
 
 
 def counter(path: str) -> PrefixCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    return held(("tokens of", path), lambda: PrefixCounter(path))
 
 
 def prefix_tables(docs: DataFrame, model: str, text: str = "text", out: str = "prefix_tokens") -> DataFrame:
