@@ -86,7 +86,7 @@ def training_time(share: Column, ramp: Column) -> Column:
     """Time at which a ramped schedule has met this share of its demand: the inverse of t * (1 - r) + r * t^2."""
     slope = F.lit(1.0) - ramp
     root = F.sqrt(slope * slope + F.lit(4.0) * ramp * share)
-    return F.when(ramp == 0.0, share).otherwise((F.lit(2.0) * share) / (slope + root))
+    return F.when((ramp == 0.0) | (share == 0.0), share).otherwise(F.try_divide(F.lit(2.0) * share, slope + root))
 
 
 def draw_mix(docs: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -109,11 +109,11 @@ def draw_mix(docs: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFr
     mixed = rows.drop("__order", "__part", "__width", "__start", "__copy").join(
         given, F.col("source").eqNullSafe(F.col("__source"))
     ).drop("__source")
-    whole = F.floor(F.col("target") / F.col("source_size"))
+    whole = F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
     more = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), more - F.col("start")))
     taken = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(whole * F.col("size") + part)
-    share = F.col("start") / F.col("target")
+    share = F.try_divide(F.col("start").cast("double"), F.col("target"))
     return mixed.withColumn("taken", taken.cast("long")).withColumn(
         "first_time", F.when(F.col("taken") > 0, training_time(share, F.col("ramp")))
     )
@@ -181,8 +181,8 @@ placed_docs AS (
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM laid),
 joined AS (
   SELECT d.doc_id, d.source, d.size, d.start, t.source_size, t.target, t.ramp,
-    floor(t.target / t.source_size) AS whole,
-    CAST(round(t.target - floor(t.target / t.source_size) * t.source_size) AS BIGINT) AS more
+    coalesce(floor(t.target / nullif(t.source_size, 0)), 0e0) AS whole,
+    CAST(round(t.target - coalesce(floor(t.target / nullif(t.source_size, 0)), 0e0) * t.source_size) AS BIGINT) AS more
   FROM placed_docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 mix AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(whole * size AS BIGINT) + greatest(0, least(size, more - start)) END

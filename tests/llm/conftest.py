@@ -36,6 +36,7 @@ def odd_rows() -> dict[str, list[tuple]]:
     texts += [f"{prose(8)}\nthe same line for all of them\n{prose(70)}" for _ in range(15)]
     documents = [(i, t, draw.choice(["en", "de", None]), f"s{i % 5}", len(t or "")) for i, t in enumerate(texts)]
     documents += [(None, prose(30), None, None, None), (None, None, None, None, None), (None, "", "en", None, 0)]
+    documents += [(900, "", "en", "no words", 0), (901, None, "en", "no words", None)]
     documents += documents[10:13] * 2 + [(7, "other text for an id", "en", "s1", 20), (3, "a", None, "s3", 1)] * 2
     labels = [(i, i % 2, i % 3 % 2) for i in range(0, 40, 2)] + [(4, None, 1), (6, None, None), (None, 0, 1), (8, 0, 0)]
     hosts = ["example.org", "a.example.org", "x.com", "y.x.com", "z.net", "org", "Z.NET", "", "münchen.com"]
