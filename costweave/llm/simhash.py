@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from costweave.llm.caching import held
 from costweave.llm.common import map_batches, one_per_row_key, row_key, table
 from costweave.llm.registry import query
 from costweave.session import cut_lineage
@@ -67,6 +68,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shin
     names = [f.name for f in fields]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("fingerprints",), object)  # lets go of what the worker kept for another operator
         for batch in batches:
             found = [fingerprint(t or "", shingle) for t in batch.column(place).to_pylist()]
             columns = [c for i, c in enumerate(batch.columns) if i != place]
@@ -177,10 +179,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         shards = split_shards(shards, radius, depth)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
+        shard, members = None, []
 
         def close():
-            found = list(shard_stars(held, radius)) if len(held) > 1 else []
+            found = list(shard_stars(members, radius)) if len(members) > 1 else []
             return [np.array(side, np.uint64).view(np.int64) for side in zip(*found)] if found else []
 
         for batch in batches:
@@ -190,8 +192,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             for a, b in zip(first, [*first[1:], len(keys)]):
                 if keys[a] != shard:
                     out.append(close())
-                    shard, held = keys[a], []
-                held.extend(values[a:b].tolist())
+                    shard, members = keys[a], []
+                members.extend(values[a:b].tolist())
             if out := [o for o in out if o]:
                 sides = [pa.array(np.concatenate(side)) for side in zip(*out)]
                 yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
