@@ -485,7 +485,7 @@ MEMBRANE = (
         ('membrane', {MEMBRANE!r}), ('genome replication', 417266190e0))
       UNION ALL SELECT 'developmental programm', (SELECT coalesce(sum({SQL_TOTAL}), 0) FROM course_costed))
     SELECT category, {sql_r('cost', 1)} AS cost, {sql_r('cost * 100e0 / 2.6e10', 6)} AS budget_share,
-      {sql_r('log10(cost)', 6)} AS log_cost FROM sums""",
+      CASE WHEN cost > 0 THEN {sql_r('log10(cost)', 6)} END AS log_cost FROM sums""",
 )
 def trait_budget(spark, sf_dir):
     """Cost per category, sequence costs replaced by the category median; rows without a length cost nothing."""
