@@ -89,15 +89,16 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place, hash) of the anchors of a text, part by part."""
-    n_windows = len(data) - LENGTH + 1
+    """(place, hash) of the anchors of a text, part by part, each once: neighbouring windows of two parts may share one."""
+    n_windows, last = len(data) - LENGTH + 1, -1
     for at in range(0, n_windows, PART):
         part = data[at : at + PART + LENGTH - 1]
         hashes = gram_hashes(part)
         order = (hashes >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS)
         order |= np.arange(len(hashes), dtype=np.uint64)
         least = (window_minima(order, WINDOWS) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        place = least[np.r_[True, least[1:] != least[:-1]]]
+        place = least[np.r_[least[0] + at != last, least[1:] != least[:-1]]]
+        last = least[-1] + at
         yield place + at, hashes[place]
 
 
@@ -308,7 +309,6 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
             n = np.r_[np.ones(len(single), np.int32), np.full(len(marks), 2, np.int32)]
             out = [g[rows].view(np.int64), c[rows].view(np.int64), doc[rows], size[rows], at[rows], n]
             if known.any():
-                # a text of several parts may repeat an anchor, so its starts are put in order first
                 whole = np.flatnonzero(known)
                 whole = whole[np.lexsort((start[whole], doc[whole], size[whole]))]
                 ids = np.stack([doc[whole], size[whole]], axis=1)
