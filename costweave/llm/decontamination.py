@@ -11,7 +11,8 @@ A retrieved item is a leak where the text covers its question and its answer: a
 words of the item that the text has too. The items here are plain texts; the last third of the words is the answer.
 
 The index is built from counts over all items and handed out in parts of a bounded number of bytes, one pass over the
-texts each, so it stays small however many items there are.
+texts each. A part holds its postings and a maximum per term and block in which the term occurs, so it grows with its
+bytes only; parts go through the driver one at a time.
 
 Defined cases: null and empty texts have no passages and items without words are never found; items shorter than a
 shingle are one shingle; equal items under different ids are all reported; repeated documents are reported each;
@@ -24,6 +25,7 @@ import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 from costweave.llm.caching import held
 from costweave.llm.common import map_batches, table
 from costweave.llm.registry import query
+from costweave.session import cut_lineage
 
 #: BM25 parameters, and the share of an item's own score from which it is retrieved.
 K1, B = 1.2, 0.75
@@ -82,15 +85,23 @@ class BlockMaxIndex:
                     self.impacts.append([])
                 self.places[n].append(place)
                 self.impacts[n].append(impact / whole)
-        self.block_max = np.zeros((len(self.places), -(-len(self.words) // BLOCK)))
-        for n, (places, impacts) in enumerate(zip(self.places, self.impacts)):
-            np.maximum.at(self.block_max[n], np.array(places) // BLOCK, impacts)
-        self.most = self.block_max.max(axis=1) if self.block_max.size else np.zeros(0)
+        self.n_blocks = -(-len(self.words) // BLOCK)
+        sizes = np.array([len(places) for places in self.places], np.int64)
+        term = np.repeat(np.arange(len(sizes)), sizes)
+        block = np.fromiter(chain.from_iterable(self.places), np.int32, len(term)) // BLOCK
+        impact = np.fromiter(chain.from_iterable(self.impacts), np.float64, len(term))
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
+        self.block_no = block[first]  # blocks of term n: block_start[n] to block_start[n + 1]
+        self.block_most = np.maximum.reduceat(impact, first) if len(term) else impact
+        self.block_start = np.searchsorted(term[first], np.arange(len(sizes) + 1))
+        self.most = np.maximum.reduceat(impact, np.cumsum(sizes) - sizes) if len(term) else impact
 
     def search(self, found: np.ndarray, threshold: float) -> Iterator[tuple[int, float]]:
         """Places and scores of all items that reach the threshold for a set of terms."""
         bound = threshold - 1e-9  # sums in another order must not lose an item
-        blocks = self.block_max[found].sum(axis=0)
+        start, sizes = self.block_start[found], self.block_start[found + 1] - self.block_start[found]
+        at = np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        blocks = np.bincount(self.block_no[at], self.block_most[at], minlength=self.n_blocks)
         alive = np.flatnonzero(blocks >= bound).tolist()
         if not alive:
             return
@@ -172,7 +183,7 @@ def move(cursors: list[list], place: int) -> None:
             cursor[2] = bisect_left(cursor[0], place, cursor[2])
 
 
-def index_parts(items: DataFrame) -> list[tuple]:
+def index_parts(items: DataFrame) -> Iterator[tuple]:
     """What each part of the index is built from: its items, the number of items with each of its terms, and totals.
 
     Items per term, their number and their mean length are counted by Spark over all items. Parts are dealt by digest,
@@ -197,12 +208,12 @@ def index_parts(items: DataFrame) -> list[tuple]:
     totals = worded.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.avg("n"), F.lit(1.0)).alias("mean")).first()
     single = worded.select("part", F.explode("terms").alias("term"))
     counts = single.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.collect_set("part").alias("parts"))
-    out = []
+    if n_parts > 1:
+        counts = cut_lineage(counts)  # read once per part
     for p in range(n_parts):
         held = [(row[key], row[text]) for row in dealt.where(F.col("part") == p).select(key, text).collect()]
         known = counts.where(F.array_contains("parts", p)).select("term", "n").collect()
-        out.append((held, {bytes(row["term"]): row["n"] for row in known}, totals["items"], totals["mean"]))
-    return out
+        yield held, {bytes(row["term"]): row["n"] for row in known}, totals["items"], totals["mean"]
 
 
 def over_index(docs: DataFrame, part: tuple, text: str, schema: T.StructType, rows) -> DataFrame:
@@ -245,14 +256,33 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that leak no item; rows and columns stay as they are."""
-    for part in index_parts(items):
-        docs = over_index(docs, part, text, docs.schema, keep_clean)
-    return docs
+    """The documents that leak no item; rows and columns stay as they are.
+
+    Passes of further parts run beside each other, so that no task holds several parts; they give the leaking texts
+    by digest.
+    """
+    parts = index_parts(items)
+    clean = over_index(docs, next(parts), text, docs.schema, keep_clean)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    digests = [F.xxhash64(whole), F.xxhash64(F.lit("second"), whole)]
+    marked = docs.select(digests[0].alias("__first"), digests[1].alias("__second"), text)
+    leaking = None
+    for part in parts:
+        one = over_index(marked, part, text, marked.drop(text).schema, digests_of_leaks)
+        leaking = one if leaking is None else leaking.union(one)
+    if leaking is None:
+        return clean
+    return clean.join(
+        leaking.distinct(), (digests[0] == F.col("__first")) & (digests[1] == F.col("__second")), "left_anti"
+    )
 
 
 def keep_clean(batch: pa.RecordBatch, leaks: list[list[tuple]]) -> pa.RecordBatch:
-    return batch.filter(pa.array([not found for found in leaks]))
+    return batch.filter(pa.array([not found for found in leaks], pa.bool_()))
+
+
+def digests_of_leaks(batch: pa.RecordBatch, leaks: list[list[tuple]]) -> pa.RecordBatch:
+    return batch.filter(pa.array([bool(found) for found in leaks], pa.bool_())).select(["__first", "__second"])
 
 
 @query("op4_decontaminate")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 
+from costweave.llm import decontamination
 from costweave.llm.queries import QUERIES
 
 # Repeated substrings --------------------------------------------------------------------------------------------------
@@ -36,3 +39,31 @@ def test_anchors_do_not_depend_on_parts(monkeypatch):
     for part in (1, 50, 300, 301):
         monkeypatch.setattr(substrings, "PART", part)
         assert [np.concatenate(x).tolist() for x in zip(*substrings.anchors(data))] == whole
+
+
+# Decontamination ------------------------------------------------------------------------------------------------------
+
+
+def test_index_grows_with_its_bytes():
+    draw = random.Random(4)
+    items = [(i, " ".join(f"w{draw.randrange(40_000)}" for _ in range(30))) for i in range(4000)]
+    counts = Counter(t for _, text in items for t in set(decontamination.terms(text)))
+    tracemalloc.start()
+    index = decontamination.BlockMaxIndex(items, counts, len(items), 30.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index.places) > 35_000
+    assert peak < 100e6  # terms times blocks would be 300 MB
+
+
+def test_parts_pass_one_by_one(spark, sf_dir, monkeypatch):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held = items.where("item_id is not null").select("item_id", "text")
+    docs = docs.union(held).union(held.limit(3)).union(spark.createDataFrame([(1, None), (1, "")], docs.schema))
+    one = sorted(map(repr, decontamination.without_leaks(docs, items).collect()))
+    assert len(one) < docs.count()
+    monkeypatch.setattr(decontamination, "PART_BYTES", 1000)
+    parts = decontamination.index_parts(items)
+    assert iter(parts) is parts and next(parts) and next(parts)
+    assert sorted(map(repr, decontamination.without_leaks(docs, items).collect())) == one
