@@ -32,14 +32,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix in training order, once per begun repeat."""
+    """Documents of the mix in training order, once per begun repeat, each with its time."""
     docs = docs.select(*COLUMNS)
-    return mixing.training_order(mixing.planned_mix(docs), docs).select(*COLUMNS)
+    return mixing.training_order(mixing.planned_mix(docs), docs).select(*COLUMNS, "training_time")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as token files; what is read back of each document."""
-    return tokenfiles.token_files_digest(docs.select("doc_id", "text"))
+    """The mix as token files in training order; what is read back of each document."""
+    return tokenfiles.token_files_digest(docs.select("doc_id", "text", "training_time"), ("training_time",))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -119,18 +119,21 @@ def draw_mix(docs: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFr
     )
 
 
+def timed_repeats(mixed: DataFrame) -> DataFrame:
+    """Adds repeat (from 0) and training_time to the rows of draw_mix, one row per begun repeat."""
+    begun = F.ceil(F.col("taken") / F.col("size"))
+    plan = mixed.where("taken > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), begun - 1)))
+    share = (F.col("start") + F.col("repeat") * F.col("source_size")) / F.col("target")
+    return plan.withColumn("training_time", training_time(share, F.col("ramp")))
+
+
 def training_order(mixed: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` once per begun repeat, sorted by training time across range partitions.
 
     ``mixed`` has one row per row of ``docs`` (draw_mix over key, source, size and row key). Repeats number from 0;
     the document at which a target ends stays whole.
     """
-    begun = F.ceil(F.col("taken") / F.col("size"))
-    plan = mixed.where("taken > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), begun - 1)))
-    share = (F.col("start") + F.col("repeat") * F.col("source_size")) / F.col("target")
-    timed = plan.select(
-        F.col("row").alias("__timed"), training_time(share, F.col("ramp")).alias("training_time"), "repeat"
-    )
+    timed = timed_repeats(mixed).select(F.col("row").alias("__timed"), "training_time", "repeat")
     unique = one_per_row_key(docs, key, text)
     out = unique.join(timed, F.col("__row") == F.col("__timed")).drop("__row", "__timed")
     return out.repartitionByRange("training_time", key).sortWithinPartitions("training_time", key, "repeat")
@@ -197,3 +200,12 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the production mix takes of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     return planned_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_training_order")
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production mix in training order: every begun repeat of a document with its time, sorted across ranges."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    timed = timed_repeats(planned_mix(docs)).select("doc_id", "source", "repeat", "training_time")
+    order = ["training_time", "doc_id", "repeat"]
+    return timed.repartitionByRange(*order).sortWithinPartitions(*order)

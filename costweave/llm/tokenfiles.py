@@ -186,13 +186,21 @@ class SequenceWriter:
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer: str, folder: str, sequence: int = SEQUENCE, at_once: int = SEQUENCES_AT_ONCE
+    docs: DataFrame,
+    tokenizer: str,
+    folder: str,
+    sequence: int = SEQUENCE,
+    at_once: int = SEQUENCES_AT_ONCE,
+    before: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Writes (key, text) in ascending order of the key; one row per file, as in MANIFEST. Runs at once."""
-    key, text = docs.columns
+    """Writes (key, text, ..) in ascending order of the columns ``before`` and the key; one row per file, as in MANIFEST.
+
+    Runs at once.
+    """
+    key, text = docs.columns[:2]
     key_type = to_arrow_type(docs.schema[key].dataType)
     spread = docs.withColumn("__row", F.monotonically_increasing_id())  # rows that are equal otherwise are split too
-    order = [key, F.xxhash64(text), "__row"]
+    order = [*before, key, F.xxhash64(text), "__row"]
     sorted_docs = spread.repartitionByRange(*order).sortWithinPartitions(*order).select(key, text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,12 +308,13 @@ def read_token_files(manifest: DataFrame, key_type: str = "bigint", key: str = "
     return map_batches(files, work, f"{key} {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def token_files_digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) through the production files and back."""
+def token_files_digest(docs: DataFrame, before: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, ..) through the production files and back, in the order of ``before`` and the key."""
     import public_tokenizers
 
     spark = docs.sparkSession
-    manifest = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), shared_folder(spark, "tokens"))
+    tokenizer, folder = public_tokenizers.path("word_bpe_49k.json"), shared_folder(spark, "tokens")
+    manifest = write_token_files(docs, tokenizer, folder, before=before)
     return read_token_files(manifest, docs.schema["doc_id"].dataType.simpleString())
 
 

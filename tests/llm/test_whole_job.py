@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import tracemalloc
 from collections import Counter
 
 import numpy as np
 
+import corpus_pipeline
 from costweave.llm import decontamination
 from costweave.llm.queries import QUERIES
 
@@ -67,3 +69,66 @@ def test_parts_pass_one_by_one(spark, sf_dir, monkeypatch):
     parts = decontamination.index_parts(items)
     assert iter(parts) is parts and next(parts) and next(parts)
     assert sorted(map(repr, decontamination.without_leaks(docs, items).collect())) == one
+
+
+# Mixing ---------------------------------------------------------------------------------------------------------------
+
+
+def plain_order(docs):
+    """(time, doc_id, source, repeat) of (doc_id, source, text) with different keys."""
+    streams = {}
+    for key, source, text in docs:
+        streams.setdefault(source, []).append((hashlib.md5(f"{key}:{source}".encode()).hexdigest(), key, len(text.split())))
+    sizes = {s: sum(n for _, _, n in stream) for s, stream in streams.items()}
+    place = {s: i % 3 for i, s in enumerate(sorted(sizes))}
+    weight = {s: (5.0, 2.0, 1.0)[p] for s, p in place.items()}
+    cap, open_, left = {s: 3.0 * n for s, n in sizes.items()}, set(sizes), float(sum(sizes.values()))
+    target = {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > cap[s]}
+        for s in full or open_:
+            target[s] = cap[s] if full else level * weight[s]
+        left -= sum(cap[s] for s in full)
+        open_ = open_ - full if full else set()
+    for source, stream in streams.items():
+        size, ramp, at = sizes[source], (-0.5, 0.0, 0.8)[place[source]], 0
+        whole = math.floor(target[source] / size)
+        more = round(target[source] - whole * size)
+        for _, key, n in sorted(stream):
+            for repeat in range(whole + (at < more)):
+                share = (at + repeat * size) / target[source]
+                # t * (1 - r) + r * t * t = share, by halving: independent of the closed form
+                low, high = 0.0, 1.0
+                for _ in range(60):
+                    middle = (low + high) / 2
+                    low, high = (low, middle) if middle * (1 - ramp) + ramp * middle**2 >= share else (middle, high)
+                yield (high if share else 0.0), key, source, repeat
+            at += n
+
+
+def sources_of_three(spark):
+    draw = random.Random(6)
+    rows = [(i, " ".join(f"w{draw.randrange(50)}" for _ in range(draw.randint(1, 60))), f"s{i % 7 % 4}") for i in range(300)]
+    return [(key, source, text) for key, text, source in rows], spark.createDataFrame(
+        [(key, text, "en", source, len(text)) for key, text, source in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+
+
+def test_training_order_is_a_query(spark, tmp_path):
+    rows, docs = sources_of_three(spark)
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["op5_training_order"](spark, str(tmp_path)).collect()]
+    want = sorted(plain_order(rows))
+    assert [(k, s, r) for k, s, r, _ in got] == [(k, s, r) for _, k, s, r in want]
+    assert all(abs(g[3] - w[0]) < 1e-9 for g, w in zip(got, want))
+
+
+def test_token_files_follow_the_mix(spark):
+    rows, docs = sources_of_three(spark)
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    found = corpus_pipeline.token_files(spark, mixed.repartition(5), "").collect()
+    got = [r["doc_id"] for r in sorted(found, key=lambda r: r["start"])]
+    want = [key for _, key, _, _ in sorted(plain_order(rows))]
+    assert got == want and got != sorted(got)
