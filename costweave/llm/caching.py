@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+#: Bytes of a generation of remembered words, and what an entry takes beside its word and its value.
+KEPT_BYTES = 75_000_000
+ENTRY_BYTES = 200
+#: Longer words are worked out for their batch only: they hardly come again, and text without blanks is full of them.
+LONGEST_KEPT = 200
 
 _HELD: dict[tuple, object] = {}
 
@@ -17,25 +22,36 @@ def held(key: tuple, make: Callable[[], object]):
 
 
 class RecentWords:
-    """Two generations of at most ``limit`` entries and one batch each; words of the older one are carried over when
-    they come again. ``prepare`` makes every word of a batch present, working out the missing ones in one call."""
+    """Two generations of about ``limit`` bytes each; words of the older one are carried over when they come again.
+    ``prepare`` makes every word of a batch present, working out the missing ones in one call."""
 
-    def __init__(self, work_out: Callable[[list[str]], Iterable], limit: int = 300_000):
+    def __init__(self, work_out: Callable[[list[str]], Iterable], limit: int = KEPT_BYTES):
         self.work_out, self.limit = work_out, limit
         self.new: dict = {}
         self.old: dict = {}
+        self.size = 0
+        self.passing: list[str] = []
+
+    def keep(self, found: dict) -> None:
+        self.new.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+        self.passing.extend(w for w in found if len(w) > LONGEST_KEPT)
 
     def prepare(self, words: set[str]) -> dict:
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
+        for word in self.passing:
+            value = self.new.pop(word, None)
+            self.size -= 0 if value is None else len(word) + len(value) + ENTRY_BYTES
+        self.passing = []
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0
         missing = words.difference(self.new)
         if missing:
             old = self.old
             known = {w: old[w] for w in missing if w in old} if old else {}
-            self.new.update(known)
+            self.keep(known)
             todo = [w for w in missing if w not in known] if known else list(missing)
             if todo:
-                self.new.update(zip(todo, self.work_out(todo)))
+                self.keep(dict(zip(todo, self.work_out(todo))))
         return self.new
 
 

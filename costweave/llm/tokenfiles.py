@@ -8,7 +8,7 @@ only the last one is padded. A second Arrow file names the documents of the stre
 under a name of its own attempt and reports it in one row; only reported files count, so a repeated task does no harm.
 
 Defined cases: null and empty texts have the end id only; documents of any length run over as many sequences as they
-need; rows with equal keys stay in the order of their texts, null keys come first; an empty table writes no file.
+need; rows with equal keys are ordered by a digest of their texts, null keys come first; an empty table writes no file.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ CHARACTERS_AT_ONCE = 3_000_000
 WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 WORD_AND_MARKS = re.compile(f"({WORD.pattern})([!-&(-/:-@\\[-`{{-~]+)")
 WORDS_AT_ONCE = 256
-PIECES_KEPT = 500_000
+PIECES_KEPT = 125_000_000
 #: Fixed value: how the vocabulary marks the last token of a word.
 END_OF_WORD = "</w>"
 MANIFEST = "part int, ids_file string, documents_file string, n_ids long, n_documents long"
@@ -93,9 +93,9 @@ class WordEncoder:
         found = self.encode_words(words) if words else {}
         encoded = self.library.encode_batch_fast(rest, add_special_tokens=False)
         found.update((p, np.array(e.ids, self.id_type).tobytes()) for p, e in zip(rest, encoded))
-        recent.update(found)
+        self.pieces.keep(found)
         for piece, (word, marks) in parted.items():
-            first, second = recent.get(word) or older[word], recent.get(marks) or older[marks]
+            first, second = (found.get(p) or recent.get(p) or older[p] for p in (word, marks))
             found[piece] = first + second
         return [found[piece] for piece in pieces]
 

@@ -9,9 +9,11 @@ COLUMNS = {
     "labels": "doc_id long, quality int, toxic int",
     "pages": "page_id long, url string, html string",
     "benchmark": "item_id long, text string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
 }
 #: Names that the operators use themselves.
-CLASHING = "size shard slot copies copy start target taken g c n at cut fp component score words row part __row __part"
+CLASHING = "x ids copies again gaps cost component size shard slot copies copy start target taken g c n at cut fp component score words row part __row __part"
 
 
 def word(draw: random.Random) -> str:
@@ -45,7 +47,25 @@ def odd_rows() -> dict[str, list[tuple]]:
     urls += [None, "", "no address", "://", "http:/x", "a://b://c/d", "://x.com/de/"]
     pages = [(i % 150, u, None) for i, u in enumerate(urls)] + [(None, "http://x.com/de/1", "h"), (3, urls[3], "h")]
     benchmark = [(0, item), (1, prose(30)), (2, None), (3, ""), (4, "one"), (5, item), (None, prose(25)), (0, item)]
-    return {"documents": documents, "labels": labels, "pages": pages, "benchmark": benchmark}
+    says = ["Yes.", "No", "", " \t", "What then?", "Well. Well. Yes!", "Ja…", prose(8), prose(9) + ".", prose(3000), None]
+    roles = ["user", "assistant", "system", "user", "assistant", "", "tool", "User", None]
+    conversations = [(c, t, draw.choice(roles), draw.choice(says)) for c in range(40) for t in range(draw.randint(1, 9))]
+    conversations += [(50, t // 2, ("user", "assistant")[t % 2], draw.choice(says)) for t in range(300)]
+    conversations += [(51, None, "user", "Yes."), (51, None, "assistant", "Yes."), (51, 7, "user", "Yes."), (51, 3, "user", "x")]
+    conversations += [(None, t, "user", f"{t}.") for t in (None, 1, 5)] + [(52, 2, "user", "Same.")] * 5
+    conversations += [(c, 0, "user", "Alone.") for c in range(60, 90)]
+    vectors = [[draw.gauss(0, 1) * (k + 1) for k in range(6)] for _ in range(60)]
+    vectors += [None, [], [1.0] * 5, [None] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [float("inf")] + [0.0] * 5]
+    vectors += vectors[:3] * 2
+    embeddings = [(i, v, None) for i, v in enumerate(vectors)] + [(None, vectors[4], 1), (5, vectors[9], 1)]
+    return {
+        "documents": documents,
+        "labels": labels,
+        "pages": pages,
+        "benchmark": benchmark,
+        "conversations": conversations,
+        "embeddings": embeddings,
+    }
 
 
 def write(spark, out, rows: dict[str, list[tuple]], added: str = "") -> str:
