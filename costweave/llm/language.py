@@ -9,18 +9,20 @@ Piece probabilities are fitted by expectation-maximisation with the same lattice
 expected count of every piece in the words of a bounded sample of labelled texts, summed by Spark.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; so is every text if nothing is labelled;
-texts of any length are scored whole; letters outside the vocabulary have a small fixed probability; ties go to the
+letters are those of Unicode's category L, so numerals are none; texts and runs of letters of any length are fitted and
+scored whole; more than ``MOST_LANGUAGES`` languages are an error; letters outside the vocabulary have a small fixed probability; ties go to the
 first language in code point order; repeated rows, null keys and other columns stay as they are.
 """
 
 from __future__ import annotations
 
-import re
+import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +41,14 @@ SMOOTHING = 0.05
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
 BLANK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 #: Words up to this length are scored together; longer ones rescale at every letter.
 SHORT = 24
 CHARACTERS_AT_ONCE = 1_000_000
 #: Words whose lattices are held at a time.
 WORDS_AT_ONCE = 10_000
+#: The model holds a whole vocabulary per language and passes the driver; a table with more languages is refused.
+MOST_LANGUAGES = 500
 #: A document is rejected by the pipeline below this score.
 LEAST_SCORE = 0.5
 
@@ -150,6 +154,33 @@ def long_word(word: str, pieces: dict[str, int], probability: np.ndarray) -> np.
     return scale
 
 
+def long_counts(word: str, pieces: dict[str, int], probability: np.ndarray) -> dict[int, float]:
+    """Expected count of every piece in one word of any length under one language: forward and backward logarithms over a
+    sliding window, each value relative to its neighbour, so nothing runs out of range."""
+    longest, n = max(map(len, pieces)), len(word)
+    edges: list[list[tuple[int, int, float]]] = []  # by end: start, piece, probability
+    ahead = [0.0] * (n + 1)
+    for end in range(1, n + 1):
+        found = []
+        for start in range(end - 1, max(end - longest, 0) - 1, -1):
+            piece = pieces.get(word[start:end], -1)
+            if piece >= 0 or start == end - 1:
+                found.append((start, piece, float(probability[piece])))
+        edges.append(found)
+        top = max(ahead[start] for start, _, _ in found)
+        ahead[end] = top + math.log(sum(math.exp(ahead[start] - top) * p for start, _, p in found))
+    after: list[float] = [-math.inf] * n + [0.0]
+    counts: dict[int, float] = {}
+    for end in range(n, 0, -1):
+        for start, piece, p in edges[end - 1]:
+            way = after[end] + math.log(p)
+            high, low = max(after[start], way), min(after[start], way)
+            after[start] = high + math.log1p(math.exp(low - high))
+            if piece >= 0:
+                counts[piece] = counts.get(piece, 0.0) + math.exp(ahead[start] + way - ahead[n])
+    return counts
+
+
 class Scorer:
     """Log-likelihoods of tokens (text between blanks) under every language, kept for tokens that come again."""
 
@@ -208,14 +239,33 @@ def sample_words(labelled: DataFrame, key: str, text: str, lang: str, texts: int
     """(lang, word, n) over about ``texts`` labelled texts per language, chosen by a digest of the key."""
     place = F.conv(F.substring(F.md5(key_text(F.col(key))), 1, 12), 16, 10).cast("double") / float(16**12)
     sizes = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("__n"))
-    # one row per language: the model holds the whole vocabulary for each
-    drawn = labelled.join(F.broadcast(sizes), lang).where(place * F.col("__n") < texts)
+    drawn = labelled.join(sizes, lang).where(place * F.col("__n") < texts)
     runs = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+)"), 1))
     return drawn.select(F.col(lang).alias("lang"), runs.alias("word")).groupBy("lang", "word").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
+def expected_counts(rows: list[tuple[str, int, int]], pieces: dict[str, int], probability: np.ndarray):
+    """(language, piece, expected count) of short words, each with its language and how often it occurs."""
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    words, which, n = zip(*rows)
+    which = np.array(which)
+    lattice = Lattice(list(words), pieces)
+    alpha, beta = lattice.forward(probability), lattice.backward(probability)
+    per_word = np.array(n, float) / lattice.whole(alpha)[np.arange(len(which)), which]
+    mine = which[lattice.rows]
+    share = (
+        alpha[lattice.rows, lattice.starts, mine]
+        * probability[lattice.ids, mine]
+        * beta[lattice.rows, lattice.ends, mine]
+        * per_word[lattice.rows]
+    )
+    kept = lattice.ids >= 0
+    return mine[kept], lattice.ids[kept], share[kept]
+
+
 def fit(labelled: DataFrame, model: str, key: str, text: str, lang: str, texts: int = SAMPLE_TEXTS, rounds: int = ROUNDS):
     """Languages in code point order and their piece probabilities (vocabulary + 1) x languages.
 
@@ -223,7 +273,9 @@ def fit(labelled: DataFrame, model: str, key: str, text: str, lang: str, texts:
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     words = cut_lineage(sample_words(labelled, key, text, lang, texts))
-    languages = [row["lang"] for row in words.select("lang").distinct().orderBy("lang").collect()]
+    languages = [row["lang"] for row in words.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     pieces = vocabulary(model)
     size = max(pieces.values()) + 1
     probability = uniform_start(len(languages), size, pieces)
@@ -235,24 +287,16 @@ def fit(labelled: DataFrame, model: str, key: str, text: str, lang: str, texts:
         def expect(batches: Iterator[pa.RecordBatch], given=given, model=model, number=number):
             for batch in batches:
                 langs, texts_, counts = (c.to_pylist() for c in batch.columns)
-                rows = [(BLANK + w, number[g], n) for g, w, n in zip(langs, texts_, counts) if len(w) < SHORT]
-                if not rows:
-                    continue
-                words_, which, n = zip(*rows)
-                which = np.array(which)
-                lattice = Lattice(list(words_), vocabulary(model))
-                alpha, beta = lattice.forward(given.value), lattice.backward(given.value)
-                per_word = np.array(n, float) / lattice.whole(alpha)[np.arange(len(which)), which]
-                mine = which[lattice.rows]
-                share = (
-                    alpha[lattice.rows, lattice.starts, mine]
-                    * given.value[lattice.ids, mine]
-                    * beta[lattice.rows, lattice.ends, mine]
-                    * per_word[lattice.rows]
-                )
-                kept = lattice.ids >= 0
-                code, place = np.unique(mine[kept] * len(given.value) + lattice.ids[kept], return_inverse=True)
-                total = np.bincount(place, share[kept], len(code))
+                rows = [(BLANK + w, number[g], n) for g, w, n in zip(langs, texts_, counts)]
+                parts = [expected_counts([x for x in rows if len(x[0]) <= SHORT], vocabulary(model), given.value)]
+                columns: dict[int, np.ndarray] = {}
+                for word, which, n in (x for x in rows if len(x[0]) > SHORT):
+                    column = columns.setdefault(which, given.value[:, which].copy())
+                    found = long_counts(word, vocabulary(model), column)
+                    parts.append((np.full(len(found), which), np.fromiter(found, np.int64), n * np.fromiter(found.values(), float)))
+                which, piece, share = (np.concatenate(x) for x in zip(*parts))
+                code, place = np.unique(which * len(given.value) + piece, return_inverse=True)
+                total = np.bincount(place, share, len(code))
                 arrays = [pa.array(code // len(given.value)), pa.array(code % len(given.value)), pa.array(total)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["lang", "piece", "n"])
 

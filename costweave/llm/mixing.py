@@ -1,10 +1,10 @@
 """Time-varying curriculum over weighted sources, in SQL functions only.
 
-Each source has a weight schedule over the training time t in [0, 1], given as linear pieces. The integral of the
-schedule is the source's weight; weights share a budget of words, and no source takes more than ``MAX_REPEATS`` times
+Each source has a weight schedule over the training time t in [0, 1], given as linear pieces between points. A schedule
+is scaled so that its integral is the source's weight; weights share a budget of words, and no source takes more than ``MAX_REPEATS`` times
 its size (the excess is shared again). A source's documents form a stream in the order of a digest, repeated as often as needed. Word
-number c of a stream stands at the time where the cumulative demand of the schedule reaches c: the integral is
-inverted piece by piece. Documents are then sorted by that time, range by range.
+number c of a stream stands at the time where the cumulative demand of the schedule reaches c: the integral is inverted
+in the piece whose cumulative demand holds c. Documents are then numbered and sorted by that time, range by range.
 
 Defined cases: null text has size 0 and is never taken; a null source is a source of its own and comes last; ties of
 the digest are broken by key, size and text; equal rows are copies that follow each other; sources without words get target
@@ -38,12 +38,72 @@ MAX_REPEATS = 3
 SEGMENT_DIGITS = 3
 #: Leading characters of a source's name that split the ranking.
 RANK_CHARACTERS = 8
-#: Ramp of the schedule by the same place: the weight at time t is w * (1 + ramp * (2 t - 1)), so its integral is w.
-RAMPS = (-0.5, 0.0, 0.8)
+#: Schedules by the same place: points (time, weight) with time rising from 0 to 1; only their proportions count.
+Schedule = tuple[tuple[float, float], ...]
+SCHEDULES: tuple[Schedule, ...] = (
+    ((0.0, 1.5), (1.0, 0.5)),
+    ((0.0, 1.0), (1.0, 1.0)),
+    ((0.0, 0.25), (0.5, 0.5), (0.75, 2.0), (1.0, 1.5)),
+)
+#: Digits of the times that are returned and sorted by, and segments of the training order.
+TIME_DIGITS = 9
+TIME_SEGMENTS = 4096
+
+
+def integrals(schedule: Schedule) -> list[float]:
+    """Demand met by each point of a schedule, as a share of the whole."""
+    if schedule[0][0] != 0.0 or schedule[-1][0] != 1.0 or any(a >= b for (a, _), (b, _) in zip(schedule, schedule[1:])):
+        raise ValueError("times of a schedule rise from 0 to 1")
+    met = [0.0]
+    for (t, w), (u, v) in zip(schedule, schedule[1:]):
+        if min(w, v) < 0.0:
+            raise ValueError("a weight is not below 0")
+        met.append(met[-1] + (w + v) / 2.0 * (u - t))
+    if not met[-1]:
+        raise ValueError("a schedule has some weight")
+    return [m / met[-1] for m in met]
+
+
+def inverse_pieces(schedule: Schedule) -> list[tuple[float, float, float, float, float]]:
+    """(share met at the end, share met at the start, time of the start, weight there, slope) of each piece that demands
+    anything; weights are those of the schedule with integral 1."""
+    met = integrals(schedule)
+    whole = sum((w + v) / 2.0 * (u - t) for (t, w), (u, v) in zip(schedule, schedule[1:]))
+    pieces = []
+    for (t, w), (u, v), start, end in zip(schedule, schedule[1:], met, met[1:]):
+        if end > start:
+            pieces.append((end, start, t, w / whole, (v - w) / whole / (u - t)))
+    return pieces
+
+
+def scheduled_time(share: Column, schedule: Schedule) -> Column:
+    """Time at which a schedule has met this share of its demand."""
+    found = None
+    for end, start, t, w, slope in reversed(inverse_pieces(schedule)):
+        rest = share - F.lit(start)
+        root = F.sqrt(F.greatest(F.lit(0.0), F.lit(w * w) + F.lit(2.0 * slope) * rest))
+        time = F.lit(t) + F.coalesce(F.try_divide(F.lit(2.0) * rest, F.lit(w) + root), F.lit(0.0))
+        found = time if found is None else F.when(share < F.lit(end), time).otherwise(found)
+    return F.round(F.least(F.lit(1.0), found), TIME_DIGITS)
+
+
+def sql_scheduled_time(share: str, schedule: Schedule) -> str:
+    found = None
+    for end, start, t, w, slope in reversed(inverse_pieces(schedule)):
+        rest = f"({share} - {start!r}e0)"
+        root = f"sqrt(greatest(0e0, {w * w!r}e0 + {2.0 * slope!r}e0 * {rest}))"
+        time = f"({t!r}e0 + coalesce(2e0 * {rest} / nullif({w!r}e0 + {root}, 0e0), 0e0))"
+        found = time if found is None else f"CASE WHEN {share} < {end!r}e0 THEN {time} ELSE {found} END"
+    return f"round(least(1e0, {found}), {TIME_DIGITS})"
+
+
+def planned_time(share: Column, place: Column) -> Column:
+    """The same for a schedule given by its place."""
+    return F.coalesce(*[F.when(place == k, scheduled_time(share, s)) for k, s in enumerate(SCHEDULES)])
 
 
 def source_weights(sizes: DataFrame) -> DataFrame:
-    """Adds weight and ramp to (source, source_size): by rank in code point order, null last, repeating.
+    """Adds weight and the place of the schedule to (source, source_size): by rank in code point order, null last, repeating.
 
     The table has one row per source. The rank is an offset, by the beginning of the name, plus the place among the
     sources with that beginning.
@@ -54,10 +114,8 @@ def source_weights(sizes: DataFrame) -> DataFrame:
     ranked = running_start(marked, ["__all"], "__head", [F.col("source").asc_nulls_last()], "__one", "__rank")
     place = (F.col("__rank") % len(WEIGHTS)).cast("int")
 
-    def pick(values: tuple[float, ...]) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), place + 1)
-
-    return ranked.select("source", "source_size", pick(WEIGHTS).alias("weight"), pick(RAMPS).alias("ramp"))
+    weight = F.element_at(F.array(*[F.lit(v) for v in WEIGHTS]), place + 1)
+    return ranked.select("source", "source_size", weight.alias("weight"), place.alias("schedule"))
 
 
 def share_budget(sources: DataFrame, budget: float | None = None, repeats: float = MAX_REPEATS) -> DataFrame:
@@ -82,13 +140,6 @@ def share_budget(sources: DataFrame, budget: float | None = None, repeats: float
     return rated.withColumn("target", F.least(ceiling, F.coalesce(found * F.col("weight"), ceiling))).drop("__ratio")
 
 
-def training_time(share: Column, ramp: Column) -> Column:
-    """Time at which a ramped schedule has met this share of its demand: the inverse of t * (1 - r) + r * t^2."""
-    slope = F.lit(1.0) - ramp
-    root = F.sqrt(slope * slope + F.lit(4.0) * ramp * share)
-    return F.when((ramp == 0.0) | (share == 0.0), share).otherwise(F.try_divide(F.lit(2.0) * share, slope + root))
-
-
 def draw_mix(docs: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFrame:
     """Words taken of each row of (key, source, size, ..) for sources with targets, and its first training time.
 
@@ -115,16 +166,28 @@ def draw_mix(docs: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFr
     taken = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(whole * F.col("size") + part)
     share = F.try_divide(F.col("start").cast("double"), F.col("target"))
     return mixed.withColumn("taken", taken.cast("long")).withColumn(
-        "first_time", F.when(F.col("taken") > 0, training_time(share, F.col("ramp")))
+        "first_time", F.when(F.col("taken") > 0, planned_time(share, F.col("schedule")))
     )
 
 
+def numbered(mixed: DataFrame) -> DataFrame:
+    """Adds ``position``: the place, from 0, of each row's first time among all rows of which something is taken.
+
+    Segments of the time are numbered on their own and offset by the rows before them.
+    """
+    segment = F.least(F.lit(TIME_SEGMENTS - 1), F.floor(F.col("first_time") * TIME_SEGMENTS).cast("int"))
+    some = mixed.where("taken > 0").withColumns({"__all": F.lit(1), "__part": segment, "__one": F.lit(1).cast("long")})
+    order = ["first_time", "doc_id", "size", "start"]
+    placed = running_start(some, ["__all"], "__part", order, "__one", "position").drop("__all", "__part", "__one")
+    return placed.unionByName(mixed.where("taken = 0").withColumn("position", F.lit(None).cast("long")))
+
+
 def timed_repeats(mixed: DataFrame) -> DataFrame:
     """Adds repeat (from 0) and training_time to the rows of draw_mix, one row per begun repeat."""
     begun = F.ceil(F.col("taken") / F.col("size"))
     plan = mixed.where("taken > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), begun - 1)))
     share = (F.col("start") + F.col("repeat") * F.col("source_size")) / F.col("target")
-    return plan.withColumn("training_time", training_time(share, F.col("ramp")))
+    return plan.withColumn("training_time", planned_time(share, F.col("schedule")))
 
 
 def training_order(mixed: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,7 +230,7 @@ sized AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROU
 placed AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) AS place FROM sized),
 weighted AS (
   SELECT source, source_size, [{', '.join(f'{w}e0' for w in WEIGHTS)}][place + 1] AS weight,
-    [{', '.join(f'{w}e0' for w in RAMPS)}][place + 1] AS ramp, source_size * {float(MAX_REPEATS)}e0 AS cap
+    place AS schedule, source_size * {float(MAX_REPEATS)}e0 AS cap
   FROM placed),
 steps AS (SELECT cap / weight AS ratio, sum(cap) AS cap, sum(weight) AS w FROM weighted GROUP BY 1),
 levels AS (
@@ -183,23 +246,30 @@ placed_docs AS (
   SELECT doc_id, source, size, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id NULLS FIRST, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM laid),
 joined AS (
-  SELECT d.doc_id, d.source, d.size, d.start, t.source_size, t.target, t.ramp,
+  SELECT d.doc_id, d.source, d.size, d.start, t.source_size, t.target, t.schedule,
     coalesce(floor(t.target / nullif(t.source_size, 0)), 0e0) AS whole,
     CAST(round(t.target - coalesce(floor(t.target / nullif(t.source_size, 0)), 0e0) * t.source_size) AS BIGINT) AS more
   FROM placed_docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 mix AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(whole * size AS BIGINT) + greatest(0, least(size, more - start)) END
-    AS taken FROM joined)"""
+    AS taken FROM joined),
+timed AS (
+  SELECT *, CASE WHEN taken > 0 THEN CASE schedule
+    {' '.join(f"WHEN {k} THEN {sql_scheduled_time('(start / target)', s)}" for k, s in enumerate(SCHEDULES))} END END AS first_time
+  FROM mix)"""
 
 
 @query(
     "op5_mix",
-    f"WITH {SQL_SIZED}, {SQL_MIX} SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM mix",
+    f"WITH {SQL_SIZED}, {SQL_MIX} "
+    "SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, first_time, CASE WHEN taken > 0 THEN "
+    "row_number() OVER (PARTITION BY taken > 0 ORDER BY first_time, doc_id NULLS FIRST, size, start) - 1 END AS position FROM timed",
 )
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the production mix takes of every document."""
+    """Words that the production mix takes of every document, the time of the first of them and its place in that order."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    return planned_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = numbered(cut_lineage(planned_mix(docs)))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_time", "position")
 
 
 @query("op5_training_order")

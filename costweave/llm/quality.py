@@ -1,8 +1,8 @@
 """Cross-document line frequency, in SQL functions only.
 
 Lines are normalised and hashed. For each host the different documents with a line are counted (equal texts are one
-document); a line in more than ``MIN_DOCS`` documents and more than ``MAX_SHARE`` of its host's documents is removed
-wherever it stands. A document that loses more than ``MAX_LOST`` of its words is depleted and rejected, next to the
+document); a line in more than ``MIN_DOCS`` documents, or in more than ``FEW_DOCS`` and more than ``MAX_SHARE`` of its
+host's documents, is removed wherever it stands. A document that loses more than ``MAX_LOST`` of its words is depleted and rejected, next to the
 base rules on words and repeated windows.
 
 Defined cases: null text has no words and fails the base rules; a null host is a host of its own; equal rows get equal
@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from costweave.llm.common import SPACE, table, words
 from costweave.llm.registry import query
 
-#: A line is boilerplate of a host above both limits.
+#: A line is boilerplate of a host above either limit: a number of documents, or a share of them that are not too few.
 MIN_DOCS = 10
+FEW_DOCS = 3
 MAX_SHARE = 0.1
 #: Share of its words that a kept document may lose.
-MAX_LOST = 0.5
+MAX_LOST = 0.2
 #: Base rules.
 LEAST_WORDS = 50
 MOST_REPEATED = 0.5
@@ -119,8 +120,10 @@ def removed_words(
         F.sum("__words").alias("__words")
     )
     counts = per_document.groupBy("__line", "__host").agg(F.count(F.lit(1)).alias("__with"))
-    frequent = counts.where(F.col("__with") > min_docs).join(hosts, "__host")
-    frequent = frequent.where(F.col("__with") > F.col("__docs") * F.lit(max_share)).select("__line")
+    least = min(min_docs, FEW_DOCS)  # most lines stand in one document and leave here
+    shared = counts.where(F.col("__with") > least).join(hosts, "__host")
+    by_share = (F.col("__with") > FEW_DOCS) & (F.col("__with") > F.col("__docs") * F.lit(max_share))
+    frequent = shared.where((F.col("__with") > min_docs) | by_share).select("__line")
     lost = per_document.join(frequent, "__line", "left_semi").groupBy("__document").agg(
         F.sum("__words").alias("__lost"), F.collect_set("__line").alias("__lines")
     )
@@ -181,7 +184,7 @@ hosts AS (SELECT source, count(DISTINCT text) AS docs FROM docs GROUP BY source)
 frequent AS (
   SELECT w.source, normal FROM (
     SELECT source, normal, count(DISTINCT text) AS c FROM worded GROUP BY source, normal) w
-  JOIN hosts h ON w.source IS NOT DISTINCT FROM h.source WHERE c > {MIN_DOCS} AND c > docs * {MAX_SHARE}e0),
+  JOIN hosts h ON w.source IS NOT DISTINCT FROM h.source WHERE c > {MIN_DOCS} OR c > {FEW_DOCS} AND c > docs * {MAX_SHARE}e0),
 lost AS (
   SELECT r, sum(n) AS removed FROM worded w
   WHERE EXISTS (FROM frequent f WHERE f.source IS NOT DISTINCT FROM w.source AND f.normal = w.normal) GROUP BY r),
