@@ -8,39 +8,51 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costweave.functions.draws import normal_cdf, normal_quantile, normal_tail, pick, uniform52
+from costweave.functions.draws import pick, truncated_steps, uniform52
+from costweave.operators.multinomial import bootstrap_sums  # noqa: F401
 from costweave.operators.ordered import dense_index, prefix, shuffled_order
 from costweave.operators.quantiles import exact_median
 from costweave.operators.resolve import null_safe_join
 from costweave.session import spread
 
 
-
 def truncated_normal(
-    df: DataFrame, mean: str, draw: str, seed: int, low: float, high: float, sd: float = 1.0, out: str = "x"
+    df: DataFrame,
+    mean: str,
+    draw: str,
+    seed: int,
+    low: float | Column,
+    high: float | Column,
+    sd: float = 1.0,
+    out: str = "x",
 ) -> DataFrame:
     """Adds a normal draw around ``mean`` inside [low, high], by the inverse of the distribution function.
 
     One uniform number is stretched over the part of the distribution between the bounds, so no draw is tried again,
-    folded or put on a bound, however narrow they are.
+    folded or put on a bound, however narrow they are or far from the mean.
     """
-    marked = df.withColumns(
-        {
-            "__u": uniform52(seed, F.col(draw), "n"),
-            "__za": (F.lit(low) - F.col(mean)) / F.lit(sd),
-            "__zb": (F.lit(high) - F.col(mean)) / F.lit(sd),
-        }
-    )
-    ends = marked.withColumns({"__pa": F.expr(normal_cdf("__za")), "__pb": F.expr(normal_cdf("__zb"))})
-    placed = ends.withColumn("__p", F.col("__pa") + F.col("__u") * (F.col("__pb") - F.col("__pa")))
-    placed = placed.withColumn("__q", F.expr(normal_tail("__p")))
-    x = F.col(mean) + F.lit(sd) * F.expr(normal_quantile("__p", "__q"))
-    drawn = placed.withColumn(out, F.greatest(F.lit(low), F.least(F.lit(high), x)))
-    return drawn.drop("__u", "__za", "__zb", "__pa", "__pb", "__p", "__q")
+    named = {
+        "__u": uniform52(seed, F.col(draw), "n"),
+        "__za": (F.lit(low) - F.col(mean)) / F.lit(sd),
+        "__zb": (F.lit(high) - F.col(mean)) / F.lit(sd),
+    }
+    placed = df.withColumns({"__row": F.struct(*df.columns)}).select("__row", *[c.alias(n) for n, c in named.items()])
+    for step in truncated_steps("__u", "__za", "__zb"):
+        placed = placed.withColumns({name: F.expr(text) for name, text in step.items()})
+    x = F.col(f"__row.{mean}") + F.lit(sd) * F.col("tz")
+    inside = F.greatest(F.lit(low), F.least(F.lit(high), x))  # beyond a bound by rounding only
+    return placed.select("__row.*", inside.alias(out))
 
 
 def resample_truncated(
-    sample: DataFrame, key: str, value: str, draws: DataFrame, draw: str, seed: int, low: float, high: float
+    sample: DataFrame,
+    key: str,
+    value: str,
+    draws: DataFrame,
+    draw: str,
+    seed: int,
+    low: float | Column,
+    high: float | Column,
 ) -> DataFrame:
     """For every row of ``draws``: a value of the sample picked with replacement, blurred, kept inside the bounds."""
     indexed = dense_index(sample.select(key, value), key, seed)
@@ -50,24 +62,6 @@ def resample_truncated(
     return truncated_normal(joined, "__center", draw, seed, low, high).select(draw, "x")
 
 
-def bootstrap_sums(sample: DataFrame, key: str, value: str, replicates: int, seed: int) -> DataFrame:
-    """Sum of n values drawn with replacement, for each replicate.
-
-    Draw (replicate, i) picks a row number; the draws are spread evenly over the index, so the join on it has no hot
-    key, and the sums combine before the last shuffle.
-    """
-    n = sample.agg(F.count(F.lit(1))).scalar()
-    indexed = dense_index(sample.select(key, value), key, seed)
-    draws = spread(indexed.select("index"), "index").select(
-        F.col("index").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    ).select("replicate", pick(n, seed, F.col("replicate"), F.col("i")).alias("index"))
-    return (
-        draws.join(indexed.select("index", value), "index")
-        .groupBy("replicate")
-        .agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("total"))
-    )
-
-
 def poisson_weight_bounds() -> list[tuple[float, int]]:
     """(upper bound of the uniform, count) of a Poisson(1) count, up to the bound that a double tells no more from 1."""
     bounds, cumulative, term, k = [], 0.0, math.exp(-1.0), 0

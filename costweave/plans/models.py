@@ -16,9 +16,10 @@ from costweave.functions.scalars import (
     strip_letters,
 )
 from costweave.operators.costs import total_cost
-from costweave.functions.draws import normal_cdf, normal_quantile, normal_tail
+from costweave.functions.draws import truncated_steps
 from costweave.operators.curve import asymptotic_fit, asymptotic_predict
 from costweave.operators.density import box_summary, density_curve, histogram, kernel_density, rule_bandwidth
+from costweave.operators.multinomial import sql_bootstrap
 from costweave.operators.ordination import principal_axes
 from costweave.operators.regress import linear_fit
 from costweave.operators.resolve import left_attach
@@ -186,8 +187,14 @@ def sql_uniform52(address: str) -> str:
     return f"(({_sql_word(address, 13)} + 0.5e0) / {float(2**52)!r})"
 
 
-#: Upper bound of the draws: event values end below it.
-EFFICIENCY_MOST = 500.0
+def sql_truncated(source: str, u: str, za: str, zb: str) -> str:
+    """Table expressions t0 .. that add the steps of a truncated draw to a source; the last one is ``truncated``."""
+    steps = truncated_steps(u, za, zb)
+    names = [source, *[f"step{k}" for k in range(1, len(steps))], "truncated"]
+    return ",\n    ".join(
+        f"{after} AS (SELECT *, {', '.join(f'{text} AS {name}' for name, text in step.items())} FROM {before})"
+        for before, after, step in zip(names, names[1:], steps)
+    )
 
 
 @query(
@@ -195,19 +202,19 @@ EFFICIENCY_MOST = 500.0
     f"""WITH indexed AS (SELECT value, row_number() OVER (ORDER BY md5('{SEED}:' || event_id), event_id) - 1 AS i
       FROM events WHERE value IS NOT NULL),
     picks AS (SELECT event_id, {_sql_word(f"'{SEED}:' || event_id", 15)} % (SELECT count(*) FROM indexed) AS i FROM events),
-    s0 AS (SELECT event_id, value AS mean,
-        {sql_uniform52(f"'{SEED}:' || event_id || ':n'")} AS u FROM picks JOIN indexed USING (i)),
-    s1 AS (SELECT *, 0e0 - mean AS za, {EFFICIENCY_MOST}e0 - mean AS zb FROM s0),
-    s2 AS (SELECT *, {normal_cdf('za')} AS pa, {normal_cdf('zb')} AS pb FROM s1),
-    s3 AS (SELECT *, pa + u * (pb - pa) AS p FROM s2),
-    s4 AS (SELECT *, {normal_tail('p')} AS q FROM s3)
-    SELECT event_id, {sql_r(f"greatest(0e0, least({EFFICIENCY_MOST}e0, mean + 1e0 * {normal_quantile('p', 'q')}))", 5)} AS x FROM s4""",
+    bounds AS (SELECT least(0e0, min(value)) AS low, max(value) AS high FROM events),
+    drawn AS (SELECT event_id, value AS mean, low, high, low - value AS za, high - value AS zb,
+        {sql_uniform52(f"'{SEED}:' || event_id || ':n'")} AS u FROM picks JOIN indexed USING (i), bounds),
+    {sql_truncated('drawn', 'u', 'za', 'zb')}
+    SELECT event_id, {sql_r("greatest(low, least(high, mean + 1e0 * tz))", 5)} AS x FROM truncated""",
 )
 def truncnorm_resample(spark, sf_dir):
-    """As many draws as there are events, around their values."""
+    """As many draws as there are events, around their values, inside the range that values have."""
     events = table(spark, sf_dir, "events").select("event_id", "value")
     sample = events.where("value IS NOT NULL")
-    drawn = resample_truncated(sample, "event_id", "value", events, "event_id", SEED, 0.0, EFFICIENCY_MOST)
+    low = sample.agg(F.least(F.lit(0.0), F.min("value"))).scalar()
+    high = sample.agg(F.max("value")).scalar()
+    drawn = resample_truncated(sample, "event_id", "value", events, "event_id", SEED, low, high)
     return drawn.select("event_id", r(F.col("x"), 5).alias("x"))
 
 
@@ -217,11 +224,8 @@ REPLICATES = 1000
 
 @query(
     "bootstrap_sum",
-    f"""WITH {SQL_PART_TOTALS},
-    indexed AS (SELECT total, row_number() OVER (ORDER BY md5('{SEED}:' || entity), entity) - 1 AS i FROM totals),
-    draws AS (SELECT replicate, {_sql_word(f"'{SEED}:' || replicate || ':' || i", 15)} % (SELECT count(*) FROM totals) AS i
-      FROM indexed CROSS JOIN (SELECT unnest(range(1, {REPLICATES + 1})) AS replicate))
-    SELECT replicate, {sql_r('sum(total)', 1)} AS total FROM draws JOIN indexed USING (i) GROUP BY replicate""",
+    f"""WITH RECURSIVE {SQL_PART_TOTALS}, {sql_bootstrap('totals', 'entity', 'total', REPLICATES, SEED)}
+    SELECT replicate, {sql_r('total', 1)} AS total FROM drawn""",
 )
 def bootstrap_sum(spark, sf_dir):
     totals = costed_parts(spark, sf_dir).select("entity", total_cost().alias("total"))

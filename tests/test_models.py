@@ -149,6 +149,56 @@ def test_truncated_draws_stay_inside(spark):
     assert low.mean() == pytest.approx(math.sqrt(2 / math.pi), abs=0.05)
 
 
+@pytest.mark.parametrize("low, high", [(9, 10), (8, 9), (5, 6), (-10, -9), (-6, -5), (-1, 3), (30, 31), (-40, 60), (200, 201)])
+def test_truncated_tails(low, high, spark):
+    """No mass on a bound, and the mean of the density between them, in either tail."""
+    from costweave.operators.sampling import truncated_normal
+
+    n = 20_000
+    df = truncated_normal(spark.range(n).selectExpr("id AS d", "0D AS m"), "m", "d", 3, float(low), float(high))
+    x = np.array([r.x for r in df.collect()])
+    assert ((x > low) & (x < high)).all() and len(np.unique(x)) > n * 0.999
+    grid = np.linspace(max(low, -8), min(high, 8), 400_001) if low < 0 < high else np.linspace(low, high, 400_001)
+    weight = np.exp(-(grid**2 - grid[np.abs(grid).argmin()] ** 2) / 2)
+    mean = (grid * weight).sum() / weight.sum()
+    spread = math.sqrt(max(((grid - mean) ** 2 * weight).sum() / weight.sum(), 1e-12))
+    assert abs(x.mean() - mean) < 4 * spread / math.sqrt(n) + 1e-5
+    # the uniforms themselves, put through the exact inverse on the grid: within 1e-3 of every draw's own place
+    cumulative = np.cumsum(weight) / weight.sum()
+    assert abs(np.interp(np.sort(x), grid, cumulative) - (np.arange(n) + 0.5) / n).max() < 0.02
+
+
+def test_binomial_splits_are_multinomial(spark, monkeypatch):
+    """All draws arrive, shares follow the rows, whole or in chunks, and the sums are those of uniform picks."""
+    from costweave.operators import multinomial
+
+    n, replicates = 1000, 200
+    for at_once in (1 << 22, 120):
+        monkeypatch.setattr(multinomial, "DRAWS_AT_ONCE", at_once)
+        rows = multinomial.leaf_counts(spark, n, replicates, 5, leaf=64).collect()
+        counts = np.zeros((replicates, 16))
+        for replicate, lo, draws in rows:
+            counts[replicate - 1, lo // 64] += draws
+        assert (counts.sum(axis=1) == n).all()
+        share = np.array([64.0] * 15 + [1000 - 960]) / n
+        want = n * share
+        deviation = (counts.mean(axis=0) - want) / np.sqrt(want * (1 - share) / replicates)
+        assert np.abs(deviation).max() < 4
+        covariance = np.cov(counts.T)
+        assert np.abs(np.diag(covariance) / (want * (1 - share)) - 1).max() < 0.5
+        assert covariance[np.triu_indices(16, 1)].mean() == pytest.approx(-(n * share[0] ** 2), rel=0.3)
+    monkeypatch.undo()
+    monkeypatch.setattr(multinomial, "BROADCAST_BYTES", 0)
+    values = spark.range(10_000).selectExpr("id AS k", "double(id % 7) AS v")
+    totals = np.array([r["total"] for r in multinomial.bootstrap_sums(values, "k", "v", 300, 2).collect()])
+    v = np.arange(10_000) % 7
+    assert abs(totals.mean() - v.sum()) < 4 * math.sqrt(10_000 * v.var() / 300)
+    assert 0.8 < totals.std() / math.sqrt(10_000 * v.var()) < 1.2
+    assert all(float(t).is_integer() for t in totals)
+    none = spark.createDataFrame([], "k long, v double")
+    assert {r["total"] for r in multinomial.bootstrap_sums(none, "k", "v", 3, 2).collect()} == {0.0}
+
+
 def test_median_interval(spark):
     df = sample(spark)
     v = np.array([(i * 37) % 101 for i in range(300)], dtype=float)
