@@ -238,8 +238,12 @@ def uniform_start(languages: int, size: int, pieces: dict[str, int]) -> np.ndarr
 def sample_words(labelled: DataFrame, key: str, text: str, lang: str, texts: int) -> DataFrame:
     """(lang, word, n) over about ``texts`` labelled texts per language, chosen by a digest of the key."""
     place = F.conv(F.substring(F.md5(key_text(F.col(key))), 1, 12), 16, 10).cast("double") / float(16**12)
-    sizes = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("__n"))
-    drawn = labelled.join(sizes, lang).where(place * F.col("__n") < texts)
+    sizes = labelled.groupBy(lang).agg(F.count(F.lit(1)).alias("__n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # at most one row per language, counted above: the texts of a frequent language stay where they are
+    given = labelled.sparkSession.createDataFrame(sizes, f"{lang} string, __n long")
+    drawn = labelled.join(F.broadcast(given), lang).where(place * F.col("__n") < texts)
     runs = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+)"), 1))
     return drawn.select(F.col(lang).alias("lang"), runs.alias("word")).groupBy("lang", "word").agg(
         F.count(F.lit(1)).alias("n")
@@ -273,9 +277,7 @@ def fit(labelled: DataFrame, model: str, key: str, text: str, lang: str, texts:
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     words = cut_lineage(sample_words(labelled, key, text, lang, texts))
-    languages = [row["lang"] for row in words.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    languages = [row["lang"] for row in words.select("lang").distinct().orderBy("lang").collect()]
     pieces = vocabulary(model)
     size = max(pieces.values()) + 1
     probability = uniform_start(len(languages), size, pieces)
