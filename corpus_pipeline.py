@@ -1,4 +1,10 @@
-"""The training-data pipeline: five stages over ``documents``, each a table that the next one reads."""
+"""The training-data pipeline: five stages over ``documents``, each a table that the next one reads.
+
+Defined cases of every stage: documents with null or empty texts have no language and leave in the first stage, and a
+later stage takes them like any other; null keys, languages, sources and character counts stay as they are; repeated rows
+are one near-copy group; texts of any length are read whole; columns beside COLUMNS are dropped at the beginning of a
+stage, whatever their names; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
