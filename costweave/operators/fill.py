@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costweave.functions.scalars import fill
+from costweave.operators.attach import attach
 from costweave.operators.quantiles import exact_medians
-from costweave.operators.resolve import null_safe_join
 from costweave.params import CostParams
 
 
@@ -45,7 +45,7 @@ def fill_median(
     medians = exact_medians(df, columns, by)
     if by:
         known = medians.select(*by, F.struct(*columns).alias("__m"))
-        df = null_safe_join(df, known, by, "left")
+        df = attach(df, known, by, "left")
     else:
         df = df.withColumn("__m", medians.select(F.struct(*columns)).scalar())
     middles = {c: F.col(f"__m.{c}") for c in columns}
@@ -57,7 +57,7 @@ def fill_median(
 def attach_group_size(df: DataFrame, by: Sequence[str], out: str = "group_size") -> DataFrame:
     """Rows of the group on every row of it.
 
-    Counted with map-side combine and joined back, so a hot group is not sorted into one task as a window would.
+    Counted with map-side combine and attached by measured size, so a hot group does not meet in one task.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
-    return null_safe_join(df, sizes, by, "left")
+    return attach(df, sizes, by, "left")
