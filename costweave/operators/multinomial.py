@@ -27,6 +27,8 @@ WORD_BITS, WORD_DIGITS = 60, 15
 BROADCAST_BYTES = 64 << 20
 #: Draws whose bits one row adds up; nodes with more are cut into rows.
 DRAWS_AT_ONCE = 1 << 22
+#: Picks that one row of a leaf turns into rows; a leaf with more is dealt out among tasks.
+PICKS_AT_ONCE = 1 << 14
 
 
 def root_width(n: int, leaf: int = LEAF) -> int:
@@ -94,15 +96,19 @@ def two_halves(half: int):
     return halves
 
 
-def leaf_counts(spark, n: int, replicates: int, seed: int, leaf: int = LEAF) -> DataFrame:
-    """(replicate, lo, draws): how often each replicate picks from the leaf that begins at row lo."""
+def leaf_counts(spark, n: int, replicates: int, seed: int, leaf: int = LEAF, draws: int | None = None) -> DataFrame:
+    """(replicate, lo, draws): how often each replicate picks from the leaf that begins at row lo.
+
+    A replicate draws as often as there are rows, unless ``draws`` is given.
+    """
+    draws = n if draws is None else draws
     zero = F.lit(0).cast("long")
     start = spread(spark.range(1, replicates + 1).select(F.col("id").alias("replicate")), "replicate")
-    nodes = start.select("replicate", zero.alias("lo"), F.lit(n).cast("long").alias("draws"))
+    nodes = start.select("replicate", zero.alias("lo"), F.lit(draws).cast("long").alias("draws"))
     width = root_width(n, leaf)
     while width > leaf:
         halves = two_halves(width // 2)
-        if n > DRAWS_AT_ONCE and width > DRAWS_AT_ONCE:
+        if draws > DRAWS_AT_ONCE and width * draws > DRAWS_AT_ONCE * n:
             chunks = F.explode(F.sequence(zero, F.col("draws") - 1, F.lit(DRAWS_AT_ONCE).cast("long")))
             rows = spread(nodes.select("*", chunks.alias("at")), "replicate", "lo", "at")
             some = F.least(F.lit(DRAWS_AT_ONCE), F.col("draws") - F.col("at"))
@@ -143,20 +149,28 @@ def leaf_sums(counts: DataFrame, leaves: DataFrame, seed: int, full: bool) -> Da
     return drawn.groupBy("replicate").agg(F.sum(F.get("values", F.col("place").cast("int"))).alias("total"))
 
 
+def stored_rows(sample: DataFrame, key: str, value: str) -> tuple[DataFrame, int]:
+    """The rows as (__key, __value), stored, and their number."""
+    rows = cut_lineage(sample.select(F.col(key).alias("__key"), F.col(value).cast("double").alias("__value")))
+    return rows, rows.count()
+
+
+def packed_leaves(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """(lo, values): the values of each leaf in the order of their index; sent to every task if they are few."""
+    lo = F.col("index") - F.pmod("index", F.lit(LEAF))
+    placed = dense_index(rows, "__key", seed).select(lo.alias("lo"), "index", "__value")
+    packed = placed.groupBy("lo").agg(F.array_sort(F.collect_list(F.struct("index", "__value"))).alias("m"))
+    leaves = packed.select("lo", F.col("m.__value").alias("values"))
+    return F.broadcast(leaves) if n * 8 <= BROADCAST_BYTES else leaves
+
+
 def bootstrap_sums(sample: DataFrame, key: str, value: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, total): sum of n values drawn with replacement from n rows, for each replicate. Runs a count."""
     spark = sample.sparkSession
-    rows = sample.select(F.col(key).alias("__key"), F.col(value).cast("double").alias("__value"))
-    rows = cut_lineage(rows)
-    n = rows.count()
+    rows, n = stored_rows(sample, key, value)
     if not n:
         return spark.range(1, replicates + 1).select(F.col("id").alias("replicate"), F.lit(0.0).alias("total"))
-    lo = F.col("index") - F.pmod("index", F.lit(LEAF))
-    placed = dense_index(rows, "__key", seed).select(lo.alias("lo"), "index", "__value")
-    packed = placed.groupBy("lo").agg(F.array_sort(F.collect_list(F.struct("index", "__value"))).alias("m"))
-    leaves = packed.select("lo", F.col("m.__value").alias("values"))
-    if n * 8 <= BROADCAST_BYTES:
-        leaves = F.broadcast(leaves)
+    leaves = packed_leaves(rows, n, seed)
     counts = leaf_counts(spark, n, replicates, seed)
     full = F.col("lo") + LEAF <= n
     parts = leaf_sums(counts.where(full), leaves, seed, True).unionByName(
@@ -165,20 +179,47 @@ def bootstrap_sums(sample: DataFrame, key: str, value: str, replicates: int, see
     return parts.groupBy("replicate").agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))
 
 
-def sql_bootstrap(table: str, key: str, value: str, replicates: int, seed: int) -> str:
-    """The same draws as common table expressions that end in ``drawn`` (replicate, total)."""
+def drawn_values(sample: DataFrame, key: str, value: str, draws: int, seed: int) -> DataFrame:
+    """(leaf, draw, value): ``draws`` values picked with replacement from the rows of ``sample``. Runs a count.
+
+    The number of draws is free of the number of rows. The tree tells each leaf how many draws are its own, and they are
+    numbered and picked next to its values, so no draw is shuffled to find its row. ``key`` is unique; missing
+    values are picked like others. A table without rows gives no draws.
+    """
+    if draws < 0:
+        raise ValueError("the number of draws is 0 or more")
+    rows, n = stored_rows(sample, key, value)
+    if not n or not draws:
+        return rows.limit(0).select(
+            F.lit(0).cast("long").alias("leaf"), F.lit(0).cast("long").alias("draw"), F.col("__value").alias("value")
+        )
+    counts = leaf_counts(sample.sparkSession, n, 1, seed, draws=draws)
+    firsts = F.sequence(F.lit(0).cast("long"), F.col("draws") - 1, F.lit(PICKS_AT_ONCE).cast("long"))
+    pieces = counts.select("lo", "draws", F.explode(firsts).alias("first"))
+    if n * 8 <= BROADCAST_BYTES:
+        pieces = spread(pieces, "lo", "first")  # else the join by leaf deals them out
+    last = F.least(F.col("first") + PICKS_AT_ONCE, F.col("draws")) - 1
+    picks = pieces.join(packed_leaves(rows, n, seed), "lo").select(
+        "lo", "values", F.explode(F.sequence("first", last)).alias("draw")
+    )
+    place = F.pmod(word("pick", str(seed), F.col("lo"), F.col("draw")), F.size("values")).cast("int")
+    return picks.select(F.col("lo").alias("leaf"), "draw", F.get("values", place).alias("value"))
+
 
-    def word_sql(address: str) -> str:
-        return f"('0x' || substr(md5({address}), 1, {WORD_DIGITS}))::BIGINT"
+def word_sql(address: str) -> str:
+    return f"('0x' || substr(md5({address}), 1, {WORD_DIGITS}))::BIGINT"
 
+
+def sql_tree(table: str, key: str, value: str, replicates: int, seed: int, draws: str = "n") -> str:
+    """The tree as common table expressions that end in ``picks`` (replicate, lo, room, j)."""
     node = f"'split:{seed}:' || replicate || ':' || width || ':' || lo || ':0:' || digit || ':' || j"
     bits = f"""coalesce(list_sum(list_transform(range(0, (open + {WORD_BITS - 1}) // {WORD_BITS}),
               lambda j: bit_count({word_sql(node)} >> ({WORD_BITS} - least({WORD_BITS}, open - {WORD_BITS} * j))::BIGINT))), 0)::BIGINT"""
     return f"""indexed AS MATERIALIZED (SELECT {value} AS value, row_number() OVER (ORDER BY md5('{seed}:' || {key}), {key}) - 1 AS i FROM {table}),
     size AS (SELECT count(*)::BIGINT AS n FROM indexed),
     tree AS (
-      SELECT replicate, 0::BIGINT AS lo, ({LEAF} * pow(2, greatest(0, ceil(log2(n / {LEAF}e0)))))::BIGINT AS width, n AS draws,
-        0 AS digit, 0::BIGINT AS gone, n AS open, 0::BIGINT AS rest
+      SELECT replicate, 0::BIGINT AS lo, ({LEAF} * pow(2, greatest(0, ceil(log2(n / {LEAF}e0)))))::BIGINT AS width, {draws} AS draws,
+        0 AS digit, 0::BIGINT AS gone, {draws} AS open, 0::BIGINT AS rest
       FROM size, (SELECT unnest(range(1, {replicates + 1})) AS replicate) WHERE n > 0
       UNION ALL
       SELECT replicate, next.lo, next.width, next.draws, next.digit, next.gone, next.open, next.rest FROM (
@@ -191,9 +232,22 @@ def sql_bootstrap(table: str, key: str, value: str, replicates: int, seed: int)
           FROM (SELECT *, n - lo AS room, width // 2 AS half, n - lo > width // 2 AND n - lo < width AS uneven,
               2 * CASE WHEN digit = 0 THEN width // 2 ELSE rest END AS doubled, {bits} AS u
             FROM tree, size WHERE width > {LEAF} AND draws > 0))) WHERE next.draws > 0),
-    picks AS (SELECT replicate, lo, n - lo AS room, unnest(range(0, draws)) AS j FROM tree, size WHERE width = {LEAF}),
+    picks AS (SELECT replicate, lo, n - lo AS room, unnest(range(0, draws)) AS j FROM tree, size WHERE width = {LEAF})"""
+
+
+def sql_bootstrap(table: str, key: str, value: str, replicates: int, seed: int) -> str:
+    """``bootstrap_sums`` as common table expressions that end in ``drawn`` (replicate, total)."""
+    return f"""{sql_tree(table, key, value, replicates, seed)},
     places AS (SELECT replicate, lo + CASE WHEN room >= {LEAF}
         THEN ('0x' || substr(md5('pick:{seed}:' || replicate || ':' || lo || ':' || j // {32 // LEAF_DIGITS}), (1 + {LEAF_DIGITS} * (j % {32 // LEAF_DIGITS}))::BIGINT, {LEAF_DIGITS}))::BIGINT
         ELSE ('0x' || substr(md5('pick:{seed}:' || replicate || ':' || lo || ':' || j // {32 // WORD_DIGITS}), (1 + {WORD_DIGITS} * (j % {32 // WORD_DIGITS}))::BIGINT, {WORD_DIGITS}))::BIGINT % room
         END AS i FROM picks),
     drawn AS (SELECT replicate, sum(value) AS total FROM places JOIN indexed USING (i) GROUP BY replicate)"""
+
+
+def sql_drawn(table: str, key: str, value: str, draws: int, seed: int) -> str:
+    """``drawn_values`` as common table expressions that end in ``drawn`` (leaf, draw, value)."""
+    place = word_sql(f"'pick:{seed}:' || lo || ':' || j")
+    return f"""{sql_tree(table, key, value, 1, seed, f"{draws}::BIGINT")},
+    places AS (SELECT lo AS leaf, j AS draw, lo + {place} % least(room, {LEAF}) AS i FROM picks),
+    drawn AS (SELECT leaf, draw, value FROM places JOIN indexed USING (i))"""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costweave.functions.draws import pick, truncated_steps, uniform52
-from costweave.operators.multinomial import bootstrap_sums  # noqa: F401
+from costweave.operators.multinomial import bootstrap_sums, drawn_values  # noqa: F401
 from costweave.operators.ordered import dense_index, prefix, shuffled_order
 from costweave.operators.quantiles import exact_median
 from costweave.operators.resolve import null_safe_join
@@ -62,6 +62,26 @@ def resample_truncated(
     return truncated_normal(joined, "__center", draw, seed, low, high).select(draw, "x")
 
 
+def resample_truncated_many(
+    sample: DataFrame,
+    key: str,
+    value: str,
+    draws: int,
+    seed: int,
+    low: float | Column,
+    high: float | Column,
+    sd: float = 1.0,
+) -> DataFrame:
+    """(leaf, draw, x): ``draws`` values of the sample picked with replacement, blurred, kept inside the bounds.
+
+    As ``resample_truncated``, but for a number of draws of its own. Missing values are not picked; without any value
+    there are no draws.
+    """
+    picked = drawn_values(sample.where(F.col(value).isNotNull()), key, value, draws, seed)
+    addressed = picked.withColumn("__draw", F.concat_ws(":", F.col("leaf").cast("string"), F.col("draw").cast("string")))
+    return truncated_normal(addressed, "value", "__draw", seed, low, high, sd).select("leaf", "draw", "x")
+
+
 def poisson_weight_bounds() -> list[tuple[float, int]]:
     """(upper bound of the uniform, count) of a Poisson(1) count, up to the bound that a double tells no more from 1."""
     bounds, cumulative, term, k = [], 0.0, math.exp(-1.0), 0

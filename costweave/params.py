@@ -122,3 +122,5 @@ T_975_49 = 2.0096
 
 # Bandwidth used for the resampled efficiency density.
 EFFICIENCY_BANDWIDTH = 11.35555
+# Draws of that density.
+RESAMPLED_DRAWS = 1_000_000
