@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from costweave.operators.attach import attach
 from costweave.operators.costs import total_cost
 from costweave.operators.density import density_curve, kernel_density
 from costweave.operators.multinomial import sql_bootstrap, sql_drawn
 from costweave.operators.sampling import bootstrap_sums, median_interval, resample_truncated_many
+from costweave.operators.sketches import merged_sketches, quantile_sketches, rank_error, sketched_quantiles
 from costweave.params import EFFICIENCY_BANDWIDTH, RESAMPLED_DRAWS, SUCCESS_BANDS, T_975_49
 from costweave.plans.entities import SQL_SCORED, SQL_TOTAL, scored
 from costweave.plans.frames import table
@@ -71,3 +73,38 @@ def bootstrap_density(spark, sf_dir):
     return curve.select(
         "sample", F.col("point").cast("long").alias("point"), r(F.col("x"), 4).alias("x"), r(F.col("density"), 7).alias("density")
     )
+
+
+SKETCH_LEVELS = {"stage": ["event_type", "month"], "type": ["event_type"], "all": []}
+
+
+@query(
+    "sketched_medians",
+    """WITH held AS (SELECT event_type, month(ts)::BIGINT AS month FROM events WHERE value IS NOT NULL)
+    SELECT 'stage' AS level, event_type, month, count(*) AS n, true AS within FROM held GROUP BY ALL
+    UNION ALL SELECT 'type', event_type, NULL, count(*), true FROM held GROUP BY ALL
+    UNION ALL SELECT 'all', NULL, NULL, count(*), true FROM held HAVING count(*) > 0""",
+)
+def sketched_medians(spark, sf_dir):
+    """Sketches by type and month, stored, merged to types and to all; each level's median is held against the values.
+
+    ``within`` tells whether the true rank of the sketch's median is inside three times the stated error.
+    """
+    events = table(spark, sf_dir, "events").select("event_type", F.month("ts").cast("long").alias("month"), "value")
+    fine = cut_lineage(quantile_sketches(events, "value", ["event_type", "month"]))
+    held = events.where("value IS NOT NULL AND NOT isnan(value)")
+    reports = []
+    for level, by in SKETCH_LEVELS.items():
+        sketches = fine if level == "stage" else merged_sketches(fine, by)
+        middle = sketched_quantiles(sketches, [0.5])
+        against = attach(held, middle, by)
+        ranks = against.groupBy(*by).agg(
+            F.max("n").alias("n"),
+            F.avg((F.col("value") < F.col("q0")).cast("double")).alias("below"),
+            F.avg((F.col("value") <= F.col("q0")).cast("double")).alias("upto"),
+        )
+        slack = F.lit(3 * rank_error()) + 1 / F.col("n")
+        within = (F.col("below") <= 0.5 + slack) & (F.col("upto") >= 0.5 - slack)
+        names = [F.col(c) if c in by else F.lit(None).cast(t).alias(c) for c, t in (("event_type", "string"), ("month", "long"))]
+        reports.append(ranks.where("n > 0").select(F.lit(level).alias("level"), *names, "n", within.alias("within")))
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])

@@ -64,3 +64,42 @@ def test_blurred_draws_stay_inside(spark):
     near = x[np.abs(x - 50) < 10]
     assert abs(near.size - 2000) < 200 and abs(near.std() - 1.0) < 0.08
     assert abs(x[x < 10].mean() - np.sqrt(2 / np.pi)) < 0.08
+
+
+def test_merged_sketches_keep_their_rank_error(spark):
+    from costweave.operators.sketches import merged_sketches, quantile_sketches, rank_error, sketched_quantiles
+
+    rng = np.random.default_rng(3)
+    groups = np.where(rng.random(60_000) < 0.6, 0, rng.integers(1, 40, 60_000))
+    held = rng.lognormal(0, 2, 60_000)
+    rows = [(int(g), int(g) % 3, float(v)) for g, v in zip(groups, held)] + [(99, 0, None), (98, 1, float("nan"))]
+    fine = quantile_sketches(spark.createDataFrame(rows, "g long, s long, v double"), "v", ["g", "s"])
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    for by in (["g", "s"], ["s"], []):
+        level = fine if by == ["g", "s"] else merged_sketches(fine, by)
+        found = sketched_quantiles(level, probs).collect()
+        assert sum(r.n for r in found) == 60_000
+        for r in found:
+            mine = np.ones(60_000, bool)
+            for c in by:
+                mine &= (groups if c == "g" else groups % 3) == r[c]
+            values = held[mine]
+            for i, p in enumerate(probs):
+                assert abs((values <= r[f"q{i}"]).mean() - p) < 3 * rank_error() + 1 / values.size
+    none = spark.createDataFrame([], "g long, v double")
+    assert quantile_sketches(none, "v").collect() == [] == merged_sketches(quantile_sketches(none, "v", ["g"])).collect()
+
+
+def test_a_date_far_off_is_no_thousand_columns(spark, tmp_path):
+    from costweave.plans.frames import SCHEMAS, year_span
+
+    def save(name, dates):
+        text = ", ".join(f"(TIMESTAMP_NTZ '{d}')" for d in dates)
+        rows = spark.sql(f"SELECT * FROM VALUES {text} AS t(l_shipdate)")
+        rows.write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        return str(tmp_path / name)
+
+    assert "l_shipdate timestamp_ntz" in SCHEMAS["lineitem"]
+    assert year_span(spark, save("near", ["1992-05-01 00:00:00", "1998-01-01 00:00:00"])) == (1992, 1998)
+    with pytest.raises(ValueError, match="columns of years"):
+        year_span(spark, save("far", ["1992-05-01 00:00:00", "9998-01-01 00:00:00"]))

@@ -8,6 +8,7 @@ from costweave.sources import schemas
 from costweave.sources.delimited import (
     literal_table,
     patch_rows,
+    read_checked,
     read_delimited,
     read_stage_folder,
     write_table,
@@ -90,3 +91,24 @@ def test_pushdown_of_text_scan(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "category" not in plan.split("ReadSchema")[1]
     assert df.select(F.count("gene")).first()[0] == 1
+
+
+def test_rows_that_do_not_fit_are_returned(spark, tmp_path):
+    path = tmp_path / "f.csv"
+    path.write_text('gene,n,score\nx,1,1.5\ny,2,99,7\nz,2\n"a,b",3,4\n"a,b",3,4,"c,d"\nw,2.5,1\nv,4,oops\nu,NA,\nt,1,2,\n')
+    s = schema(gene=T.StringType(), n=T.LongType(), score=T.DoubleType())
+    good, bad = read_checked(spark, str(path), s)
+    assert [tuple(r) for r in good.collect()] == [("x", 1, 1.5), ("z", 2, None), ("a,b", 3, 4.0), ("u", None, None)]
+    assert [tuple(r) for r in bad.collect()] == [
+        ("f.csv", "y,2,99,7", "fields"),
+        ("f.csv", '"a,b",3,4,"c,d"', "fields"),
+        ("f.csv", '{"gene":"w","n":"2.5","score":"1"}', "value: n"),
+        ("f.csv", '{"gene":"v","n":"4","score":"oops"}', "value: score"),
+        ("f.csv", "t,1,2,", "fields"),
+    ]
+    assert good.select("gene").count() == 4 and bad.count() == 5
+    tabs = tmp_path / "g.txt"
+    tabs.write_text("p\t1\t2\tmore\nq\t1,5\t2\n")
+    good, bad = read_checked(spark, str(tabs), schema(a=T.StringType(), b=T.DoubleType(), c=T.LongType()), "\t", ",", False)
+    assert [tuple(r) for r in good.collect()] == [("q", 1.5, 2)]
+    assert [r.reason for r in bad.collect()] == ["fields"]
