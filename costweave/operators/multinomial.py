@@ -104,7 +104,8 @@ def leaf_counts(spark, n: int, replicates: int, seed: int, leaf: int = LEAF, dra
     draws = n if draws is None else draws
     zero = F.lit(0).cast("long")
     start = spread(spark.range(1, replicates + 1).select(F.col("id").alias("replicate")), "replicate")
-    nodes = start.select("replicate", zero.alias("lo"), F.lit(draws).cast("long").alias("draws"))
+    first = F.pmod("replicate", F.lit(1))  # 0; as a literal it would turn the join by leaf into a product
+    nodes = start.select("replicate", first.alias("lo"), F.lit(draws).cast("long").alias("draws"))
     width = root_width(n, leaf)
     while width > leaf:
         halves = two_halves(width // 2)
