@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costweave.functions.scalars import percent, positive_log10
-from costweave.operators.costs import cost_long, sum_costs
+from costweave.operators.costs import COST_COLUMNS, KINDS, PROCESSES, cost_long, sum_costs
 
 
 def loose_sum(c) -> Column:
@@ -145,11 +145,29 @@ def budget_table(
 
 def selection_long(costed: DataFrame, keys: Sequence[str], budget: float, factor: float) -> DataFrame:
     """Selection coefficient of every cost of an entity and its negative logarithm."""
-    return (
-        cost_long(costed, keys)
-        .withColumn("sc", F.col("cost") / F.lit(budget) * F.lit(factor))
-        .withColumn("ne", -positive_log10(F.col("sc")))
-    )
+    return _with_selection(cost_long(costed, keys), budget, factor)
+
+
+def _with_selection(long: DataFrame, budget: float, factor: float) -> DataFrame:
+    sc = F.col("cost") / F.lit(budget) * F.lit(factor)
+    return long.withColumn("sc", sc).withColumn("ne", -positive_log10(F.col("sc")))
+
+
+def selection_of_known(known: DataFrame, costed: DataFrame, key: str, budget: float, factor: float) -> DataFrame:
+    """Rows of ``known`` with every selection coefficient of their entity; one row without costs where it has none.
+
+    Joined while an entity is one row and made long afterwards. Spark sizes a table by its compressed files and does not
+    see that a generator multiplies it, so a long side would be broadcast; the hint sends no side to the driver.
+    """
+    marked = costed.select(key, *COST_COLUMNS, F.lit(True).alias("__costed"))
+    joined = known.join(marked.hint("merge"), key, "left")
+    cells = [
+        F.struct(F.lit(p).alias("process"), F.lit(k).alias("kind"), F.col(f"{p}_{k}").alias("cost"))
+        for p in PROCESSES
+        for k in KINDS
+    ]
+    long = joined.select(*known.columns, F.explode_outer(F.when(F.col("__costed"), F.array(*cells))).alias("__cell"))
+    return _with_selection(long.select(*known.columns, "__cell.*"), budget, factor)
 
 
 def presence_share(present: Column, places: Column) -> Column:

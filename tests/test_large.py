@@ -13,3 +13,8 @@ def test_conserved_presence_broadcasts_no_long_side(spark, sf_dir):
     """Spark sees the compressed size of a table, not that a generator multiplies its rows."""
     text = plan(QUERIES["conserved_presence"](spark, sf_dir))
     assert "SortMergeJoin [entity" in text and "BroadcastHashJoin [entity" not in text
+
+
+def test_selection_coefficient_broadcasts_no_long_side(spark, sf_dir):
+    text = plan(QUERIES["selection_coefficient"](spark, sf_dir))
+    assert "SortMergeJoin [entity" in text and "BroadcastExchange" not in text
