@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,10 @@ from costweave.session import cut_lineage
 SLACK = 1e-9
 #: Sets above this size are indexed by the longer prefix: counting more matches leaves few pairs with long sets to verify.
 LARGE = 64
+#: Sets up to this size are met by two columns at once: at most 28 combinations at a limit of 0.5.
+SMALL = 12
+#: Matches of columns that one task joins and counts by pair.
+MATCHES_AT_ONCE = 1 << 22
 #: Prime modulus of the hash family.
 PRIME = 2**31 - 1
 MOST_HASHES = 128
@@ -40,18 +45,26 @@ RECALL = 0.95
 class SetClasses:
     """The different sets of a presence table.
 
-    ``sets``: (row, size, cols) of each representative. ``members``: (row, class_row, members) of every row.
+    ``sets``: (row, size, cols) of each representative, stored when first asked for. ``members``: (row, class_row, members) of
+    every row.
     """
 
     def __init__(self, presence: DataFrame, row: str, column: str):
         cells = presence.select(F.col(row).alias("row"), F.col(column).alias("col")).dropna()
         sets = cells.groupBy("row").agg(F.array_sort(F.collect_set("col")).alias("cols"))
         digest = F.struct(F.size("cols").alias("n"), F.xxhash64("cols").alias("a"), F.xxhash64(F.lit("2"), "cols").alias("b"))
-        marked = cut_lineage(sets.withColumn("digest", digest))
+        self.marked = sets.withColumn("digest", digest)
+
+    @cached_property
+    def sets(self) -> DataFrame:
+        least = self.marked.groupBy("digest").agg(F.min("row").alias("row"), F.first("cols").alias("cols"))
+        return cut_lineage(least.select("row", F.size("cols").alias("size"), "cols"))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        marked = cut_lineage(self.marked.select("row", "digest"))
         classes = marked.groupBy("digest").agg(F.min("row").alias("class_row"), F.count(F.lit(1)).alias("members"))
-        named = marked.join(classes, "digest")
-        self.members = named.select("row", "class_row", "members")
-        self.sets = named.where("row = class_row").select("row", F.size("cols").alias("size"), "cols")
+        return marked.join(classes, "digest").select("row", "class_row", "members")
 
 
 def ceiling(c: Column) -> Column:
@@ -73,32 +86,78 @@ def rare_first(sets: DataFrame) -> DataFrame:
 
 def prefix_candidates(sets: DataFrame, most_distance: float) -> DataFrame:
     """(x, y) of representatives that may be within the limit; x is the larger set."""
+    return ordered_candidates(cut_lineage(rare_first(sets)), most_distance)
+
+
+def ordered_candidates(ordered: DataFrame, most_distance: float) -> DataFrame:
     t = limit_similarity(most_distance)
-    ordered = cut_lineage(rare_first(sets))
+    return two_column_candidates(ordered, t).unionByName(one_column_candidates(ordered, t)).distinct()
+
+
+def index_end(t: float, size: Column) -> Column:
+    """How many columns of a set of this size are indexed."""
+    least = size - ceiling(F.lit(2.0 * t / (1.0 + t)) * size) + 1
+    return F.when(size > LARGE, size - ceiling(F.lit(t) * size) + 1).otherwise(least)
+
+
+def sizes_allow(t: float) -> Column:
+    """x is the larger set, and y is not too small for it."""
+    smaller = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
+    return smaller & (F.col("ny") >= F.lit(t) * F.col("nx") - F.lit(SLACK))
+
+
+def two_column_candidates(ordered: DataFrame, t: float) -> DataFrame:
+    """Pairs with x of at most ``SMALL`` columns that must share two or more: they share the same two in prefixes of one
+    column more, and few sets share two columns by chance."""
+    size = F.col("size")
+
+    def side(least: Column, row: str, n: str) -> DataFrame:
+        length = size - F.greatest(F.lit(2), ceiling(least)) + 2
+        tokens = F.slice("col", 1, length)
+        rest = F.transform(tokens, lambda a, i: F.transform(F.slice(tokens, i + 2, length), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+        held = ordered.where(size.between(2, SMALL))
+        return held.select(F.col("row").alias(row), size.alias(n), F.explode(F.flatten(rest)).alias("two")).select(row, n, "two.*")
+
+    probe = side(F.lit(t) * size, "x", "nx")
+    index = side(F.lit(2.0 * t / (1.0 + t)) * size, "y", "ny")
+    return probe.join(index, ["a", "b"]).where(sizes_allow(t)).select("x", "y")
+
+
+def one_column_candidates(ordered: DataFrame, t: float) -> DataFrame:
+    """The other pairs: x is above ``SMALL``, or one shared column is enough."""
     size = F.col("size")
     probe_length = size - ceiling(F.lit(t) * size) + 1
-    least_index = size - ceiling(F.lit(2.0 * t / (1.0 + t)) * size) + 1
-    index_length = F.when(size > LARGE, probe_length).otherwise(least_index)
+    index_length = index_end(t, size)
+    tiny = 1.0 / t + SLACK
+    probing = (size > SMALL) | (size <= F.lit(tiny))
+    indexed = (size >= F.lit(t * (SMALL + 1) - SLACK)) | (size <= F.lit(tiny))
 
-    def side(length: Column, row: str, n: str, at: str, end: str) -> DataFrame:
+    def side(held: Column, length: Column, row: str, n: str, at: str) -> DataFrame:
         tokens = F.posexplode(F.slice("col", 1, length)).alias("p", "token")
-        return ordered.select("row", "size", length.alias("end"), tokens).select(
-            F.col("row").alias(row), size.alias(n), F.col("end").alias(end), (F.col("p") + 1).alias(at), "token"
+        return ordered.where(held).select("row", "size", tokens).select(
+            F.col("row").alias(row), size.alias(n), (F.col("p") + 1).alias(at), "token"
         )
 
-    probe, index = side(probe_length, "x", "nx", "i", "ex"), side(index_length, "y", "ny", "j", "ey")
-    smaller = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
-    near_size = F.col("ny") >= F.lit(t) * F.col("nx") - F.lit(SLACK)
+    probe, index = side(probing, probe_length, "x", "nx", "i"), side(indexed, index_length, "y", "ny", "j")
     need = least_shared(t, F.col("nx"), F.col("ny"))
     after = F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j"))
     reachable = F.least("i", "j") + after >= need
-    met = probe.join(index, "token").where(smaller & near_size & reachable)
-    counted = met.groupBy("x", "nx", "ex", "y", "ny", "ey").agg(
-        F.count(F.lit(1)).alias("found"), F.max("i").alias("i"), F.max("j").alias("j")
+    # as many tasks as the measured matches ask for: what a task holds does not grow with the tables
+    sides = probe.select("token", F.lit(1.0).alias("p"), F.lit(0.0).alias("q")).unionByName(
+        index.select("token", F.lit(0.0).alias("p"), F.lit(1.0).alias("q"))
+    )
+    matches = sides.groupBy("token").agg((F.sum("p") * F.sum("q")).alias("n")).agg(F.sum("n")).first()[0] or 0.0
+    tasks = int(matches) // MATCHES_AT_ONCE + 1
+    if tasks > 1:
+        probe, index = probe.repartition(tasks, "token"), index.repartition(tasks, "token")
+    met = probe.join(index, "token").where(sizes_allow(t) & reachable & ((F.col("nx") > SMALL) | (need <= 1)))
+    counted = met.groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("found"), F.max("i").alias("i"), F.max("j").alias("j"))
+    # a later shared column lies behind the last match, and behind one of the prefixes; these follow from the sizes
+    ends = counted.withColumns(
+        {"ex": F.col("nx") - ceiling(F.lit(t) * F.col("nx")) + 1, "ey": index_end(t, F.col("ny"))}
     )
-    # a later shared column lies behind the last match, and behind one of the prefixes
     behind = F.greatest(F.col("nx") - F.col("ex"), F.col("ny") - F.col("ey"))
-    return counted.where(F.col("found") + F.least(after, behind) >= need).select("x", "y")
+    return ends.where(F.col("found") + F.least(after, behind) >= need).select("x", "y")
 
 
 def limit_similarity(most_distance: float) -> float:
@@ -128,7 +187,8 @@ def verified(candidates: DataFrame, sets: DataFrame, most_distance: float) -> Da
 def jaccard_within(presence: DataFrame, row: str, column: str, most_distance: float) -> tuple[DataFrame, DataFrame]:
     """All pairs of representatives up to a distance, and the class of every row."""
     classes = SetClasses(presence, row, column)
-    pairs = verified(prefix_candidates(classes.sets, most_distance), classes.sets, most_distance)
+    ordered = cut_lineage(rare_first(classes.sets))
+    pairs = verified(ordered_candidates(ordered, most_distance), ordered.withColumnRenamed("col", "cols"), most_distance)
     return pairs, classes.members
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+from costweave.operators import setjoin
 from costweave.plans import QUERIES
 
 
@@ -18,3 +21,11 @@ def test_conserved_presence_broadcasts_no_long_side(spark, sf_dir):
 def test_selection_coefficient_broadcasts_no_long_side(spark, sf_dir):
     text = plan(QUERIES["selection_coefficient"](spark, sf_dir))
     assert "SortMergeJoin [entity" in text and "BroadcastExchange" not in text
+
+
+def test_small_sets_meet_by_two_columns(spark):
+    """Sets of four that must share three are no candidates because of one common column."""
+    draw = random.Random(4)
+    sets = {row: set(draw.sample(range(300), 4)) for row in range(2000)}
+    cells = spark.createDataFrame([(row, col) for row, cols in sets.items() for col in cols], "row long, col long")
+    assert setjoin.prefix_candidates(setjoin.SetClasses(cells, "row", "col").sets, 0.5).count() < 3000
