@@ -216,24 +216,34 @@ def hash_factors(k: int) -> tuple[int, int]:
     return int(digest[:8], 16) % (PRIME - 1) + 1, int(digest[8:16], 16) % PRIME
 
 
-def signatures(sets: DataFrame, hashes: int) -> DataFrame:
-    """(row, size, h0, h1, ..): least value of each hash over the columns of a set."""
-    cells = sets.select("row", "size", F.explode("cols").alias("col")).withColumn("__base", draw32("minhash", F.col("col")) % PRIME)
-    return cells.groupBy("row", "size").agg(
-        *[F.min((F.col("__base") * a + b) % PRIME).alias(f"h{k}") for k, (a, b) in enumerate(map(hash_factors, range(hashes)))]
-    )
+def band_keys(cols: Column, bands: int, rows: int) -> Column:
+    """Array of the keys of each band, made inside the row: its number and its hashes, two in a long, nothing lost."""
+    based = F.transform(cols, lambda c: draw32("minhash", c) % PRIME)
+
+    def packed(values: list[Column]) -> Column:
+        longs = [values[k] if k + 1 == len(values) else values[k] * (1 << 31) + values[k + 1] for k in range(0, len(values), 2)]
+        return F.struct(*[x.cast("long").alias(f"k{k}") for k, x in enumerate(longs)])
+
+    def least_hash(base: Column, k: int) -> Column:
+        a, b = hash_factors(k)
+        return F.array_min(F.transform(base, lambda x: (x * a + b) % PRIME))
+
+    def keys(base: Column) -> Column:
+        least = [least_hash(base, k) for k in range(bands * rows)]
+        return F.array(*[packed([F.lit(b).cast("long"), *least[b * rows : (b + 1) * rows]]) for b in range(bands)])
+
+    # bound by a lambda, so that the columns are digested once
+    return F.get(F.transform(F.array(based), keys), F.lit(0))
 
 
 def band_candidates(sets: DataFrame, most_distance: float, recall: float = RECALL) -> DataFrame:
     """(x, y) of representatives that agree in all hashes of a band and whose sizes allow the limit; x < y."""
     t = limit_similarity(most_distance)
     bands, rows = bands_for(most_distance, recall)
-    keys = F.array(
-        *[F.struct(F.lit(b).alias("b"), *[F.col(f"h{b * rows + k}").alias(f"k{k}") for k in range(rows)]) for b in range(bands)]
-    )
-    banded = cut_lineage(signatures(sets, bands * rows)).select("row", "size", F.explode(keys).alias("key"))
+    # outer, or the optimizer would make every key once more to see that there is one
+    banded = sets.select("row", "size", F.explode_outer(band_keys(F.col("cols"), bands, rows)).alias("key"))
     banded = banded.select("row", "size", "key.*")
-    on = ["b", *[f"k{k}" for k in range(rows)]]
+    on = [c for c in banded.columns if c not in ("row", "size")]
     first = banded.withColumnsRenamed({"row": "x", "size": "nx"})
     second = banded.withColumnsRenamed({"row": "y", "size": "ny"})
     near_size = F.least("nx", "ny") >= F.lit(t) * F.greatest("nx", "ny") - F.lit(SLACK)

@@ -29,3 +29,9 @@ def test_small_sets_meet_by_two_columns(spark):
     sets = {row: set(draw.sample(range(300), 4)) for row in range(2000)}
     cells = spark.createDataFrame([(row, col) for row, cols in sets.items() for col in cols], "row long, col long")
     assert setjoin.prefix_candidates(setjoin.SetClasses(cells, "row", "col").sets, 0.5).count() < 3000
+
+
+def test_minhash_keys_are_made_inside_the_row(spark):
+    """No table of one column a hash is shuffled."""
+    sets = spark.createDataFrame([(1, 2, [3, 4]), (2, 2, [3, 5])], "row long, size int, cols array<long>")
+    assert "min(" not in plan(setjoin.band_candidates(sets, 0.5)).replace("array_min(", "")
