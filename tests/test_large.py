@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from costweave.operators import setjoin
+from costweave.operators.similarity import shared_counts
 from costweave.plans import QUERIES
 
 
@@ -35,3 +36,14 @@ def test_minhash_keys_are_made_inside_the_row(spark):
     """No table of one column a hash is shuffled."""
     sets = spark.createDataFrame([(1, 2, [3, 4]), (2, 2, [3, 5])], "row long, size int, cols array<long>")
     assert "min(" not in plan(setjoin.band_candidates(sets, 0.5)).replace("array_min(", "")
+
+
+def test_rare_columns_list_their_pairs(spark):
+    """Cells of columns with few rows are not copied to every block of rows."""
+    cells = spark.range(400).selectExpr("id AS row", "explode(array(id div 4, 1000 + id div 3)) AS col")
+    counts = shared_counts(cells, "row", "col", row_block=8)
+    assert "InPandas" not in plan(counts)
+    got = {(r["row_i"], r["row_j"]): r["shared"] for r in counts.collect()}
+    pairs = [(i, j) for i in range(400) for j in range(i + 1, min(i + 4, 400))]
+    want = {(i, j): (i // 4 == j // 4) + (i // 3 == j // 3) for i, j in pairs}
+    assert got == {pair: n for pair, n in want.items() if n}
