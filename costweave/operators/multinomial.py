@@ -13,6 +13,9 @@ place of the last leaf comes from 60 bits modulo its rows; chances have 60 binar
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ LEAF_DIGITS = 3
 WORD_BITS, WORD_DIGITS = 60, 15
 #: Leaves are sent to the counts while their values are below this size, else both are shuffled by leaf.
 BROADCAST_BYTES = 64 << 20
-#: Draws whose bits one row adds up; nodes with more are cut into rows.
+#: Draws whose words one row lists; where nodes have more, their words are dealt out over tasks.
 DRAWS_AT_ONCE = 1 << 22
 #: Picks that one row of a leaf turns into rows; a leaf with more is dealt out among tasks.
 PICKS_AT_ONCE = 1 << 14
@@ -38,10 +41,15 @@ def root_width(n: int, leaf: int = LEAF) -> int:
     return width
 
 
+def number(digest: Column, first: int) -> Column:
+    """The 60 bits of a digest that begin at a digit."""
+    return F.conv(F.substring(digest, first, WORD_DIGITS), 16, 10).cast("long")
+
+
 def word(*address: Column | str) -> Column:
     """60 random bits of an address."""
     parts = [a.cast("string") if isinstance(a, Column) else F.lit(a) for a in address]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, WORD_DIGITS), 16, 10).cast("long")
+    return number(F.md5(F.concat_ws(":", *parts)), 1)
 
 
 def numbers(first: Column, past: Column) -> Column:
@@ -49,43 +57,79 @@ def numbers(first: Column, past: Column) -> Column:
     return F.when(past > first, F.sequence(first, past - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
-def ones(count: Column, *address: Column | str) -> Column:
-    """Number of set bits among ``count`` random bits."""
+def ones(count: Column, prefix: Column) -> Column:
+    """Number of set bits among ``count`` random bits, whose words are numbered after the prefix of their address."""
 
     def set_bits(j: Column) -> Column:
         unused = F.lit(WORD_BITS) - F.least(F.lit(WORD_BITS), count - j * WORD_BITS).cast("int")
-        return F.bit_count(F.call_function("shiftright", word(*address, j), unused)).cast("long")
+        digest = F.md5(F.concat(prefix, j.cast("string")))
+        return F.bit_count(F.call_function("shiftright", number(digest, 1), unused)).cast("long")
 
     words = F.transform(numbers(F.lit(0).cast("long"), F.ceil(count / WORD_BITS)), set_bits)
     return F.aggregate(words, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
-def left_share(seed: int, n: int, width: int, draws: Column, at: Column) -> Column:
-    """How many of these draws of a node go to its left half.
+def first_ones(nodes: DataFrame, seed: int, n: int, width: int, cut: bool) -> DataFrame:
+    """(replicate, top, lo, draws, ones): how many of a node's draws have a first random bit that is set.
+
+    A word is a row, so that it is worked out in compiled code and not by functions of arrays. Only the last word of a
+    node becomes a number, to drop its unused bits; of the others the set bits are counted in their bytes. With ``cut``
+    the words of a node are dealt out over tasks.
+    """
+    zero = F.lit(0).cast("long")
+    # a node without a right half needs no bits; its one word keeps it among the rows
+    words = F.when(F.lit(n) - F.col("lo") <= width // 2, F.lit(1).cast("long")).otherwise(F.ceil(F.col("draws") / WORD_BITS))
+    prefix = F.concat(split_prefix(seed, width), F.lit("0:"))
+    rows = nodes.select("replicate", "top", "lo", "draws", prefix.alias("prefix"), words.alias("words"))
+    if cut:
+        step = max(1, DRAWS_AT_ONCE // WORD_BITS)
+        firsts = F.explode(F.sequence(zero, F.col("words") - 1, F.lit(step).cast("long")))
+        rows = spread(rows.select("*", firsts.alias("first")), "replicate", "lo", "first")
+        places = F.sequence("first", F.least(F.col("first") + step, F.col("words")) - 1)
+    else:
+        places = F.sequence(zero, F.col("words") - 1)
+    rows = rows.select("replicate", "top", "lo", "draws", "prefix", F.explode(places).alias("j"))
+    digest = F.md5(F.concat("prefix", F.col("j").cast("string")))
+    rows = rows.select("replicate", "top", "lo", "draws", (F.col("draws") - F.col("j") * WORD_BITS).alias("left"), digest.alias("digest"))
+    whole = F.bitmap_count(F.unhex(F.substring("digest", 1, WORD_DIGITS)))
+    unused = F.lit(WORD_BITS) - F.col("left").cast("int")
+    last = F.bit_count(F.call_function("shiftright", number(F.col("digest"), 1), unused)).cast("long")
+    set_ = F.when(F.col("left") >= WORD_BITS, whole).otherwise(last)
+    return rows.groupBy("replicate", "top", "lo", "draws").agg(F.sum(set_).alias("ones"))
+
+
+def split_prefix(seed: int, width: int) -> Column:
+    """The address of a node's words, up to the digit."""
+    return F.concat(
+        F.lit(f"split:{seed}:"), F.col("replicate").cast("string"), F.lit(f":{width}:"), F.col("lo").cast("string"), F.lit(":0:")
+    )
+
+
+def left_share(seed: int, n: int, width: int) -> Column:
+    """How many of the draws of a node go to its left half, given the ``ones`` among their first random bits.
 
     In a node that is not full the chance is half / inside. Draws are compared with its binary digits one at a time:
     those whose random bit is the smaller go left, the larger right, and only equal ones need another bit.
     """
     half, inside = F.lit(width // 2).cast("long"), F.lit(n) - F.col("lo")
-    address = ["split", str(seed), F.col("replicate"), str(width), F.col("lo"), at]
 
-    def compare(state: Column, digit: Column) -> Column:
+    def move(state: Column, u: Column) -> Column:
         doubled = state["rest"] * 2
         set_ = doubled >= inside
+        return F.struct(
+            (state["left"] + F.when(set_, state["open"] - u).otherwise(0)).alias("left"),
+            F.when(set_, u).otherwise(state["open"] - u).alias("open"),
+            (doubled - F.when(set_, inside).otherwise(0)).alias("rest"),
+        )
 
-        def move(u: Column) -> Column:
-            return F.struct(
-                (state["left"] + F.when(set_, state["open"] - u).otherwise(0)).alias("left"),
-                F.when(set_, u).otherwise(state["open"] - u).alias("open"),
-                (doubled - F.when(set_, inside).otherwise(0)).alias("rest"),
-            )
-
-        return F.get(F.transform(F.array(ones(state["open"], *address, digit)), move), 0)
+    def compare(state: Column, digit: Column) -> Column:
+        address = F.concat(split_prefix(seed, width), digit.cast("string"), F.lit(":"))
+        return F.get(F.transform(F.array(ones(state["open"], address)), lambda u: move(state, u)), 0)
 
-    start = F.struct(F.lit(0).cast("long").alias("left"), draws.alias("open"), half.alias("rest"))
-    uneven = F.aggregate(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), start, compare)["left"]
-    even = ones(draws, *address, F.lit(0))
-    return F.when(inside <= half, draws).when(inside >= width, even).otherwise(uneven)
+    start = F.struct(F.lit(0).cast("long").alias("left"), F.col("draws").alias("open"), half.alias("rest"))
+    first = F.get(F.transform(F.array(start), lambda state: move(state, F.col("ones"))), 0)
+    uneven = F.aggregate(F.sequence(F.lit(1), F.lit(WORD_BITS - 1)), first, compare)["left"]
+    return F.when(inside <= half, F.col("draws")).when(inside >= width, F.col("ones")).otherwise(uneven)
 
 
 def two_halves(half: int):
@@ -99,55 +143,60 @@ def two_halves(half: int):
 def leaf_counts(spark, n: int, replicates: int, seed: int, leaf: int = LEAF, draws: int | None = None) -> DataFrame:
     """(replicate, lo, draws): how often each replicate picks from the leaf that begins at row lo.
 
-    A replicate draws as often as there are rows, unless ``draws`` is given.
+    A replicate draws as often as there are rows, unless ``draws`` is given. Levels follow each other in one task, whose
+    rows have their replicate and their node ``top`` in common; only nodes with very many draws are dealt out.
     """
     draws = n if draws is None else draws
-    zero = F.lit(0).cast("long")
     start = spread(spark.range(1, replicates + 1).select(F.col("id").alias("replicate")), "replicate")
     first = F.pmod("replicate", F.lit(1))  # 0; as a literal it would turn the join by leaf into a product
-    nodes = start.select("replicate", first.alias("lo"), F.lit(draws).cast("long").alias("draws"))
+    nodes = start.select("replicate", first.alias("top"), first.alias("lo"), F.lit(draws).cast("long").alias("draws"))
     width = root_width(n, leaf)
+    dealt = True
     while width > leaf:
-        halves = two_halves(width // 2)
-        if draws > DRAWS_AT_ONCE and width * draws > DRAWS_AT_ONCE * n:
-            chunks = F.explode(F.sequence(zero, F.col("draws") - 1, F.lit(DRAWS_AT_ONCE).cast("long")))
-            rows = spread(nodes.select("*", chunks.alias("at")), "replicate", "lo", "at")
-            some = F.least(F.lit(DRAWS_AT_ONCE), F.col("draws") - F.col("at"))
-            shares = rows.select("replicate", "lo", "draws", left_share(seed, n, width, some, F.col("at")).alias("left"))
-            split = shares.groupBy("replicate", "lo", "draws").agg(F.sum("left").alias("left"))
-            both = halves(F.col("left"))
-        else:
-            split = nodes
-            # bound by a lambda, so that it is worked out once
-            both = F.flatten(F.transform(F.array(left_share(seed, n, width, F.col("draws"), zero)), halves))
-        split = split.select("replicate", F.explode(both).alias("half"))
-        nodes = split.select("replicate", "half.lo", "half.draws").where("draws > 0")
+        cut = draws > DRAWS_AT_ONCE and width * draws > DRAWS_AT_ONCE * n
+        if not (cut or dealt):
+            nodes = spread(nodes.withColumn("top", F.col("lo")), "replicate", "top")
+        dealt = not cut
+        counted = first_ones(nodes, seed, n, width, cut)
+        # bound by a lambda, so that it is worked out once
+        both = F.flatten(F.transform(F.array(left_share(seed, n, width)), two_halves(width // 2)))
+        split = counted.select("replicate", "top", F.explode(both).alias("half"))
+        nodes = split.select("replicate", "top", "half.lo", "half.draws").where("draws > 0")
         width //= 2
-    return nodes
+    return nodes.select("replicate", "lo", "draws")
 
 
-def leaf_sums(counts: DataFrame, leaves: DataFrame, seed: int, full: bool) -> DataFrame:
-    """(replicate, total) of picks in leaves (lo, values), all full or none. A digest holds several picks."""
-    per_digest = 32 // (LEAF_DIGITS if full else WORD_DIGITS)
+def leaf_sums(counts: DataFrame, leaves: DataFrame, seed: int, n: int) -> DataFrame:
+    """(replicate, total) of picks in leaves (lo, values). A digest holds several picks, which are added up in its row."""
+    full = F.col("lo") + LEAF <= n
+    in_full, in_last = 32 // LEAF_DIGITS, 32 // WORD_DIGITS
+    per_digest = F.when(full, F.lit(in_full)).otherwise(F.lit(in_last))
     last = F.floor((F.col("draws") - 1) / per_digest)
-    blocks = counts.join(leaves, "lo").select(
-        "replicate", "lo", "draws", "values", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block")
+    prefix = F.concat(F.lit(f"pick:{seed}:"), F.col("replicate").cast("string"), F.lit(":"), F.col("lo").cast("string"), F.lit(":"))
+    held = counts.join(leaves, "lo").select(
+        "replicate", "draws", "values", full.alias("full"), per_digest.alias("per_digest"), prefix.alias("prefix"), last.alias("last")
     )
-    digest = F.md5(F.concat_ws(":", F.lit("pick"), F.lit(str(seed)), *[F.col(c).cast("string") for c in ("replicate", "lo", "block")]))
-    words = [F.conv(F.substring("digest", 1 + k * WORD_DIGITS, WORD_DIGITS), 16, 10).cast("long") for k in range(2)]
-    marked = blocks.select("replicate", "draws", "values", "block", digest.alias("digest"))
-    if full:
-        each = WORD_DIGITS // LEAF_DIGITS
-        places = [
-            F.call_function("shiftright", w, F.lit(WORD_BITS - 4 * LEAF_DIGITS * (k + 1))).bitwiseAND(F.lit(LEAF - 1))
-            for w in words
-            for k in range(each)
-        ]
-    else:
-        places = [F.pmod(w, F.size("values")) for w in words]
-    picked = marked.select("replicate", "draws", "values", "block", F.posexplode(F.array(*places)).alias("k", "place"))
-    drawn = picked.where(F.col("block") * per_digest + F.col("k") < F.col("draws"))
-    return drawn.groupBy("replicate").agg(F.sum(F.get("values", F.col("place").cast("int"))).alias("total"))
+    blocks = held.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block"))
+    digest = F.md5(F.concat("prefix", F.col("block").cast("string")))
+    left = F.col("draws") - F.col("block") * F.col("per_digest")
+    marked = blocks.select("replicate", "values", "full", left.alias("left"), digest.alias("digest"))
+    words = [number(F.col("digest"), 1 + k * WORD_DIGITS).alias(f"word{k}") for k in range(in_last)]
+    numbered = marked.select("replicate", "values", "full", "left", *words)
+
+    def added(places: list[Column]) -> Column:
+        """Of the first ``left`` places."""
+        values = [F.coalesce(F.get("values", place.cast("int")), F.lit(0.0)) for place in places]
+        return reduce(add, [F.when(F.col("left") > k, v).otherwise(F.lit(0.0)) for k, v in enumerate(values)])
+
+    each = WORD_DIGITS // LEAF_DIGITS
+    digits = [
+        F.call_function("shiftright", F.col(f"word{w}"), F.lit(4 * LEAF_DIGITS * (each - 1 - k))).bitwiseAND(F.lit(LEAF - 1))
+        for w in range(in_last)
+        for k in range(each)
+    ]
+    wide = [F.pmod(F.col(f"word{w}"), F.size("values")) for w in range(in_last)]
+    total = F.when(F.col("full"), added(digits)).otherwise(added(wide))
+    return numbered.groupBy("replicate").agg(F.sum(total).alias("total"))
 
 
 def stored_rows(sample: DataFrame, key: str, value: str) -> tuple[DataFrame, int]:
@@ -173,11 +222,7 @@ def bootstrap_sums(sample: DataFrame, key: str, value: str, replicates: int, see
         return spark.range(1, replicates + 1).select(F.col("id").alias("replicate"), F.lit(0.0).alias("total"))
     leaves = packed_leaves(rows, n, seed)
     counts = leaf_counts(spark, n, replicates, seed)
-    full = F.col("lo") + LEAF <= n
-    parts = leaf_sums(counts.where(full), leaves, seed, True).unionByName(
-        leaf_sums(counts.where(~full), leaves, seed, False)
-    )
-    return parts.groupBy("replicate").agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))
+    return leaf_sums(counts, leaves, seed, n)
 
 
 def drawn_values(sample: DataFrame, key: str, value: str, draws: int, seed: int) -> DataFrame:

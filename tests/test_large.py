@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from costweave.operators import setjoin
+from costweave.operators import multinomial, setjoin
 from costweave.operators.similarity import shared_counts
 from costweave.plans import QUERIES
 
@@ -47,3 +47,21 @@ def test_rare_columns_list_their_pairs(spark):
     pairs = [(i, j) for i in range(400) for j in range(i + 1, min(i + 4, 400))]
     want = {(i, j): (i // 4 == j // 4) + (i // 3 == j // 3) for i, j in pairs}
     assert got == {pair: n for pair, n in want.items() if n}
+
+
+def test_bootstrap_deals_its_draws_once(spark):
+    """Full leaves and the last one share the tree of splits, and no pick is a row."""
+    values = spark.range(20_000).selectExpr("id AS k", "double(id) AS v")
+    text = plan(multinomial.bootstrap_sums(values, "k", "v", 50, 1))
+    assert text.count("Range (1, ") == 1 and "posexplode" not in text
+
+
+def test_dealing_out_words_changes_no_count(spark, monkeypatch):
+    """The SQL knows no limit from which the words of a node are cut."""
+
+    def counts():
+        return sorted(map(tuple, multinomial.leaf_counts(spark, 1000, 20, 5, leaf=64).collect()))
+
+    before = counts()
+    monkeypatch.setattr(multinomial, "DRAWS_AT_ONCE", 120)
+    assert counts() == before
