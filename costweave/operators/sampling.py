@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,20 +95,30 @@ def poisson_weight_bounds() -> list[tuple[float, int]]:
     return [*bounds[:-1], (1.0, bounds[-1][1])]
 
 
-def poisson_weight(address: Sequence[Column]) -> Column:
-    """Poisson(1) count by inversion of one uniform."""
-    u = uniform52(*address)
-    return F.coalesce(*[F.when(u < F.lit(bound), F.lit(k)) for bound, k in poisson_weight_bounds()])
+def digits_below(bound: float) -> str:
+    """The 13 hexadecimal digits from which on ``uniform52`` is no longer below a bound under 1."""
+    return f"{math.ceil(Fraction(bound) * 2**52 - Fraction(1, 2)):013x}"
+
+
+def poisson_weight(digest: Column) -> Column:
+    """Poisson(1) count by inversion of the uniform of a digest. Texts of digits are compared, no number is made."""
+    *bounds, (_, last) = poisson_weight_bounds()
+    steps = reduce(lambda when, step: when.when(digest < F.lit(digits_below(step[0])), F.lit(step[1])), bounds, F)
+    return steps.otherwise(F.lit(last))
 
 
 def bootstrap_sums_poisson(sample: DataFrame, key: str, value: str, replicates: int, seed: int) -> DataFrame:
     """Bootstrap sums by Poisson(1) weights: one pass, no index and no join. The number of draws varies around n."""
-    copies = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    repeated = spread(sample.select(key, value), key).select(key, value, copies)
-    weight = poisson_weight([F.lit(str(seed)), F.col("replicate"), F.col(key)])
-    return repeated.groupBy("replicate").agg(
-        F.coalesce(F.sum(F.col(value) * weight), F.lit(0.0)).alias("total"), F.sum(weight).alias("draws")
+    address = F.concat_ws(":", F.lit(""), F.col(key).cast("string"))
+    rows = spread(sample.select(address.alias("__key"), F.col(value).alias("__value")), "__key")
+    prefixes = F.array(*[F.lit(f"{seed}:{replicate}") for replicate in range(1, replicates + 1)])
+    repeated = rows.select("__key", "__value", F.posexplode(prefixes).alias("__at", "__prefix"))
+    digests = repeated.select("__at", "__value", F.md5(F.concat("__prefix", "__key")).alias("__digest"))
+    weighted = digests.select("__at", "__value", poisson_weight(F.col("__digest")).alias("__weight"))
+    sums = weighted.groupBy("__at").agg(
+        F.coalesce(F.sum(F.col("__value") * F.col("__weight")), F.lit(0.0)).alias("total"), F.sum("__weight").alias("draws")
     )
+    return sums.select((F.col("__at") + 1).alias("replicate"), "total", "draws")
 
 
 def subsample_curve(sample: DataFrame, key: str, value: str, seed: int) -> DataFrame:

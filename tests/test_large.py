@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from costweave.operators import multinomial, setjoin
+from costweave.operators.sampling import bootstrap_sums_poisson, digits_below, poisson_weight_bounds
 from costweave.operators.similarity import shared_counts
 from costweave.plans import QUERIES
 
@@ -65,3 +66,15 @@ def test_dealing_out_words_changes_no_count(spark, monkeypatch):
     before = counts()
     monkeypatch.setattr(multinomial, "DRAWS_AT_ONCE", 120)
     assert counts() == before
+
+
+def test_poisson_weight_takes_one_digest_and_no_number(spark):
+    values = spark.range(300).selectExpr("id AS k", "double(id) AS v")
+    text = plan(bootstrap_sums_poisson(values, "k", "v", 5, 1))
+    assert text.count("md5(") == 1 and "conv(" not in text
+
+
+def test_digits_part_uniforms_as_bounds_do():
+    for bound, _ in poisson_weight_bounds()[:-1]:
+        first = int(digits_below(bound), 16)
+        assert (first - 1 + 0.5) / 2**52 < bound <= (first + 0.5) / 2**52
