@@ -112,6 +112,8 @@ def left_share(seed: int, n: int, width: int) -> Column:
     those whose random bit is the smaller go left, the larger right, and only equal ones need another bit.
     """
     half, inside = F.lit(width // 2).cast("long"), F.lit(n) - F.col("lo")
+    if n % width <= width // 2:  # no node of the level is uneven
+        return F.when(inside <= half, F.col("draws")).otherwise(F.col("ones"))
 
     def move(state: Column, u: Column) -> Column:
         doubled = state["rest"] * 2

@@ -78,3 +78,9 @@ def test_digits_part_uniforms_as_bounds_do():
     for bound, _ in poisson_weight_bounds()[:-1]:
         first = int(digits_below(bound), 16)
         assert (first - 1 + 0.5) / 2**52 < bound <= (first + 0.5) / 2**52
+
+
+def test_even_levels_compare_no_digits(spark):
+    """Only a level with a node that is not full, but more than half, needs the digits of its chance."""
+    assert "aggregate(" not in plan(multinomial.leaf_counts(spark, 3 * 4096 + 4096, 5, 1))
+    assert "aggregate(" in plan(multinomial.leaf_counts(spark, 3 * 4096, 5, 1))
