@@ -6,8 +6,10 @@ paired, so copies cost one row each. Both joins end in the same exact count of s
 Exact join: with similarity ``t`` two sets must share ``ceil(t / (1 + t) * (|x| + |y|))`` columns, so in any fixed order
 of the columns they share one among the first ``|x| - ceil(t |x|) + 1`` of the larger set and the first
 ``|y| - ceil(2 t / (1 + t) |y|) + 1`` of the smaller. The order is by rarity, so popular columns stay out of these
-prefixes. Matches in the prefixes are counted; what follows the last match bounds the rest, and only pairs that can
-still reach the limit are verified.
+prefixes. Matches in the prefixes are counted; what lies behind both prefixes bounds the rest, and only pairs that can
+still reach the limit are verified. Columns are dealt out in groups of bounded size, and one task holds the rows of each of its
+group's columns: it counts the matches row by row and lets a pair travel only if it has its share of the matches asked for
+in this group, as a pair below that in every group cannot reach the limit.
 
 MinHash: the probability that two sets have the same least hash is their similarity. ``bands`` groups of ``rows``
 hashes make a pair of the limiting similarity a candidate with at least the asked recall, closer pairs with more.
@@ -20,13 +22,16 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costweave.functions.draws import draw32
-from costweave.session import cut_lineage
+from costweave.session import cut_lineage, release
 
 #: Slack against rounding where a bound is computed; the last check is exact.
 SLACK = 1e-9
@@ -34,8 +39,9 @@ SLACK = 1e-9
 LARGE = 64
 #: Sets up to this size are met by two columns at once: at most 28 combinations at a limit of 0.5.
 SMALL = 12
-#: Matches of columns that one task joins and counts by pair.
-MATCHES_AT_ONCE = 1 << 22
+#: Cells of the prefixes in a group of columns, and matches of columns that are counted at once.
+CELLS_OF_GROUP = 1 << 23
+MATCHES_AT_ONCE = 1 << 21
 #: Prime modulus of the hash family.
 PRIME = 2**31 - 1
 MOST_HASHES = 128
@@ -131,33 +137,178 @@ def one_column_candidates(ordered: DataFrame, t: float) -> DataFrame:
     tiny = 1.0 / t + SLACK
     probing = (size > SMALL) | (size <= F.lit(tiny))
     indexed = (size >= F.lit(t * (SMALL + 1) - SLACK)) | (size <= F.lit(tiny))
-
-    def side(held: Column, length: Column, row: str, n: str, at: str) -> DataFrame:
-        tokens = F.posexplode(F.slice("col", 1, length)).alias("p", "token")
-        return ordered.where(held).select("row", "size", tokens).select(
-            F.col("row").alias(row), size.alias(n), (F.col("p") + 1).alias(at), "token"
-        )
-
-    probe, index = side(probing, probe_length, "x", "nx", "i"), side(indexed, index_length, "y", "ny", "j")
-    need = least_shared(t, F.col("nx"), F.col("ny"))
-    after = F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j"))
-    reachable = F.least("i", "j") + after >= need
-    # as many tasks as the measured matches ask for: what a task holds does not grow with the tables
-    sides = probe.select("token", F.lit(1.0).alias("p"), F.lit(0.0).alias("q")).unionByName(
-        index.select("token", F.lit(0.0).alias("p"), F.lit(1.0).alias("q"))
+    # the prefix of the index is never longer than that of the probe
+    length = F.when(probing, probe_length).otherwise(index_length)
+    held = ordered.where(probing | indexed).select(
+        F.monotonically_increasing_id().alias("id"),
+        size.cast("int").alias("size"),
+        probing.alias("probing"),
+        F.when(indexed, index_length).otherwise(0).cast("int").alias("indexed"),
+        F.slice("col", 1, length).alias("cols"),
+        "row",
+    )
+    cells = held.agg(F.coalesce(F.sum(F.size("cols")), F.lit(0))).first()[0]
+    groups = int(cells) // CELLS_OF_GROUP + 1
+    # few groups are copied to as many tasks as there are cores, each of which counts for its share of the rows
+    shares = -(-ordered.sparkSession.sparkContext.defaultParallelism // groups)
+    parts = held.select("id", "size", "probing", "indexed", F.transform("cols", lambda c: F.xxhash64(c)).alias("cols"))
+    parts = parts.mapInArrow(
+        cells_by_group(groups),
+        "g int, id array<long>, size array<int>, probing array<boolean>, cells array<int>, first array<int>, cols array<int>",
+    )
+    dealt = parts.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn(
+        "task", (F.col("g") * shares + F.col("share")).cast("int")
+    )
+    dealt = dealt.repartitionById(groups * shares, "task").drop("task")
+    found = dealt.mapInArrow(
+        matches_of_group(t, groups, shares, LARGE, SMALL, SLACK, MATCHES_AT_ONCE), "x long, y long, nx int, ny int, found int"
     )
-    matches = sides.groupBy("token").agg((F.sum("p") * F.sum("q")).alias("n")).agg(F.sum("n")).first()[0] or 0.0
-    tasks = int(matches) // MATCHES_AT_ONCE + 1
-    if tasks > 1:
-        probe, index = probe.repartition(tasks, "token"), index.repartition(tasks, "token")
-    met = probe.join(index, "token").where(sizes_allow(t) & reachable & ((F.col("nx") > SMALL) | (need <= 1)))
-    counted = met.groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("found"), F.max("i").alias("i"), F.max("j").alias("j"))
-    # a later shared column lies behind the last match, and behind one of the prefixes; these follow from the sizes
-    ends = counted.withColumns(
-        {"ex": F.col("nx") - ceiling(F.lit(t) * F.col("nx")) + 1, "ey": index_end(t, F.col("ny"))}
+    if groups > 1:
+        need = needed_matches(t, F.col("nx"), F.col("ny"))
+        # groups that let a pair go have one match less than its share, at most
+        rest = (F.lit(groups) - F.col("groups")) * (F.ceil(need / F.lit(groups)) - 1)
+        counted = found.groupBy("x", "y", "nx", "ny").agg(F.sum("found").alias("found"), F.count(F.lit(1)).alias("groups"))
+        found = counted.where(F.col("found") + rest >= need)
+    names = held.select("id", "row")
+    pairs = found.join(names.withColumnsRenamed({"id": "x", "row": "rx"}), "x").join(
+        names.withColumnsRenamed({"id": "y", "row": "ry"}), "y"
     )
-    behind = F.greatest(F.col("nx") - F.col("ex"), F.col("ny") - F.col("ey"))
-    return ends.where(F.col("found") + F.least(after, behind) >= need).select("x", "y")
+    # of sets of one size the greater row is x, as in the other join
+    even = F.col("nx") == F.col("ny")
+    return pairs.select(
+        F.when(even, F.greatest("rx", "ry")).otherwise(F.col("rx")).alias("x"),
+        F.when(even, F.least("rx", "ry")).otherwise(F.col("ry")).alias("y"),
+    )
+
+
+def needed_matches(t: float, x: Column, y: Column) -> Column:
+    """Matches in the prefixes of a pair within the limit: shared columns that are none of them lie behind one prefix."""
+    behind = F.greatest(ceiling(F.lit(t) * x) - 1, y - index_end(t, y))
+    return F.greatest(least_shared(t, x, y) - behind, F.lit(1))
+
+
+def cells_by_group(groups: int):
+    """The cells of a batch of sets by group of columns: of each set how many of its columns are there, and the first of them
+    that are indexed. Columns go on as 31 bits of their hash: two that share them only add matches, and pairs are verified."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                ids, size, probing, indexed = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+                n = batch.column(4).value_lengths().to_numpy().astype(np.int64)
+                cols = batch.column(4).flatten().to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(cols)) - np.repeat(np.cumsum(n) - n, n)
+                group = cols.view(np.uint64) % np.uint64(groups)
+                order = np.argsort(group, kind="stable")
+                edges = np.searchsorted(group[order], np.arange(groups + 1).astype(np.uint64))
+                for g in range(groups):
+                    own = order[edges[g] : edges[g + 1]]
+                    if not len(own):
+                        continue
+                    cells = np.bincount(row[own], minlength=len(n))
+                    first = np.bincount(row[own], weights=place[own] < indexed[row[own]], minlength=len(n))
+                    met = np.flatnonzero(cells)
+                    packed = (
+                        pa.array(ids[met]),
+                        pa.array(size[met].astype(np.int32)),
+                        pa.array(probing[met].astype(bool)),
+                        pa.array(cells[met].astype(np.int32)),
+                        pa.array(first[met].astype(np.int32)),
+                        pa.array((cols[own].view(np.uint64) >> np.uint64(33)).astype(np.int32)),
+                    )
+                    lists = [pa.ListArray.from_arrays(pa.array(np.array([0, len(x)], np.int32)), x) for x in packed]
+                    names = ["g", "id", "size", "probing", "cells", "first", "cols"]
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), *lists], names)
+
+    return deal
+
+
+def matches_of_group(t: float, groups: int, shares: int, large: int, small: int, slack: float, most: int):
+    """(x, y, nx, ny, found) of the pairs with their share of the matches asked for in the one group of a task."""
+
+    def ceiling(c: np.ndarray) -> np.ndarray:
+        return np.ceil(c - slack).astype(np.int64)
+
+    def needed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        least = ceiling(t / (1.0 + t) * (x + y))
+        end = np.where(y > large, y - ceiling(t * y) + 1, y - ceiling(2.0 * t / (1.0 + t) * y) + 1)
+        return least, np.maximum(least - np.maximum(ceiling(t * x) - 1, y - end), 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, share = ("id", "size", "probing", "cells", "first", "cols"), 0
+        kept: dict[str, list[np.ndarray]] = {c: [] for c in names}
+        for batch in batches:
+            if batch.num_rows:
+                share = batch.column("share")[0].as_py()
+                for c in names:
+                    # copied, or the memory of the whole batch would be kept
+                    kept[c].append(batch.column(c).flatten().to_numpy(zero_copy_only=False).copy())
+        if not kept["id"]:
+            return
+        ids, size, probing, cells, first, column = (np.concatenate(kept.pop(c)) for c in names)
+        n = len(ids)
+        # rows by size, so that the smaller set of a pair comes first
+        rank = np.empty(n, np.int32)
+        rank[np.lexsort((ids, size))] = np.arange(n, dtype=np.int32)
+        row = np.repeat(rank, cells)
+        place = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(cells) - cells).astype(np.int32), cells)
+        held = place < np.repeat(first, cells)
+        # the index: rows of each column, in the order of their sizes
+        code = column[held].astype(np.int64)
+        code *= n
+        code += row[held]
+        code.sort()
+        held = np.repeat(probing.astype(bool), cells) & (row % shares == share)
+        probe = row[held].astype(np.int64)
+        probe <<= 31
+        probe += column[held]
+        del row, place, held, column
+        probe.sort()
+        by_rank = np.argsort(rank)
+        ids, size = ids[by_rank], size[by_rank].astype(np.int64)
+        least = np.searchsorted(size, t * size - slack, side="left")
+        at = 0
+        while at < len(probe):
+            # the cells of a row stay together
+            last = min(len(probe), at + most // 4)
+            last = int(np.searchsorted(probe, ((probe[last - 1] >> 31) + 1) << 31))
+            x, column = probe[at:last] >> 31, (probe[at:last] & (2**31 - 1)) * n
+            # partners of a cell: indexed rows of its column that come before it and are not too small for it
+            start = np.searchsorted(code, column + least[x])
+            own = np.maximum(np.searchsorted(code, column + x) - start, 0)
+            total = np.cumsum(own)
+            done = 0
+            while done < len(x):
+                end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + most, side="right")))
+                end = int(np.searchsorted(x, x[min(end, len(x)) - 1], side="right"))
+                yield from counted(code, x[done:end], start[done:end], own[done:end], ids, size)
+                done = end
+            at = last
+
+    def counted(
+        code: np.ndarray, x: np.ndarray, start: np.ndarray, own: np.ndarray, ids: np.ndarray, size: np.ndarray
+    ) -> Iterator[pa.RecordBatch]:
+        place = np.repeat(start - (np.cumsum(own) - own), own)
+        place += np.arange(len(place))
+        if not len(place):
+            return
+        codes = code[place] % len(ids)
+        codes += np.repeat(x, own) * len(ids)
+        del place
+        codes.sort()
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        found = np.diff(np.r_[starts, len(codes)])
+        a, b = np.divmod(codes[starts], len(ids))
+        nx, ny = size[a], size[b]
+        shared, need = needed(nx, ny)
+        good = (found >= -(-need // groups)) & ((nx > small) | (shared <= 1))
+        if good.any():
+            columns = [ids[a], ids[b], *(v.astype(np.int32) for v in (nx, ny, found))]
+            yield pa.RecordBatch.from_arrays([pa.array(v[good]) for v in columns], ["x", "y", "nx", "ny", "found"])
+
+    return count
 
 
 def limit_similarity(most_distance: float) -> float:
@@ -188,6 +339,8 @@ def jaccard_within(presence: DataFrame, row: str, column: str, most_distance: fl
     """All pairs of representatives up to a distance, and the class of every row."""
     classes = SetClasses(presence, row, column)
     ordered = cut_lineage(rare_first(classes.sets))
+    del classes.sets
+    release(presence.sparkSession)
     pairs = verified(ordered_candidates(ordered, most_distance), ordered.withColumnRenamed("col", "cols"), most_distance)
     return pairs, classes.members
 

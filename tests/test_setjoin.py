@@ -128,3 +128,22 @@ def test_missing_rows_and_columns(spark):
     none = spark.createDataFrame([], "row long, col long")
     assert jaccard_within(none, "row", "col", 0.5)[0].collect() == []
     assert jaccard_minhash(none, "row", "col", 0.5)[0].collect() == []
+
+
+@pytest.mark.parametrize("most_distance", [0.5, 0.82])
+def test_groups_of_columns_lose_no_pair(most_distance, spark, monkeypatch):
+    """A pair needs its share of matches in one group only, and nearly no other pair travels."""
+    monkeypatch.setattr(setjoin, "CELLS_OF_GROUP", 6000)
+    monkeypatch.setattr(setjoin, "MATCHES_AT_ONCE", 512)
+    draw = random.Random(6)
+    sets = {row: set(draw.sample(range(3000), 150)) for row in range(120)}
+    for row in range(120, 180):
+        kept = draw.sample(sorted(sets[row - 120]), draw.randint(30, 140))
+        sets[row] = set(kept) | set(draw.sample(range(3000), 60))
+    cells = table(spark, sets)
+    pairs, _ = jaccard_within(cells, "row", "col", most_distance)
+    want = plain_pairs(sets, most_distance)
+    assert want and {(r["row_i"], r["row_j"]) for r in pairs.collect()} == set(want)
+    found = prefix_candidates(SetClasses(cells, "row", "col").sets, most_distance)
+    assert "Exchange hashpartitioning(token" not in found._jdf.queryExecution().executedPlan().toString()
+    assert len(want) <= found.count() < 180 * 179 / 2 / 30
