@@ -84,3 +84,31 @@ def test_even_levels_compare_no_digits(spark):
     """Only a level with a node that is not full, but more than half, needs the digits of its chance."""
     assert "aggregate(" not in plan(multinomial.leaf_counts(spark, 3 * 4096 + 4096, 5, 1))
     assert "aggregate(" in plan(multinomial.leaf_counts(spark, 3 * 4096, 5, 1))
+
+
+def test_no_task_packs_a_block_of_pairs(spark, monkeypatch):
+    """However many pairs a block of rows lists, they are packed piece by piece, in the order of their places."""
+    from costweave.operators import scaling
+
+    monkeypatch.setattr(scaling, "PIECE", 500)
+    pairs = spark.range(150).selectExpr("id AS row_i", "explode(sequence(id + 1, 150)) AS row_j").selectExpr("*", "0.5D AS distance")
+    kept = scaling.SparseScaling(pairs, spark.range(151)).entries
+    longest, n = kept.selectExpr("max(size(s))", "sum(size(s))").first()
+    assert longest <= 500 and n == 151 * 150
+
+
+def test_listed_pairs_are_counted_before_they_travel(spark, monkeypatch):
+    """Pieces of any size give the same counts, and no row of one pair is shuffled."""
+    from costweave.operators import similarity
+
+    cells = spark.range(900).selectExpr("id % 60 AS row", "id div 3 AS col").distinct()
+
+    def counts():
+        found = similarity._listed_counts(cells)
+        assert "Exchange hashpartitioning(row_i" not in plan(found)
+        return sorted(map(tuple, found.collect()))
+
+    before = counts()
+    monkeypatch.setattr(similarity, "PAIRS_AT_ONCE", 16)
+    monkeypatch.setattr(similarity, "PAIRS_OF_TILE", 8)
+    assert counts() == before and sum(n for _, _, n in before) == 900
