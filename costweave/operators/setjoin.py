@@ -169,6 +169,8 @@ def one_column_candidates(ordered: DataFrame, t: float) -> DataFrame:
         rest = (F.lit(groups) - F.col("groups")) * (F.ceil(need / F.lit(groups)) - 1)
         counted = found.groupBy("x", "y", "nx", "ny").agg(F.sum("found").alias("found"), F.count(F.lit(1)).alias("groups"))
         found = counted.where(F.col("found") + rest >= need)
+    # stored, so that matches are not counted again by whoever asks for the plan twice
+    found = cut_lineage(found.select("x", "y", "nx", "ny"))
     names = held.select("id", "row")
     pairs = found.join(names.withColumnsRenamed({"id": "x", "row": "rx"}), "x").join(
         names.withColumnsRenamed({"id": "y", "row": "ry"}), "y"
